@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, near_dedup
+from . import exact_dedup, near_dedup, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_substring_dedup": op4_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
@@ -31,4 +36,14 @@ SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op4_substring_dedup": """
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS a FROM documents),
+             p AS (SELECT doc_id, unnest(range(1, len(a) - 11)) AS i, a FROM w WHERE len(a) >= 13),
+             h AS (SELECT doc_id, i, array_to_string(a[i:i + 12], ' ') AS s FROM p),
+             m AS (SELECT s, min(doc_id) AS lo FROM h GROUP BY s HAVING min(doc_id) < max(doc_id)),
+             g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM h JOIN m USING (s) WHERE doc_id > lo),
+             k AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id),
+             r AS (SELECT w.doc_id, len(a) AS n, coalesce(len(gone), 0) AS x,
+                          list_filter(a, lambda e, j: NOT list_contains(coalesce(gone, []), j)) AS kept FROM w LEFT JOIN k USING (doc_id))
+        SELECT doc_id, n AS n_words, x AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM r""",
 }
