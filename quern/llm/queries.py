@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, near_dedup, substring_dedup
+from . import exact_dedup, near_dedup, ppm, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.ppm_scores(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ppm_score": op2_ppm_score,
     "op4_substring_dedup": op4_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
