@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_dedup, near_dedup, ppm, quality, substring_dedup, toxicity
+from . import ann, exact_dedup, mixing, near_dedup, ppm, quality, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,9 +41,15 @@ def op7_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mixed(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "n_tokens", "weight", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multi_index_ann": op1_multi_index_ann,
     "op2_ppm_score": op2_ppm_score,
+    "op3_temperature_mixing": op3_temperature_mixing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_toxicity": op5_toxicity,
     "op7_quality_cotraining": op7_quality_cotraining,
@@ -52,6 +58,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_temperature_mixing": f"""
+        WITH RECURSIVE d AS (
+               SELECT doc_id, source, text, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS n FROM documents),
+             s AS (SELECT source, sum(n)::DOUBLE AS t FROM d GROUP BY source),
+             a AS (SELECT sum(t) AS t, count(*) AS n FROM s WHERE t > 0),
+             b(step, lo, hi) AS (
+               SELECT 0, 0::DOUBLE, 1::DOUBLE UNION ALL
+               SELECT step + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END
+               FROM (SELECT step, lo, hi, (lo + hi) / 2 AS mid,
+                            (SELECT (ln(sum(pow(s.t / a.t, (lo + hi) / 2))) - sum(pow(s.t / a.t, (lo + hi) / 2) * (lo + hi) / 2 * ln(s.t / a.t)) / sum(pow(s.t / a.t, (lo + hi) / 2))) / ln(any_value(a.n))
+                             FROM s, a WHERE s.t > 0) >= {mixing.ENTROPY} AS ok
+                     FROM b WHERE step < {mixing.STEPS})),
+             e AS (SELECT CASE WHEN (SELECT (ln(sum(s.t / a.t)) - sum(s.t / a.t * ln(s.t / a.t))) / ln(any_value(a.n)) FROM s, a WHERE s.t > 0) >= {mixing.ENTROPY}
+                          THEN 1 ELSE (SELECT lo FROM b WHERE step = {mixing.STEPS}) END AS x),
+             p AS (SELECT source, s.t, CASE WHEN s.t > 0 THEN pow(s.t / a.t, e.x) ELSE 0 END AS w FROM s, a, e),
+             q AS (SELECT source, t, round(w / sum(w) OVER (), 9) AS weight, floor(round(w / sum(w) OVER (), 9) * sum(t) OVER ()) AS quota FROM p),
+             f AS (SELECT source, weight, CASE WHEN t > 0 THEN floor(quota / t) ELSE 0 END AS full_, quota - CASE WHEN t > 0 THEN floor(quota / t) ELSE 0 END * t AS rest FROM q),
+             o AS (SELECT d.*, weight, full_::BIGINT AS full_, rest,
+                          sum(n) OVER (PARTITION BY source ORDER BY md5(concat_ws(':', '{mixing.SEED}', full_::BIGINT, doc_id)), text ROWS UNBOUNDED PRECEDING) AS upto
+                   FROM d JOIN f USING (source))
+        SELECT doc_id, source, n AS n_tokens, weight, full_ + CASE WHEN upto <= rest AND rest > 0 THEN 1 ELSE 0 END AS copies FROM o""",
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
