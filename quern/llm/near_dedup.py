@@ -10,9 +10,10 @@ below 0.001, larger similarities far less.
 * Equal sets are one class from the start, so copies cost nothing more.
 * First the members of a key meet only its smallest member (taken per batch and then over all, so a key of very
   many members is never gathered); what a full comparison of the sets confirms is linked and components form.
-* Then only keys whose members lie in several components are searched, and only signatures within the
-  threshold come out as candidates.  Keys of more than ``CROWD`` members are split by the keys of later chunks
-  (the threshold promises 3 good chunks), and what is still larger by pairs of blocks.
+* Then the nodes that share a key with another component are searched without loss.  A common template or
+  passage puts many nodes under one key, and comparing its members pair by pair would grow with their square,
+  so these nodes meet by prefix filtering: shingles are ranked from rare to frequent, and two similar sets
+  share one among their first few, at places that depend on both sizes.
 * All candidates are confirmed on whole sets: 100 * intersection >= 75 * union.
 
 Nulls and edge cases: null text counts as empty; texts without words have n_shingles 0 and link with nothing.
@@ -38,8 +39,9 @@ PERCENT = 75
 POSITIONS, CHUNK = 64, 4
 CHUNKS = POSITIONS // CHUNK
 THRESHOLD = 27
-#: Members of a key that one task compares at once.
-CROWD = 512
+#: Waiting sets of a key that one task compares at once, and the ratio of neighbouring size classes.
+CROWD = 4096
+SIZE_STEP = 1.1
 
 _A = tx.seeded(POSITIONS, 11) | np.uint64(1)
 _B = tx.seeded(POSITIONS, 12)
@@ -153,53 +155,83 @@ def _distance_ok(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key (at most CROWD or a pair of blocks each): pairs of other components within the threshold."""
-    rest = None
-    names = ["key", "node", "component", "side", "sig"]
-
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        key, node, comp, side = (t.column(c).to_numpy() for c in names[:4])
-        sig = _signatures(t.column("sig").combine_chunks())
-        found = []
-        for o in range(1, len(key)):
-            i = np.flatnonzero(key[:-o] == key[o:])
-            if not len(i):
-                break
-            i = i[(comp[i] != comp[i + o]) & ((side[i] != side[i + o]) | (side[i] == 0))]
-            for s in range(0, len(i), 1 << 16):
-                j = i[s : s + (1 << 16)]
-                j = j[(sig[j] != sig[j + o]).sum(1) <= THRESHOLD]
-                found.append(np.stack([np.minimum(node[j], node[j + o]), np.maximum(node[j], node[j + o])], 1))
-        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
-
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        table = pa.Table.from_batches([batch]).select(names)
-        if rest is not None:
-            table = pa.concat_tables([rest, table])
-        if not table.num_rows:
-            continue
-        key = table.column("key").to_numpy()
-        cut = int(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))[-1])
-        rest = table.slice(cut)
-        if cut:
-            yield pairs(table.slice(0, cut))
-    if rest is not None:
-        yield pairs(rest)
+        for at, sizes, hashes in shingle_sets(batch):
+            node = batch.column("doc_id").slice(at, len(sizes)).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.repeat(node, sizes))], ["token", "node"])
+
+
+def size_class(n):
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(SIZE_STEP)).astype(np.int64)
 
 
-def _later_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each member of a crowded key under that key joined with every key of a later chunk."""
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens by which a set must meet any similar set, for each class of sizes of the other set.
+
+    Tokens are ranked from rare to frequent.  If x, y with |x| >= |y| are similar, their first common token is
+    early in both: 1 + |x| - position is at least the needed overlap 75/175 (|x| + |y|), and the same for y.
+    So y waits under its own class (side 0) and x looks under the classes its position still allows (side 1).
+    """
+    for batch in batches:
+        rows: list[list[np.ndarray]] = [[], [], [], [], [], []]
+        for node, comp, n, ranked in zip(*(batch.column(c).to_pylist() for c in ("node", "component", "n", "frequent")), strict=True):
+            token = np.array([r["token"] for r in ranked], np.int64)
+            place = n - len(token) + 1 + np.arange(len(token))
+            most = (1 + n - place) * (100 + PERCENT) / PERCENT - n
+            home = most >= n - 1e-9
+            look = most >= PERCENT / 100 * n - 1e-9
+            lo, hi = size_class(PERCENT / 100 * n - 1e-9), size_class(np.minimum(most[look], n) + 1e-9)
+            times = hi - lo + 1
+            ladder = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + lo
+            for k, parts in enumerate(((token[home], np.repeat(token[look], times)), (np.full(home.sum(), size_class(n)), ladder), (place[home], np.repeat(place[look], times)))):
+                rows[k].append(np.concatenate(parts))
+            size = len(rows[0][-1])
+            rows[3].append(np.concatenate((np.zeros(home.sum(), np.int32), np.ones(len(ladder), np.int32))))
+            rows[4].append(np.full(size, node))
+            rows[5].append(np.tile([[comp], [n]], size))
+        if rows[0]:
+            token, klass, place, side, node = (np.concatenate(r) for r in rows[:5])
+            comp, n = np.concatenate(rows[5], axis=1)
+            key = tx.mix(token.view(np.uint64) ^ tx.mix(klass.astype(np.uint64))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, side, place.astype(np.int64), node, comp.astype(np.int64), n.astype(np.int64))], ["key", "side", "place", "node", "component", "n"])
+
+
+def _meet_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and side: pairs of one waiting and one looking set of other components that may be similar."""
+    names = ["key", "side", "place", "node", "component", "n"]
+    held = None
+
+    def pairs(home: np.ndarray, look: np.ndarray) -> np.ndarray:
+        found = [np.zeros((0, 2), np.int64)]
+        step = max(1, (1 << 20) // max(1, home.shape[1]))
+        for s in range(0, look.shape[1], step):
+            x, y = look[:, s : s + step, None], home[:, None, :]
+            need = (x[5] + y[5]) * PERCENT
+            ok = (x[4] != y[4]) & (x[5] >= y[5]) & ((100 + PERCENT) * (1 + x[5] - x[2]) >= need) & ((100 + PERCENT) * (1 + y[5] - y[2]) >= need)
+            i, j = np.nonzero(ok)
+            both = np.stack([look[3, s + i], home[3, j]], 1)
+            found.append(np.sort(both, axis=1))
+        return np.concatenate(found)
+
     for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
-            own = chunk_keys(_signatures(part.column("sig")))
-            key, depth = part.column("key").to_numpy().view(np.uint64), part.column("chunk").to_numpy()
-            row, col = np.nonzero(np.arange(CHUNKS * CHUNK)[None, :] // CHUNK > depth[:, None])
-            new = tx.mix(key[row] * np.uint64(3) ^ own[row, col])
-            take = part.select(["node", "component", "sig"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), *take.columns, pa.array((col // CHUNK).astype(np.int32))], ["key", "node", "component", "sig", "chunk"])
+        if not batch.num_rows:
+            continue
+        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])
+        key, side = rows[0], rows[1]
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        out = []
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(key)], strict=True):
+            mid = a + int(np.searchsorted(side[a:b], 1))
+            home = rows[:, a:mid]
+            if held is not None and held[0, 0] == key[a]:
+                home = np.concatenate((held, home), axis=1)
+            if home.shape[1] and mid < b:
+                out.append(pairs(home, rows[:, mid:b]))
+            if b == len(key):
+                held = home if home.shape[1] else None
+        both = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,32 +266,21 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -
     return right.join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long").distinct()
 
 
-_MEMBER = "key long, node long, component long, sig binary, chunk int"
-
-
-def _searched(rows: DataFrame) -> DataFrame:
-    """Candidates among the members (key, node, component, sig, chunk) of keys with several components."""
-    found, depth = None, 0
-    while True:
-        sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        sizes = stored(sizes.where("lo < hi").select("key", "size"), "key-sizes")
-        rows = stored(rows.join(sizes, "key"), "members")
-        small = rows.where(F.col("size") <= CROWD).withColumn("side", F.lit(0))
-        crowded = rows.where(F.col("size") > CROWD)
-        last = depth == 2
-        if last:
-            blocks = F.ceil(F.col("size") * 2 / CROWD).cast("int")
-            mine = F.pmod(F.xxhash64("node"), blocks)
-            other = crowded.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
-            split = other.withColumn("key", F.xxhash64("key", lo, hi)).withColumn("side", F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2))
-            small = small.select("key", "node", "component", "side", "sig").union(split.select("key", "node", "component", F.col("side"), "sig"))
-        sort = small.select("key", "node", "component", F.col("side").cast("int").alias("side"), "sig").repartition("key").sortWithinPartitions("key")
-        pairs = sort.mapInArrow(_search, "a long, b long")
-        found = pairs if found is None else found.union(pairs)
-        if last or crowded.isEmpty():
-            return found.distinct()
-        rows, depth = crowded.drop("size").mapInArrow(_later_keys, _MEMBER), depth + 1
+def _searched(open_nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Candidates (a, b) of different components among the open nodes (node, component, n), none lost."""
+    ids = stored(open_nodes.select(F.col("node").alias("doc_id")), "open-ids")
+    tokens = stored(keep_ids(docs, "doc_id", ids).mapInArrow(_tokens, "token long, node long"), "tokens")
+    common = stored(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "common-tokens")
+    ranked = tokens.distinct().join(common, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("frequent"))
+    rows = open_nodes.join(ranked, "node").select("node", "component", "n", "frequent")
+    rows = stored(rows.mapInArrow(_prefixes, "key long, side int, place long, node long, component long, n long"), "prefixes")
+    keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("side").alias("looks"), F.sum(1 - F.col("side")).alias("waits"))
+    keys = stored(keys.where("lo < hi and looks > 0 and waits > 0").select("key", F.ceil(F.col("waits") / CROWD).cast("int").alias("parts")), "prefix-keys")
+    rows = rows.join(keys, "key")
+    part = F.when(F.col("side") == 0, F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = rows.withColumn("part", F.explode(part)).withColumn("key", F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", "part")))
+    rows = rows.select("key", "side", "place", "node", "component", "n").repartition("key").sortWithinPartitions("key", "side")
+    return rows.mapInArrow(_meet_prefixes, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,8 +304,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     placed = stored(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_rows = placed.join(stored(mixed, "mixed"), "key").join(sigs, "node").select("key", "node", "component", "sig", F.lit(0).alias("chunk"))
-    late = stored(_confirmed(_searched(open_rows), nodes, docs, "search"), "search-links")
+    open_nodes = placed.join(stored(mixed, "mixed"), "key", "left_semi").groupBy("node").agg(F.min("component").alias("component"))
+    open_nodes = stored(open_nodes.join(nodes.groupBy("node").agg(F.max("n").alias("n")), "node"), "open-nodes")
+    late = stored(_confirmed(_searched(open_nodes, docs), nodes, docs, "search"), "search-links")
 
     joined = late.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     merged = components(joined)
