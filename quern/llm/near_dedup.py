@@ -293,15 +293,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     keys = stored(nodes.select("node", "sig").mapInArrow(_emit_keys, "key long, node long, lead long, here long"), "keys")
     leads = keys.where("node = lead").select("key", "node", "here").repartition("key").sortWithinPartitions("key", "node")
-    met = leads.mapInArrow(_meet, "key long, node long, pivot long")
-    members = stored(met.union(keys.where("node <> lead").select("key", "node", "lead")), "met")
+    met = stored(leads.mapInArrow(_meet, "key long, node long, pivot long"), "met")
+    rest = keys.where("node <> lead").join(met.select("key", F.col("node").alias("lead"), "pivot"), ["key", "lead"])
+    members = met.union(rest.select("key", "node", "pivot"))
     stars = members.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     sigs = nodes.select("node", "sig")
     stars = stars.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_distance_ok, "a long, b long")
     links = stored(_confirmed(stars, nodes, docs, "star"), "star-links")
     labels = components(links)
 
-    placed = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    members = met.select("key", "node").union(keys.where("node <> lead").select("key", "node"))
+    placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     placed = stored(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     open_nodes = placed.join(stored(mixed, "mixed"), "key", "left_semi").groupBy("node").agg(F.min("component").alias("component"))
