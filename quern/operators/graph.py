@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
+from ..functions.stages import cut
 
 
 def symmetric_weights(edges: DataFrame, self_loops: str = "auto", nodes: DataFrame | None = None) -> DataFrame:
@@ -64,7 +65,7 @@ def push_labels(weights: DataFrame, source: DataFrame, alpha: float, tolerance:
     for step in range(1, most_steps + 1):
         fresh = push_step(weights, source, current, alpha)
         if step % cut_every == 0:
-            fresh = fresh.checkpoint()
+            fresh = cut(fresh)
             change = fresh.join(current.withColumnRenamed("p", "old"), ["id", "c"]).agg(F.max(F.abs(F.col("p") - F.col("old"))).alias("m")).first().m
             if change is None or change <= tolerance * (1 - alpha):
                 return fresh

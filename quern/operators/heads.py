@@ -49,4 +49,4 @@ def temperature_curve(n: DataFrame, low: float = 0.05, high: float = 20.0, point
     rows = n.where(F.col("split") == split).select("logits", "y", F.posexplode(grid).alias("point", "t"))
     scaled = F.transform("logits", lambda x: x / F.col("t"))
     ce = v.log_sum_exp(scaled) - F.element_at(scaled, F.col("y") + 1)
-    return rows.groupBy("point").agg(F.max("t").alias("t"), F.avg(ce).alias("ce"))
+    return rows.groupBy("point").agg(F.max("t").alias("top"), F.avg(ce).alias("ce")).withColumnRenamed("top", "t")

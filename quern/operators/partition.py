@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
+from ..functions.stages import cut
 from . import assign, moments
 
 
@@ -32,7 +33,7 @@ def spread_centres(n: DataFrame, cells: int, seed: int = 0) -> DataFrame:
     for step in range(1, cells):
         last = F.array(*[F.lit(a) for a in picked[-1]])
         rows = rows.withColumn("gap", F.least("gap", v.squared_distance("x", last)))
-        rows = rows.checkpoint() if step % 8 == 0 else rows
+        rows = cut(rows) if step % 8 == 0 else rows
         best = rows.where("gap > 0").orderBy(-F.ln(u(step)) / F.col("gap"), "id").select("x").first()
         if best is None:
             break
@@ -43,12 +44,12 @@ def spread_centres(n: DataFrame, cells: int, seed: int = 0) -> DataFrame:
 def lloyd(n: DataFrame, centres: DataFrame, most_sweeps: int = 50) -> tuple[DataFrame, int]:
     """nodes with cell, and the sweeps made; stops when no node changes its cell.  An empty cell takes the node
     that is served worst among cells of more than one node."""
-    centres = centres.checkpoint()
-    placed = assign.nearest_cell(n, centres).checkpoint()
+    centres = cut(centres)
+    placed = cut(assign.nearest_cell(n, centres))
     for sweep in range(1, most_sweeps + 1):
         centres = centres.join(moments.means(placed, "x", "fresh"), "cell", "left").select("cell", F.coalesce("fresh", "c").alias("c"))
-        centres = _refilled(placed, centres).checkpoint()
-        fresh = assign.nearest_cell(placed.withColumnRenamed("cell", "old"), centres).checkpoint()
+        centres = cut(_refilled(placed, centres))
+        fresh = cut(assign.nearest_cell(placed.withColumnRenamed("cell", "old"), centres))
         if fresh.where("cell <> old").isEmpty():
             return fresh.drop("old"), sweep
         placed = fresh.drop("old")
@@ -84,7 +85,7 @@ def divisive(n: DataFrame, cells: int) -> DataFrame:
     """cells - 1 variance splits."""
     placed = variance_partition(n)
     for new in range(1, cells):
-        placed = variance_split(placed, new).checkpoint()
+        placed = cut(variance_split(placed, new))
     return placed
 
 
@@ -148,13 +149,13 @@ def moment_partition(n: DataFrame, weight: float, most_sweeps: int = 20, backtra
     """Sweeps of moment_proposal from the given cells.  A proposal is accepted if J falls by more than
     atol + rtol max(1, |J|); else the half, quarter, ... of moves with the largest predicted gain are tried.
     Returns nodes, the objective after each sweep and a status."""
-    n = n.checkpoint()
+    n = cut(n)
     history = [moments.moment_objective(n, weight).first().j]
     cells = n.select("cell").distinct().count()
     for _ in range(most_sweeps):
         rows = moment_proposal(n, weight)
         gain = F.element_at("costs", F.col("cell") + 1) - F.element_at("costs", F.col("target") + 1)
-        rows = rows.withColumn("gain", F.when(F.col("target") != F.col("cell"), gain)).drop("costs").checkpoint()
+        rows = cut(rows.withColumn("gain", F.when(F.col("target") != F.col("cell"), gain)).drop("costs"))
         moves = rows.where("gain is not null").count()
         if not moves:
             return n, history, "no_proposal"
@@ -163,7 +164,7 @@ def moment_partition(n: DataFrame, weight: float, most_sweeps: int = 20, backtra
             if not take:
                 break
             chosen = rows.where("gain is not null").orderBy(F.desc("gain"), "id").limit(take).select("id", F.col("target").alias("to")) if k else rows.where("gain is not null").select("id", F.col("target").alias("to"))
-            trial = rows.drop("target", "gain").join(chosen, "id", "left").withColumn("cell", F.coalesce("to", "cell")).drop("to").checkpoint()
+            trial = cut(rows.drop("target", "gain").join(chosen, "id", "left").withColumn("cell", F.coalesce("to", "cell")).drop("to"))
             if trial.select("cell").distinct().count() < cells:
                 continue
             j = moments.moment_objective(trial, weight).first().j

@@ -63,11 +63,11 @@ def timing_summary(runs: DataFrame, baseline: str) -> DataFrame:
 
 
 def running_best(history: DataFrame, run: str, step: str, value: str, smaller: bool = False) -> DataFrame:
-    """Best value so far of each run, the change from the row before, and whether ``patience`` rows brought nothing."""
+    """Best value so far of each run, the change from the row before, and whether the last 10 rows brought nothing."""
     w = Window.partitionBy(run).orderBy(step)
     so_far = (F.min if smaller else F.max)(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
     rows = history.withColumn("best", so_far).withColumn("change", F.col(value) - F.lag(value).over(w))
-    return rows.withColumn("plateau", F.col("best") == F.lag("best", 10).over(w))
+    return rows.withColumn("plateau", F.coalesce(F.col("best") == F.lag("best", 10).over(w), F.lit(False)))
 
 
 def new_rows(candidates: DataFrame, old: DataFrame, keys: Sequence[str]) -> DataFrame:
