@@ -26,7 +26,7 @@ def fit_head(cells: DataFrame, penalty: float) -> tuple[list[list[float]], DataF
     total = cells.agg(F.sum("n").alias("total"))
     rows = cells.crossJoin(F.broadcast(total)).select(array_to_vector(turned).alias("features"), (F.col("n") / F.col("total")).alias("mass"), F.posexplode("s").alias("label", "share"))
     rows = rows.select("features", F.col("label").cast("double").alias("label"), (F.col("mass") * F.col("share")).alias("weight")).where("weight > 0")
-    model = LogisticRegression(regParam=penalty, fitIntercept=False, standardization=False, family="multinomial", weightCol="weight", maxIter=500, tol=1e-12).fit(rows)
+    model = LogisticRegression(regParam=penalty, fitIntercept=False, standardization=False, family="multinomial", weightCol="weight", maxIter=500, tol=1e-10).fit(rows)
     theta = []
     for row in model.coefficientMatrix.toArray().tolist():
         along = sum(a * b for a, b in zip(row, w, strict=True)) * 2.0 / norm
