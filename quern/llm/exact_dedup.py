@@ -29,6 +29,8 @@ from .scratch import keep_ids, stored
 BLOCK_ROWS = 1 << 16
 OWNER_ROWS = 1 << 16
 MOST_OWNER_BITS = 14
+#: Stands for a missing id among a block's ids.
+NO_ID = -(1 << 63)
 
 
 def golomb_encode(values: np.ndarray) -> bytes:
@@ -119,7 +121,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """doc_id, keep_id (largest id of the equal texts), group_size, kept, text_sha256; one row per document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     owners = min(MOST_OWNER_BITS, max(0, (docs.count() // OWNER_ROWS).bit_length()))
-    prints = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("fp"))
+    prints = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("fp"))
     blocks = stored(prints.mapInArrow(_blocks(owners), _BLOCKS), "fingerprints")
     answers = blocks.select("block", "owner", "n", "code", "repeats").groupBy("owner").applyInArrow(_answer, "block string, owner int, bitmap binary")
     named = blocks.select("block", "owner", "n", "copies", "ids").join(answers, ["block", "owner"])
