@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..functions.stages import cut
-from ..operators import assign, features, graph, heads, moments, partition, selection
+from ..operators import assign, features, graph, heads, moments, partition, selection, soft
 from ..sources import views
 
 M, C = views.CELLS, views.CLASSES
@@ -482,3 +482,11 @@ def kernel_teacher(spark: SparkSession, d: str) -> DataFrame:
     k = features.kernel_values(n, n.where("id < 64"), "relu")
     fitted = features.soft_labels(heads.kernel_teacher(k, n, 0.1))
     return moments.split_metrics(fitted).select("split", *[F.round(c, 3).alias(c) for c in ("accuracy", "nll", "teacher_ce")])
+
+
+@query
+def soft_partition(spark: SparkSession, d: str) -> DataFrame:
+    """Three descent steps on the smooth objective from smoothed hard logits, as the cell of largest logit."""
+    n = base(spark, d).withColumn("logits", assign.smoothed_logits("cell", M, 0.3))
+    moved, _ = soft.descend(n.select("id", "x", "q", "logits"), 1.0, steps=3)
+    return moved.select("id", (F.array_position("logits", F.array_max("logits")) - 1).cast("int").alias("cell"))

@@ -214,3 +214,38 @@ def test_streamed_moments_equal_batch(spark, nodes, tmp_path):
     for r in moments.means(nodes, "x", "c").collect():
         for k, m in enumerate(r.c):
             assert got[r.cell, k] == (6, pytest.approx(m))
+
+
+def test_moment_gradient_equals_finite_differences():
+    from quern.operators.soft import objective_and_gradient
+
+    rng = np.random.default_rng(5)
+    s, cross = rng.random((3, 1 + 4 + 2)) + 0.5, rng.normal(size=(4, 2))
+    _, g = objective_and_gradient(s, 9.0, cross, 0.7)
+    for i, j in np.ndindex(*s.shape):
+        up, down = s.copy(), s.copy()
+        up[i, j] += 1e-6
+        down[i, j] -= 1e-6
+        want = (objective_and_gradient(up, 9.0, cross, 0.7)[0] - objective_and_gradient(down, 9.0, cross, 0.7)[0]) / 2e-6
+        assert g[i, j] == pytest.approx(want, rel=1e-4, abs=1e-6)
+
+
+def test_descent_lowers_the_objective(nodes):
+    from quern.operators.soft import descend
+
+    start = nodes.withColumn("logits", assign.smoothed_logits("cell", 3, 0.3)).select("id", "x", "q", "logits")
+    _, history = descend(start, 1.0, steps=3)
+    assert len(history) > 1 and history[-1] < history[0]
+    assert all(b <= a for a, b in itertools.pairwise(history))
+
+
+def test_sweep_resumes_and_ranks_by_validation(spark, sf, tmp_path):
+    from quern.plans.sweep import run_sweep
+
+    n = cut(features.class_mean_logits(views.nodes(spark, sf).where("id < 200")))
+    options = {"temperatures": [0.5, 1.0], "weights": [1.0], "cells": 4, "seeds": (0, 1), "sweeps": 1}
+    scores, ranking, test = run_sweep(spark, n, str(tmp_path), **options)
+    assert scores.count() == 4 and ranking.count() == 2 and 0 <= test <= 100
+    before = sorted(p.name for p in (tmp_path / "scores").rglob("part-*"))
+    run_sweep(spark, n, str(tmp_path), **options)
+    assert before == sorted(p.name for p in (tmp_path / "scores").rglob("part-*"))
