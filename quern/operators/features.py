@@ -111,18 +111,30 @@ def adaptive_temperature(distances: DataFrame, base: float, eta: float) -> DataF
     return placed.select("id", "position", (base * (1 + eta * F.col("position"))).alias("t"))
 
 
+def covariance(n: DataFrame):
+    """The d x d matrix of mean products of the components of x: one block product a batch, summed in Spark."""
+    import numpy as np
+    import pyarrow as pa
+
+    def blocks(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                g = (x.T @ x).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(g))), pa.array(g)], ["slot", "g"])
+
+    total = n.count()
+    sums = n.select("x").mapInArrow(blocks, "slot long, g double").groupBy("slot").agg(F.sum("g").alias("g")).toPandas().sort_values("slot")
+    d = round(len(sums) ** 0.5)
+    return sums["g"].to_numpy().reshape(d, d) / total
+
+
 def whitened(n: DataFrame, power: float = 0.5, ridge: float = 0.01) -> DataFrame:
-    """Fractional whitening: the d x d covariance is summed in Spark, its eigenvectors are found on the driver."""
+    """Fractional whitening: the covariance is summed in Spark, its d eigenvectors are found on the driver."""
     import numpy as np
 
     moved = centred(n)
-    pairs = moved.select("id", F.posexplode("x").alias("i", "a"), "x").select("i", F.posexplode("x").alias("j", "b"), "a")
-    size = n.count()
-    cov = pairs.groupBy("i", "j").agg((F.sum(F.col("a") * F.col("b")) / size).alias("c")).toPandas()
-    d = int(cov["i"].max()) + 1
-    matrix = np.zeros((d, d))
-    matrix[cov["i"], cov["j"]] = cov["c"]
-    values, basis = np.linalg.eigh(matrix)
+    values, basis = np.linalg.eigh(covariance(moved))
     values = np.maximum(values, 0)
     w = basis @ np.diag((values + ridge * values.max()) ** (-power / 2)) @ basis.T
     rows = F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in w])
