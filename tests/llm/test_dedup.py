@@ -215,3 +215,36 @@ def test_query_equals_sql(spark, duck, sf, name):
     from compare import assert_same
 
     assert_same(q.QUERIES[name](spark, sf), duck.sql(q.SQL[name]))
+
+
+def test_keys_meet_across_batches():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    for _ in range(200):
+        rows = sorted((rng.randint(0, 12), rng.randint(0, 99), rng.choice([1, 1, 1, 2])) for _ in range(rng.randint(0, 25)))
+        batches, at = [], 0
+        while at < len(rows):
+            to = at + rng.randint(1, 4)
+            batches.append(pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[at:to], strict=True)], ["key", "node", "here"]))
+            at = to
+        got = sorted(tuple(r.values()) for b in near_dedup.meet_keys(iter(batches)) for r in b.to_pylist())
+        groups = {}
+        for k, n, h in rows:
+            groups.setdefault(k, []).append((n, h))
+        want = sorted((k, n, g[0][0]) for k, g in groups.items() for n, h in g if len(g) > 1 or h > 1)
+        assert got == want
+
+
+def test_normal_forms_of_slices_equal_those_of_lines():
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("aB é09 \t\n\n.!-\x00") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, None, ""])], ["text"])
+    got = {}
+    for at, _, form, upto, row, number in line_dedup._lines(batch):
+        raw = form.tobytes()
+        got |= {(at + r, k): raw[a:b] for r, k, a, b in zip(row.tolist(), number.tolist(), upto[:-1].tolist(), upto[1:].tolist(), strict=True)}
+    forms = {(r, k): line_dedup.normal(x.encode()) for r, t in enumerate(texts) for k, x in enumerate(t.split("\n"))}
+    assert got == {at: f for at, f in forms.items() if len(f) >= line_dedup.LEAST}
