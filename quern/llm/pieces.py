@@ -24,15 +24,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of new segments matched at once, segments a task remembers, and symbols from which a heap is used.
-CHUNK, REMEMBERED, LONG = 1 << 18, 1 << 20, 48
+CHUNK, REMEMBERED, LONG = 1 << 18, 1 << 19, 48
+#: Ids decoded at once (or those of one longer text).
+STEP = 1 << 18
 
 
 @dataclass
@@ -266,14 +268,15 @@ def encoded(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> Data
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value)
         for batch in batches:
-            plain = batch.column("quern_text")
+            plain = batch.column(text_col)
+            if pc.any(pc.match_substring(plain, "▁")).as_py():
+                plain = pc.replace_substring(plain, "▁", " ")
             for at, to, data, offsets in tx.slices(pa.RecordBatch.from_arrays([plain], ["text"]), "text"):
                 ids, where = encoder.encode(data, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(where.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, to - at) for c in names), lists, pa.array(np.diff(where))], [*names, "ids", "n_pieces"])
 
-    text = F.regexp_replace(F.col(text_col).cast("string"), "▁", " ")
-    return docs.withColumn("quern_text", F.when(F.col(text_col).contains("▁"), text).otherwise(F.col(text_col))).mapInArrow(encode, schema)
+    return docs.mapInArrow(encode, schema)
 
 
 def decoded(docs: DataFrame, model: str = MODEL, ids_col: str = "ids") -> DataFrame:
@@ -285,12 +288,15 @@ def decoded(docs: DataFrame, model: str = MODEL, ids_col: str = "ids") -> DataFr
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(vocabulary.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                lists = part.column(ids_col)
-                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                sizes = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
-                texts = decoder.decode(flat, np.concatenate(([0], np.cumsum(sizes))))
+            sizes = pc.fill_null(pc.list_value_length(batch.column(ids_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            upto = np.concatenate(([0], np.cumsum(sizes)))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(upto, upto[at] + STEP, "right")) - 1)
+                part = batch.slice(at, to - at)
+                flat = part.column(ids_col).flatten().to_numpy(zero_copy_only=False)
+                texts = decoder.decode(flat, upto[at : to + 1] - upto[at])
+                at = to
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
     return docs.mapInArrow(decode, schema)
