@@ -122,7 +122,7 @@ def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node), pa.array(np.repeat(node[head], here)), pa.array(np.repeat(here, here))], ["key", "node", "lead", "here"])
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def meet_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key and node: each key's members with its smallest; keys of one single member are left out."""
     last, pivot, open_row = None, None, None
     for batch in batches:
@@ -293,7 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     keys = stored(nodes.select("node", "sig").mapInArrow(_emit_keys, "key long, node long, lead long, here long"), "keys")
     leads = keys.where("node = lead").select("key", "node", "here").repartition("key").sortWithinPartitions("key", "node")
-    met = stored(leads.mapInArrow(_meet, "key long, node long, pivot long"), "met")
+    met = stored(leads.mapInArrow(meet_keys, "key long, node long, pivot long"), "met")
     rest = keys.where("node <> lead").join(met.select("key", F.col("node").alias("lead"), "pivot"), ["key", "lead"])
     members = met.union(rest.select("key", "node", "pivot"))
     stars = members.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
