@@ -38,3 +38,13 @@ def keep_ids(df: DataFrame, column: str, ids: DataFrame, limit: int = BROADCAST_
     """
     small = ids.count() <= limit
     return df.join(F.broadcast(ids) if small else ids, column, "left_semi")
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(conf).delete(folder, True)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .scratch import BROADCAST_ROWS, stored
+from .scratch import BROADCAST_ROWS, discard, stored
 
 WINDOW, GRAM = 13, 6
 BATCHES = 3
@@ -197,12 +197,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for m in matches[1:]:
         matched = matched.union(m)
     lists = stored(_per_doc(matched.distinct(), "anchor", "anchors"), "anchor-lists")
+    discard(*matches)
     ids = stored(lists.select("doc_id"), "suspect-docs")
     doubtful = named.join(_near(named, ids), "doc_id", "left_semi").join(lists, "doc_id")
     windows = stored(doubtful.select("doc_id", "text", "anchors").mapInArrow(_windows_of, "window long, doc_id long"), "windows")
+    discard(lists, ids)
     again = windows.groupBy("window").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("hi")).where("hi > first_doc").drop("hi")
-    repeated = windows.join(stored(again, "repeated"), "window").where("doc_id > first_doc")
+    again = stored(again, "repeated")
+    repeated = windows.join(again, "window").where("doc_id > first_doc")
     gone = stored(_per_doc(repeated, "window", "windows"), "removals")
+    discard(windows, again)
     hit = stored(gone.select("doc_id"), "removal-docs")
     small = hit.count() <= BROADCAST_ROWS
     side = F.broadcast(hit) if small else hit
