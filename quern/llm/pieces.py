@@ -32,9 +32,9 @@ from . import text as tx
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of new segments matched at once, segments a task remembers, and symbols from which a heap is used.
-CHUNK, REMEMBERED, LONG = 1 << 18, 1 << 19, 48
-#: Ids decoded at once (or those of one longer text).
-STEP = 1 << 18
+CHUNK, REMEMBERED, LONG = 1 << 17, 1 << 19, 48
+#: Bytes of text encoded at once and ids decoded at once (or those of one longer text).
+SLICE, STEP = 1 << 20, 1 << 17
 
 
 @dataclass
@@ -271,7 +271,7 @@ def encoded(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> Data
             plain = batch.column(text_col)
             if pc.any(pc.match_substring(plain, "▁")).as_py():
                 plain = pc.replace_substring(plain, "▁", " ")
-            for at, to, data, offsets in tx.slices(pa.RecordBatch.from_arrays([plain], ["text"]), "text"):
+            for at, to, data, offsets in tx.slices(pa.RecordBatch.from_arrays([plain], ["text"]), "text", SLICE):
                 ids, where = encoder.encode(data, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(where.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, to - at) for c in names), lists, pa.array(np.diff(where))], [*names, "ids", "n_pieces"])
