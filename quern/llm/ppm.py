@@ -5,15 +5,15 @@ every token sequence has exactly one byte string and the byte probabilities mult
 
 * Counting: each task sorts the (ORDER + 1)-byte grams of its training texts and sends distinct grams with
   counts; sums over the first bytes give all lower orders, so the trie needs one pass over the corpus.
-* Size: the model that goes to every task holds at most ``MODEL_NODES`` trie edges.  A histogram of counts (at
-  most a thousand buckets) gives the smallest count that fits; what is below it stays in the escape mass of
-  its context, so all of the corpus is counted.
-* Probability: the longest context in the trie predicts; a symbol it lacks costs the escape estimate and goes to
+* Size: the level tables hold every edge that was counted and stay distributed, so the model grows with the corpus.
+* Probability: the longest context in the model predicts; a symbol it lacks costs the escape estimate and goes to
   the next shorter context, from whose counts the longer context's symbols are excluded.  Each successor gives
-  ``DISCOUNT`` of its weight to the escape, and pruned weight goes there whole.  Below the longest order a
-  successor weighs as many longer contexts as it was seen in (update exclusion).  Since a shorter context has
-  every symbol of a longer one, the excluded weight is one number per context and is computed once.
-* Documents: each slice of text scores its distinct grams once and sums them per document.
+  ``DISCOUNT`` of its weight to the escape.  Below the longest order a successor weighs as many longer contexts as
+  it was seen in (update exclusion).  Since a shorter context has every symbol of a longer one, the excluded weight
+  is one number per context.  Grams of the training texts end at the longest order; only those that held-out texts
+  alone have go down the orders, by joins with the contexts they meet.
+* Documents: each distinct gram is scored once.  The scores of the ``MODEL_NODES`` most frequent grams at most go to
+  the tasks, which sum them per document; a document's other grams are joined with the table of scores.
 
 The word-count base score is exact for every word: counts of frequent words go to the tasks (at most
 ``MODEL_WORDS``), the other words of each document are joined with the count table.
@@ -26,10 +26,11 @@ Words are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -138,81 +139,50 @@ def _least_count(counts: DataFrame, limit: int) -> int:
     return least
 
 
-class Trie:
-    """The contexts of each order as sorted arrays, with the logarithms that scoring needs."""
-
-    def __init__(self, level, order: int = ORDER) -> None:
-        """level(k): arrays gram, weight, whole (weight of all successors of the context, pruned ones too) of order k."""
-        self.order, self.grams, self.contexts, self.log_weight = order, [], [], []
-        self.log_total, self.log_escape, self.log_total_below, self.log_escape_below = [], [], [], []
-        below = None
-        for k in range(order + 1):
-            gram, weight, whole = level(k)
-            gram = gram.view(np.uint64)
-            by = np.argsort(gram)
-            gram, weight, whole = gram[by], weight[by].astype(np.float64), whole[by]
-            context = gram >> np.uint64(8)
-            at = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(gram) else np.zeros(0, np.int64)
-            ctx = context[at]
-            distinct = np.diff(np.append(at, len(gram))).astype(float)
-            kept = np.add.reduceat(weight, at) if len(at) else np.zeros(0)
-            dropped = np.maximum(whole[at] - kept, 0)
-            self.log_total.append(np.log10(kept + dropped))
-            self.log_escape.append(np.log10(DISCOUNT * distinct + dropped))
-            if below is None:
-                self.log_total_below.append(np.log10(np.maximum(256 - distinct, 1)))
-                self.log_escape_below.append(np.zeros(len(ctx)))
-            else:
-                suffix = np.uint64((1 << (8 * (k - 1))) - 1)
-                parent = np.searchsorted(below["ctx"], ctx & suffix)
-                other = np.searchsorted(self.grams[k - 1], gram & np.uint64((1 << (8 * k)) - 1))
-                excluded = np.add.reduceat(below["weight"][other], at) if len(at) else np.zeros(0)
-                left = below["kept"][parent] - excluded + below["dropped"][parent]
-                escape = DISCOUNT * (below["distinct"][parent] - distinct) + below["dropped"][parent]
-                sure = escape <= 0  # nothing is left in the shorter context: it is passed at no cost
-                self.log_total_below.append(np.log10(np.where(sure, 1, left)))
-                self.log_escape_below.append(np.log10(np.where(sure, 1, escape)))
-            self.grams.append(gram)
-            self.contexts.append(ctx)
-            below = {"ctx": ctx, "kept": kept, "distinct": distinct, "dropped": dropped, "weight": weight}
-            self.log_weight.append(np.log10(weight - DISCOUNT))
-
-    def log10(self, gram: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's symbol after its context."""
-        out = np.zeros(len(gram))
-        open_ = np.arange(len(gram))
-        at = np.full(len(gram), -1)  # context last escaped from, in the order above
-        for k in range(self.order, -1, -1):
-            g = gram[open_]
-            sub = g & np.uint64((1 << (8 * (k + 1))) - 1)
-            fresh = at[open_] < 0
-            ctx = sub >> np.uint64(8)
-            if len(self.contexts[k]):
-                pos = np.minimum(np.searchsorted(self.contexts[k], ctx), len(self.contexts[k]) - 1)
-                known = self.contexts[k][pos] == ctx
-                edge = np.minimum(np.searchsorted(self.grams[k], sub), len(self.grams[k]) - 1)
-                hit = self.grams[k][edge] == sub
-            else:
-                pos = edge = np.zeros(len(g), np.int64)
-                known = hit = np.zeros(len(g), bool)
-            above = at[open_]
-            total = np.zeros(len(g))
-            escape = np.zeros(len(g))
-            direct = fresh & known
-            total[direct], escape[direct] = self.log_total[k][pos[direct]], self.log_escape[k][pos[direct]]
-            if k < self.order:
-                total[~fresh], escape[~fresh] = self.log_total_below[k + 1][above[~fresh]], self.log_escape_below[k + 1][above[~fresh]]
-            done = hit & known
-            if done.any():
-                out[open_[done]] += self.log_weight[k][edge[done]] - total[done]
-            go = ~done & known
-            out[open_[go]] += escape[go] - total[go]
-            at[open_[go]] = pos[go]
-            open_ = open_[~done]
-        if len(open_):
-            free = self.log_total_below[0][0] if len(self.log_total_below[0]) else np.log10(256.0)
-            out[open_] -= free
-        return out
+def _gram_scores(grams: DataFrame) -> DataFrame:
+    """(item, m, score) of every gram of grams(item, n, m), n in training texts and m in all: log10 of the symbol's probability after its context."""
+    level = stored(grams.where("n > 0").select(F.col("item").alias("gram"), F.col("n").alias("weight"), F.shiftrightunsigned("item", 8).alias("context"), "m"), "level")
+    total = F.sum("weight").over(Window.partitionBy("context"))  # at most 256 successors each
+    done = [level.select(F.col("gram").alias("item"), "m", (F.log10(F.col("weight") - DISCOUNT) - F.log10(total)).alias("score"))]
+    none = F.lit(None).cast("double")
+    # total and escape: of the next context without the symbols already excluded; null before any context was met
+    open_ = stored(grams.where("n = 0").select("item", "m", F.lit(0.0).alias("score"), none.alias("total"), none.alias("escape")), "open-grams")
+    level = level.drop("m")
+    for k in range(ORDER, -1, -1):
+        gram = F.col("item").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))
+        open_ = open_.withColumn("gram", gram).withColumn("context", F.shiftrightunsigned("gram", 8))
+        edges = stored(level.join(open_.select("context").distinct(), "context", "left_semi"), "met-edges")
+        met = edges.groupBy("context").agg(F.sum("weight").alias("kept"), F.count("*").alias("distinct"))
+        if k:
+            short = F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1))
+            level = stored(level.groupBy(short.alias("gram")).agg(F.count("*").alias("weight")).withColumn("context", F.shiftrightunsigned("gram", 8)), "level")
+            lower = level.select(F.col("gram").alias("short"), F.col("weight").alias("lower"))
+            excluded = edges.select("context", short.alias("short")).join(lower, "short").groupBy("context").agg(F.sum("lower").alias("excluded"))
+            met = stored(met.join(excluded, "context").withColumn("parent", F.col("context").bitwiseAND(F.lit((1 << (8 * (k - 1))) - 1))), "met-contexts")
+            parents = level.join(met.select(F.col("parent").alias("context")).distinct(), "context", "left_semi").groupBy(F.col("context").alias("parent"))
+            met = met.join(parents.agg(F.sum("weight").alias("all"), F.count("*").alias("kinds")), "parent")
+            sure = F.col("kinds") <= F.col("distinct")  # nothing is left in the shorter context: it is passed at no cost
+            met = met.withColumn("next_total", F.when(sure, 1.0).otherwise((F.col("all") - F.col("excluded")).cast("double")))
+            met = met.withColumn("next_escape", F.when(sure, 1.0).otherwise(DISCOUNT * (F.col("kinds") - F.col("distinct"))))
+        else:
+            met = met.withColumn("next_total", F.greatest(256 - F.col("distinct"), F.lit(1)).cast("double")).withColumn("next_escape", F.lit(1.0))
+        met = met.select("context", "kept", "distinct", "next_total", "next_escape")
+        found = open_.join(met, "context", "left").join(edges.select("gram", "weight"), "gram", "left")
+        spent = F.log10(F.coalesce("total", F.col("kept").cast("double")))
+        gain = F.when(F.col("weight").isNotNull(), F.log10(F.col("weight") - DISCOUNT) - spent).when(F.col("kept").isNotNull(), F.log10(F.coalesce("escape", DISCOUNT * F.col("distinct"))) - spent).otherwise(0.0)
+        found = found.select(
+            "item", "m", (F.col("score") + gain).alias("score"), F.coalesce("next_total", "total").alias("total"), F.coalesce("next_escape", "escape").alias("escape"), F.col("weight").isNotNull().alias("hit")
+        )
+        found = stored(found, "open-grams")
+        done.append(found.where("hit").select("item", "m", "score"))
+        open_ = found.where("not hit").drop("hit")
+    done.append(open_.select("item", "m", (F.col("score") - F.log10(F.coalesce("total", F.lit(256.0)))).alias("score")))
+    return stored(reduce(DataFrame.union, done), "gram-scores")
+
+
+def _distinct(items: np.ndarray) -> np.ndarray:
+    ranked = np.sort(items)
+    return ranked[np.concatenate(([True], ranked[1:] != ranked[:-1]))] if len(ranked) else ranked
 
 
 def _known(model: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,28 +192,41 @@ def _known(model: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return pos, model[pos] == words
 
 
-def _rare(frequent):
+def _rare(frequent, of: str):
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each document's words that are not among the frequent ones."""
-        words, _ = frequent.value
+        """Each document's words or grams that are not among the frequent ones."""
+        items, _ = frequent.value
         for batch in batches:
             key = batch.column("row_key").to_numpy()
             for at, to, data, start, end, first in _slices(batch):
-                word = tx.span_hashes(data, start, end)
-                far = ~_known(words, word)[1]
-                row, word = np.repeat(np.arange(to - at), np.diff(first))[far], word[far]
-                order = np.lexsort((word, row))
-                row, word = row[order], word[order]
-                head = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (word[1:] != word[:-1])))) if len(row) else np.zeros(0, np.int64)
+                if of == "gram":
+                    item, first = grams_of(*canonical(data, start, end, first, ORDER))
+                    first = np.append(first, len(item))
+                else:
+                    item = tx.span_hashes(data, start, end)
+                ranked = _distinct(item)
+                far = _known(ranked[~_known(items, ranked)[1]], item)[1]
+                row, item = np.repeat(np.arange(to - at), np.diff(first))[far], item[far]
+                order = np.lexsort((item, row))
+                row, item = row[order], item[order]
+                head = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])))) if len(row) else np.zeros(0, np.int64)
                 times = np.diff(np.append(head, len(row)))
-                yield pa.RecordBatch.from_arrays([pa.array(key[at:to][row[head]]), pa.array(word[head].view(np.int64)), pa.array(times)], ["row_key", "item", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[at:to][row[head]]), pa.array(item[head].view(np.int64)), pa.array(times)], ["row_key", "item", "times"])
 
     return rare
 
 
-def _scored(trie, frequent, train_docs: int):
+def _frequent(table: DataFrame, value: str, limit: int):
+    """Broadcast of the items of table(item, n, ...) with the largest n, sorted, and their values; at most limit."""
+    top = table.where(F.col("n") >= _least_count(table, limit)).select("item", value).toArrow()
+    item, found = top.column("item").to_numpy().view(np.uint64), top.column(value).to_numpy()
+    by = np.argsort(item)
+    return table.sparkSession.sparkContext.broadcast((item[by], found[by]))
+
+
+def _scored(cache, frequent, train_docs: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (words, counts) = trie.value, frequent.value
+        (grams, scores), (words, counts) = cache.value, frequent.value
         logs = np.log10(counts.astype(np.float64) + 1.0)
         for batch in batches:
             for at, to, data, start, end, first in _slices(batch):
@@ -253,9 +236,10 @@ def _scored(trie, frequent, train_docs: int):
                 sums = np.concatenate(([0.0], np.cumsum(value)))[first]
                 known = np.concatenate(([0], np.cumsum(here)))[first]
                 gram, begin = grams_of(*canonical(data, start, end, first, ORDER))
-                ranked = np.sort(gram)
-                ranked = ranked[np.concatenate(([True], ranked[1:] != ranked[:-1]))]
-                bits = model.log10(ranked)[np.searchsorted(ranked, gram)]
+                ranked = _distinct(gram)
+                pos, here = _known(grams, ranked)
+                value = np.where(here, scores[pos] if len(scores) else 0.0, 0.0)
+                bits = value[np.searchsorted(ranked, gram)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).slice(at, to - at) for c in ("row_key", "doc_id", "held_out")]
                     + [pa.array(x) for x in (np.diff(first) + 1, np.diff(known) + (train_docs > 0), np.diff(sums) + np.log10(train_docs + 1.0), np.add.reduceat(bits, begin))],
@@ -277,37 +261,23 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seen = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     train_docs = train.count()
     tokens, distinct = seen.n + train_docs, seen.v + (train_docs > 0)
-    top = words.where(F.col("n") >= _least_count(words, MODEL_WORDS)).toArrow()
-    item, times = top.column("item").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    by = np.argsort(item)
-    frequent = spark.sparkContext.broadcast((item[by], times[by]))
-    del top, item, times, by
-
-    grams = stored(train.mapInArrow(_count("gram"), "item long, n long").groupBy("item").agg(F.sum("n").alias("n")), "grams")
-    level = grams.select(F.col("item").alias("gram"), "n", F.col("n").alias("weight"))
-    levels = level.select(F.lit(ORDER).alias("k"), "gram", "n", "weight")
-    for k in range(ORDER - 1, -1, -1):
-        shorter = F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))
-        level = stored(level.groupBy(shorter.alias("gram")).agg(F.sum("n").alias("n"), F.count("*").alias("weight")), "level")
-        levels = levels.union(level.select(F.lit(k).alias("k"), "gram", "n", "weight"))
-    context = F.shiftrightunsigned("gram", 8)
-    whole = levels.groupBy("k", context.alias("context")).agg(F.sum("weight").alias("whole"), F.max("n").alias("most"))
-    least = _least_count(levels, MODEL_NODES)
-    edges = levels.where(F.col("n") >= least).withColumn("context", context)
-    edges = edges.join(whole.where(F.col("most") >= least).drop("most"), ["k", "context"]).select("k", "gram", "weight", "whole")
-    edges = stored(edges, "edges")
-
-    def level(k: int) -> tuple[np.ndarray, ...]:
-        table = edges.where(f"k = {k}").select("gram", "weight", "whole").toArrow()
-        return tuple(table.column(c).to_numpy() for c in ("gram", "weight", "whole"))
-
-    trie = spark.sparkContext.broadcast(Trie(level))
-
-    rare = docs.select("row_key", "text").mapInArrow(_rare(frequent), "row_key long, item long, times long")
-    rare = rare.groupBy("row_key", "item").agg(F.max("times").alias("times")).join(words, "item")
-    rare = rare.groupBy("row_key").agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_base"))
+    frequent = _frequent(words, "n", MODEL_WORDS)
+
+    trained = train.mapInArrow(_count("gram"), "item long, n long").select("item", "n", F.col("n").alias("m"))
+    met = docs.where("held_out").select("text").mapInArrow(_count("gram"), "item long, n long").select("item", F.lit(0).cast("long").alias("n"), F.col("n").alias("m"))
+    grams = stored(trained.union(met).groupBy("item").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "grams")
+    scores = _gram_scores(grams).withColumnRenamed("m", "n")
+    cache = _frequent(scores, "score", MODEL_NODES)
+
+    def rare(of: str, frequent, table: DataFrame) -> DataFrame:
+        found = docs.select("row_key", "text").mapInArrow(_rare(frequent, of), "row_key long, item long, times long")
+        return found.groupBy("row_key", "item").agg(F.max("times").alias("times")).join(table, "item")
+
+    far = rare("word", frequent, words).select("row_key", F.col("times").alias("known"), (F.col("times") * F.log10(F.col("n") + 1.0)).alias("base"), F.lit(0.0).alias("score"))
+    far = far.union(rare("gram", cache, scores).select("row_key", F.lit(0).cast("long"), F.lit(0.0), F.col("times") * F.col("score")))
+    far = far.groupBy("row_key").agg(F.sum("known").alias("rare_known"), F.sum("base").alias("rare_base"), F.sum("score").alias("rare_score"))
     schema = "row_key long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
-    rows = docs.mapInArrow(_scored(trie, frequent, train_docs), schema).join(rare, "row_key", "left")
+    rows = docs.mapInArrow(_scored(cache, frequent, train_docs), schema).join(far, "row_key", "left")
     return rows.select(
         "doc_id",
         "held_out",
@@ -315,5 +285,5 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(tokens + distinct + 1))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )

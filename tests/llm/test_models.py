@@ -178,6 +178,17 @@ def test_pruned_model_still_scores(prose, monkeypatch):
     assert len(got) == len(rows) and all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+@pytest.mark.parametrize("nodes", [1 << 20, 60, 0])
+def test_every_gram_counts_whatever_the_tasks_hold(prose, monkeypatch, nodes):
+    df, rows = prose
+    monkeypatch.setattr(ppm, "MODEL_NODES", nodes)
+    plain = PlainPpm([b" ".join(words(r[1])) for r in rows if not held(r[0])])
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in ppm.ppm_scores(df).collect())
+    want = sorted((i is None, i or 0, plain.log10(b" ".join(words(t)))) for i, t, *_ in rows)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-6)
+
+
 def test_no_documents_to_learn_from(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ppm.ppm_scores(df).count() == 0
