@@ -10,7 +10,9 @@ save at least 1, 2, ... bytes are its features; a logistic curve fitted on label
 dictionaries have not seen, calibrates them to a probability.
 
 Sample: dictionaries and curve are fitted on at most ``SAMPLE`` labelled documents of each class (by hash of
-doc_id) outside the held-out fold; half makes the dictionaries, half the curve.  Every document is scored whole.
+doc_id) outside the held-out fold; half makes the dictionaries, half the curve.  A row of the sample weighs as many
+labelled documents as it stands for (its class's labels / those sampled), in the curve and in the share of toxic
+labels, so scores don't depend on how many of a class were sampled.  Every document is scored whole.
 
 Nulls and edge cases: null text is empty; a text without words gets the curve's value at no windows.  Labels that are null or
 of rows without doc_id are not used; of repeated labels of one doc_id the largest counts.  If a class has no
@@ -83,11 +85,13 @@ def _fit(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int) -> tu
     labels = labels.where(F.crc32(F.col("doc_id").cast("string")) % modulus != 0)
     order = F.xxhash64("doc_id", F.lit(5))
     picked = [stored(labels.where(f"label = {k}").orderBy(order, "doc_id").limit(SAMPLE), "sample") for k in (0, 1)]
+    every = {r.label: r["count"] for r in labels.groupBy("label").count().collect()}
+    weight = np.array([every.get(k, 0) / max(1, picked[k].count()) for k in (0, 1)])
     sample = stored(docs.join(F.broadcast(picked[0].union(picked[1])), "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(2))), "labelled")
     half = sample.where("half = 0").dropDuplicates(["text"])
     counts = {r.label: r["count"] for r in half.groupBy("label").count().collect()}
-    ones = sample.where("label = 1").count()
-    prior = (ones + 0.5) / (sample.count() + 1.0)
+    zeros, ones = (sample.where(f"label = {k}").count() * weight[k] for k in (0, 1))
+    prior = float((ones + 0.5) / (zeros + ones + 1.0))
     if len(counts) < 2:
         return b"", b"", None, prior
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -124,7 +128,8 @@ def _fit(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int) -> tu
     if not len(rows):
         return ordinary, specific, None, prior
     x = np.stack([np.frombuffer(f, float) for f in rows["features"]])
-    return ordinary, specific, Logistic(x, rows["label"].to_numpy(float)), prior
+    label = rows["label"].to_numpy(int)
+    return ordinary, specific, Logistic(x, label.astype(float), weight[label]), prior
 
 
 def _lazy(ordinary: bytes, specific: bytes):

@@ -260,6 +260,20 @@ def test_toxicity_learns_terms_it_meets_in_many_places(spark):
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
 
 
+def test_toxicity_scores_keep_the_share_of_toxic_labels_when_sampled(spark, monkeypatch):
+    rng = random.Random(12)
+    docs = [(i, prose_of(rng, ["grumblesnark"] * 3 if i % 10 == 0 and i % 3 else []), "en", "s", 10) for i in range(1200)]
+    df = spark.createDataFrame(docs, DOCS)
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1200)], "doc_id long, label int")
+    monkeypatch.setattr(toxicity, "SAMPLE", 80)
+    kept = [i for i in range(1200) if zlib.crc32(str(i).encode()) % 5]
+    share = sum(i % 10 == 0 for i in kept) / len(kept)
+    got = [r.score for r in toxicity.toxicity_scores(df, labels, label_col="label").collect()]
+    assert np.mean(got) == pytest.approx(share, abs=0.04)
+    *_, prior = toxicity._fit(df.select("doc_id", "text"), labels, "label", 5)
+    assert prior == pytest.approx(share, abs=0.005)
+
+
 def test_classifiers_without_labels_give_the_share(spark):
     docs, labels = labelled(spark, prose_of, prose_of, 4)
     none = labels.limit(0)
