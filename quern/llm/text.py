@@ -7,6 +7,7 @@ slice (or one very long document), never the Arrow batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ LOWER[65:91] += 32
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: spreads every input bit over the whole word."""
     h = h ^ (h >> U64(30))
-    h = h * U64(0xBF58476D1CE4E5B9)
+    h *= U64(0xBF58476D1CE4E5B9)
     h ^= h >> U64(27)
     h *= U64(0x94D049BB133111EB)
     h ^= h >> U64(31)
@@ -37,19 +38,11 @@ def seeded(n: int, seed: int) -> np.ndarray:
         return mix((np.arange(1, n + 1, dtype=U64) + U64(seed * 1_000_003)) * U64(0x9E3779B97F4A7C15))
 
 
-_BYTE = seeded(256, 1)
-_BASE = 0x5851F42D4C957F2D
-_UNBASE = pow(_BASE, -1, 1 << 64)
-_power = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_power[0]) < n:
-        for k, base in enumerate((_BASE, _UNBASE)):
-            steps = np.full(n, base, U64)
-            steps[0] = 1
-            _power[k] = np.cumprod(steps, dtype=U64)
-    return _power[0][:n], _power[1][:n]
+#: Factors and offsets of the two independent lanes of span_hashes2.
+_LANES = ((U64(0x9FB21C651E98DF25), U64(0x2545F4914F6CDD1D)), (U64(0xC2B2AE3D27D4EB4F), U64(0xA0761D6478BD642F)))
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+#: Spans of more bytes than this are hashed one by one.
+LONG_SPAN = 2048
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -90,17 +83,36 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, np.flatnonzero(last) + 1, np.searchsorted(start, offsets)
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range (not empty)."""
+def span_hashes2(data: np.ndarray, start: np.ndarray, end: np.ndarray, lanes: int = 2) -> list[np.ndarray]:
+    """Independent 64-bit hashes of each byte range, two of them 128 bits: the range's 8-byte pieces are mixed in one
+    after the other, so no construction of repeats or complements makes two ranges equal as sums of powers would."""
+    size = end - start
+    out = [size.astype(U64) * by + add for by, add in _LANES[:lanes]]
     if not len(start):
-        return np.zeros(0, U64)
-    power, inverse = _powers(len(data))
-    total = np.cumsum(_BYTE[data] * power, dtype=U64)
-    h = total[end - 1]
-    inner = start > 0
-    h[inner] -= total[start[inner] - 1]
-    h *= inverse[start]
-    return mix(h ^ (end - start).astype(U64))
+        return out
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    pieces = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    piece = pieces[start] & _KEEP[np.minimum(size, 8)]
+    for k, (by, add) in enumerate(_LANES[:lanes]):
+        out[k] = mix((out[k] ^ piece) * by + add)
+    live = np.flatnonzero((size > 8) & (size <= LONG_SPAN))
+    at, left = start[live] + 8, size[live] - 8
+    while len(live):
+        piece = pieces[at] & _KEEP[np.minimum(left, 8)]
+        for h, (by, add) in zip(out, _LANES[:lanes], strict=True):
+            h[live] = mix((h[live] ^ piece) * by + add)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]], digest_size=16).digest()
+        for k, h in enumerate(out):
+            h[i] = int.from_bytes(digest[8 * k : 8 * k + 8], "little")
+    return out
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range."""
+    return span_hashes2(data, start, end, 1)[0]
 
 
 _GRAM = 0xD6E8FEB86659FD93
