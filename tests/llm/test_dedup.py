@@ -272,6 +272,8 @@ def test_keys_meet_across_batches():
         groups = {}
         for k, n, h in rows:
             groups.setdefault(k, []).append((n, h))
+        lines = sorted(tuple(r.values()) for b in line_dedup._meet_keys(iter(batches)) for r in b.to_pylist())
+        assert lines == sorted((k, n, g[0][0]) for k, g in groups.items() for n in {n for n, _ in g} if len({n for n, _ in g}) > 1 or max(h for _, h in g) > 1)
         want = sorted((k, n, g[0][0]) for k, g in groups.items() for n, h in g if len(g) > 1 or h > 1)
         assert got == want
 
