@@ -4,11 +4,13 @@ A window is 13 consecutive words of one document.  Each window is represented by
 among its eight 6-word grams; equal windows have equal anchors, and neighbouring windows mostly share one, so
 about a fifth as many fingerprints as windows enter the index and no repeat can be missed.
 
-* The index is a list of immutable runs (anchor, doc_id of its first document), each a table bucketed and
-  sorted by anchor, so a new batch is merge-joined with every run without moving the runs.
+* The index is a list of immutable runs (anchor, doc_id of its first document), each bucketed and sorted by anchor, so a
+  new batch is merge-joined with every run, and runs are merged bucket by bucket, without moving what is indexed.  A run
+  holds only anchors that no run before it has.  The index also keeps which later documents met which anchor.  Its
+  folder has a manifest, so a later session opens it, adds new documents and gets what one run over all gives.
 * Batches arrive in doc_id order.  A batch's anchors that are in a run, or in several of its own documents,
   are suspects; its new anchors become the next run; runs of similar size are merged into one.
-* Suspects are verified on the hashes of all 13 words: a window goes if its word sequence starts in a
+* Suspects are verified on 96-bit hashes of all 13 words: a window goes if its word sequence starts in a
   document with a smaller doc_id.  Everything is judged on the input texts.
 
 Nulls and edge cases: null text has no words.  Rows without doc_id lose nothing and remove nothing.  Rows
@@ -21,14 +23,16 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .scratch import BROADCAST_ROWS, discard, stored
+from .scratch import delete, discard, joined, shared_dir, stored, without
 
 WINDOW, GRAM = 13, 6
 BATCHES = 3
@@ -67,61 +71,117 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class FingerprintIndex:
-    """Immutable sorted runs of (anchor, first_doc), kept as bucketed tables of the warehouse."""
+    """Immutable sorted runs of (anchor, first_doc) and the matches (doc_id, anchor) found so far, in one folder.
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.runs = spark, []
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    The manifest is a table of (version, place, path, entries, buckets); the rows of the largest version are the runs.
+    """
+
+    MANIFEST = "version long, place int, path string, entries long, buckets int"
 
-    def _write(self, rows: DataFrame) -> tuple[str, int]:
+    def __init__(self, spark: SparkSession, root: str | None = None) -> None:
+        self.spark, self.lasting = spark, root is not None
+        self.root = root or f"{shared_dir(spark)}/quern/index-{uuid.uuid4().hex}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.version, self.runs, self.dropped = 0, [], []
+        if self.lasting:
+            self._open()
+
+    def _open(self) -> None:
+        try:
+            rows = self.spark.read.schema(self.MANIFEST).parquet(f"{self.root}/manifest").collect()
+        except AnalysisException:  # a new index
+            return
+        self.version = max((r.version for r in rows), default=0)
+        for r in sorted((r for r in rows if r.version == self.version), key=lambda r: r.place):
+            self.buckets = r.buckets
+            self.runs.append((self._register(r.path, "first_doc"), r.path, r.entries))
+
+    def _register(self, path: str, column: str) -> str:
         name = f"quern_run_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "anchor").write.bucketBy(self.buckets, "anchor").sortBy("anchor").saveAsTable(name)
-        return name, self.spark.table(name).count()
+        self.spark.sql(f"CREATE TABLE {name} (anchor BIGINT, {column} BIGINT) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        return name
+
+    def _write(self, rows: DataFrame) -> tuple[str, str]:
+        """A bucketed table of rows, which are already dealt by anchor; external, so that dropping it keeps the files."""
+        name, path = f"quern_run_{uuid.uuid4().hex}", f"{self.root}/runs/{uuid.uuid4().hex}"
+        rows.write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", path).saveAsTable(name)
+        return name, path
+
+    def _remove(self, name: str, path: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        delete(self.spark, path)
+
+    def matches(self) -> DataFrame:
+        """(doc_id, anchor) of the documents indexed before that shared an anchor with another."""
+        empty = self.spark.createDataFrame([], "doc_id long, anchor long")
+        try:
+            return self.spark.read.schema(empty.schema).parquet(f"{self.root}/matches")
+        except AnalysisException:
+            return empty
 
     def add(self, batch: DataFrame, keep: bool = True) -> DataFrame:
-        """Suspects (anchor, first_doc) of a batch (anchor, doc_id) whose ids are all larger than those before.
-
-        keep=False leaves the batch itself out of the index.
-        """
-        own = batch.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-        seen = own.withColumn("before", F.lit(None).cast("long"))
-        for name, _ in self.runs:
+        """Matches (doc_id, anchor) of a batch (anchor, doc_id) whose ids are all larger than those before: every document of the
+        batch that is not the first with the anchor, and the first.  keep=False leaves the batch itself out of the index."""
+        entries = self._write(batch.repartition(self.buckets, "anchor"))
+        table = self.spark.table(entries[0])
+        seen = table.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).withColumn("before", F.lit(None).cast("long"))
+        for name, _, _ in self.runs:
             run = self.spark.table(name).select(F.col("anchor"), F.col("first_doc").alias("found"))
             seen = seen.join(run.hint("merge"), "anchor", "left").select("anchor", "lo", "hi", F.least("before", "found").alias("before"))
-        seen = stored(seen.where("before is not null or lo < hi") if not keep else seen, "batch")
-        suspects = seen.where(F.col("hi") > F.coalesce("before", "lo")).select("anchor", F.coalesce("before", "lo").alias("first_doc"))
+        suspects = stored(seen.where(F.col("hi") > F.coalesce("before", "lo")).select("anchor", F.coalesce("before", "lo").alias("first_doc")), "suspects")
+        later = table.join(suspects, "anchor").where("doc_id > first_doc").select("doc_id", "anchor")
+        found = stored(later.union(suspects.select("first_doc", "anchor")), "matches")
         if keep:
-            self.runs.append(self._write(seen.where("before is null").select("anchor", F.col("lo").alias("first_doc"))))
+            fresh = seen.where("before is null").select("anchor", F.col("lo").alias("first_doc"))
+            self.runs.append((*(made := self._write(fresh)), self.spark.table(made[0]).count()))
             self._compact()
-        return suspects
+        self._remove(*entries)
+        discard(suspects)
+        if self.lasting:
+            found.write.mode("append").parquet(f"{self.root}/matches")
+        return found
 
     def _compact(self) -> None:
-        while len(self.runs) > 1 and self.runs[-2][1] < 2 * self.runs[-1][1]:
-            (a, _), (b, _) = self.runs[-2:]
-            self.runs[-2:] = [self._write(self.spark.table(a).union(self.spark.table(b)))]
-            for old in (a, b):
-                self.spark.sql(f"DROP TABLE {old}")
-
-    def drop(self) -> None:
-        for name, _ in self.runs:
+        """Merges runs of similar size: equal buckets of both are joined where they lie."""
+        while len(self.runs) > 1 and self.runs[-2][2] < 2 * self.runs[-1][2]:
+            a, b = (self.spark.table(name) for name, _, _ in self.runs[-2:])
+            both = a.hint("merge").join(b.withColumnRenamed("first_doc", "other"), "anchor", "full").select("anchor", F.coalesce("first_doc", "other").alias("first_doc"))
+            self.dropped += self.runs[-2:]
+            self.runs[-2:] = [(*self._write(both), self.runs[-2][2] + self.runs[-1][2])]
+
+    def close(self) -> None:
+        """Commits the manifest of a lasting index and deletes what was compacted away; an index of one call goes."""
+        if self.lasting:
+            self.version += 1
+            rows = [(self.version, k, path, entries, self.buckets) for k, (_, path, entries) in enumerate(self.runs)]
+            self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+        for name, path, _ in self.dropped:
+            self._remove(name, path)
+        for name, path, _ in self.runs:
             self.spark.sql(f"DROP TABLE {name}")
-        self.runs = []
+            if not self.lasting:
+                delete(self.spark, path)
+        self.runs, self.dropped = [], []
 
 
 def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the windows whose anchor is among the document's suspects."""
+    """Hashes and places of the windows whose anchor is among the document's suspects."""
     for batch in batches:
         ids = batch.column("doc_id").to_numpy()
         lists = batch.column("anchors")
-        for at, to, _, _, _, _, first, word in _words(batch):
-            whole = tx.gram_hashes(word, WINDOW)
-            anchors = _window_anchors(word) if len(whole) else whole
+        for at, to, data, _, start, end, first, word in _words(batch):
+            if len(word) < WINDOW:
+                continue
+            whole, check = tx.gram_hashes(word, WINDOW), tx.gram_hashes(tx.span_hashes2(data, start, end)[1], WINDOW)
+            anchors = _window_anchors(word)
             for d in range(to - at):
                 a, b = first[d], first[d + 1] - WINDOW + 1
                 if b > a:
-                    wanted = lists[at + d].values.to_numpy().view(np.uint64)
-                    hit = np.unique(whole[a:b][np.isin(anchors[a:b], wanted)])
-                    yield pa.RecordBatch.from_arrays([pa.array(hit.view(np.int64)), pa.array(np.full(len(hit), ids[at + d]))], ["window", "doc_id"])
+                    wanted = np.sort(lists[at + d].values.to_numpy().view(np.uint64))
+                    place = np.minimum(np.searchsorted(wanted, anchors[a:b]), len(wanted) - 1)
+                    hit = np.flatnonzero(wanted[place] == anchors[a:b])
+                    values = (whole[a + hit].view(np.int64), (check[a + hit] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(hit), ids[at + d]), hit.astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in values], ["window", "check", "doc_id", "place"])
 
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -130,19 +190,18 @@ _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_t
 def _cleaned(with_text: bool):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("windows") if "windows" in batch.schema.names else None
-            for at, to, data, offsets, start, end, first, word in _words(batch):
+            lists = batch.column("places") if "places" in batch.schema.names else None
+            for at, to, data, offsets in tx.slices(batch, "text"):
+                start, end, first = tx.words(data, offsets)
                 keep = np.ones(len(start), bool)
                 if lists is not None:
-                    whole = tx.gram_hashes(word, WINDOW)
+                    edge = np.zeros(len(start) + 1, np.int64)
                     for d in range(to - at):
-                        a, b = first[d], first[d + 1] - WINDOW + 1
-                        if b > a and lists[at + d].is_valid:
-                            hit = np.flatnonzero(np.isin(whole[a:b], lists[at + d].values.to_numpy().view(np.uint64)))
-                            edge = np.zeros(first[d + 1] - a + 1, np.int64)
+                        if lists[at + d].is_valid:
+                            hit = first[d] + lists[at + d].values.to_numpy()
                             np.add.at(edge, hit, 1)
                             np.add.at(edge, hit + WINDOW, -1)
-                            keep[a : first[d + 1]] = np.cumsum(edge[:-1]) == 0
+                    keep = np.cumsum(edge[:-1]) == 0
                 kept = np.concatenate(([0], np.cumsum(keep)))
                 per_doc = np.diff(kept[first])
                 mark = np.zeros(len(data) + 1, np.int32)
@@ -169,48 +228,43 @@ def _cleaned(with_text: bool):
     return clean
 
 
-def _per_doc(rows: DataFrame, column: str, name: str) -> DataFrame:
-    return rows.groupBy("doc_id").agg(F.collect_list(column).alias(name))
-
-
-def _near(big: DataFrame, side: DataFrame) -> DataFrame:
-    """side broadcast if it has few rows, else the two are shuffled."""
-    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
-
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, batches: int = BATCHES, index: str | None = None, history: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text; one row per document.
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, batches: int = BATCHES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text; one row per document."""
+    index: folder of a lasting index, made if there is none.  It stands for ``history``, the documents added to it before,
+    whose ids must all be smaller; of those only the ones that share an anchor with docs are read again.
+    """
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = docs.where("doc_id is not null")
     cuts = named.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000).alias("q")).first().q or []
     edges = [None, *sorted(set(cuts)), None]
-    index, matches = FingerprintIndex(docs.sparkSession), []
+    runs, found = FingerprintIndex(spark, index), []
+    before = runs.matches() if index and history is not None else None
     for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
         part = named.where(f"doc_id > {lo}") if lo is not None else named
         part = part.where(f"doc_id <= {hi}") if hi is not None else part
         anchors = part.mapInArrow(_anchors, "anchor long, doc_id long")
-        suspects = stored(index.add(anchors, keep=k + 2 < len(edges)), "suspects")
-        later = anchors.join(_near(anchors, suspects), "anchor").where("doc_id > first_doc").select("doc_id", "anchor")
-        matches.append(stored(later.union(suspects.select("first_doc", "anchor")), "matches"))
-    index.drop()
-    matched = matches[0]
-    for m in matches[1:]:
-        matched = matched.union(m)
-    lists = stored(_per_doc(matched.distinct(), "anchor", "anchors"), "anchor-lists")
-    discard(*matches)
-    ids = stored(lists.select("doc_id"), "suspect-docs")
-    doubtful = named.join(_near(named, ids), "doc_id", "left_semi").join(lists, "doc_id")
-    windows = stored(doubtful.select("doc_id", "text", "anchors").mapInArrow(_windows_of, "window long, doc_id long"), "windows")
-    discard(lists, ids)
-    again = windows.groupBy("window").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("hi")).where("hi > first_doc").drop("hi")
+        if k == 0 and before is not None:
+            old = stored(before, "matches-before")
+        found.append(runs.add(anchors, keep=index is not None or k + 2 < len(edges)))
+    runs.close()
+    matched = reduce(DataFrame.union, found)
+    texts = named
+    if before is not None:
+        matched = matched.union(old.join(matched.select("anchor").distinct(), "anchor", "left_semi").select("doc_id", "anchor"))
+        texts = named.union(history.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null"))
+    lists = stored(matched.distinct().groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "anchor-lists")
+    discard(*found)
+    doubtful = joined(texts, "doc_id", lists)
+    windows = stored(doubtful.select("doc_id", "text", "anchors").mapInArrow(_windows_of, "window long, check int, doc_id long, place int"), "windows")
+    discard(lists)
+    again = windows.groupBy("window", "check").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("hi")).where("hi > first_doc").drop("hi")
     again = stored(again, "repeated")
-    repeated = windows.join(again, "window").where("doc_id > first_doc")
-    gone = stored(_per_doc(repeated, "window", "windows"), "removals")
+    repeated = windows.join(again, ["window", "check"]).where("doc_id > first_doc")
+    gone = stored(repeated.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "removals")
     discard(windows, again)
-    hit = stored(gone.select("doc_id"), "removal-docs")
-    small = hit.count() <= BROADCAST_ROWS
-    side = F.broadcast(hit) if small else hit
-    touched = docs.join(side, "doc_id", "left_semi").join(gone, "doc_id").select("doc_id", "text", "windows")
-    whole = docs.join(side, "doc_id", "left_anti")
+    touched = joined(docs, "doc_id", gone).select("doc_id", "text", "places")
+    whole = without(docs, "doc_id", gone)
     out = touched.mapInArrow(_cleaned(with_text), _RESULT).union(whole.mapInArrow(_cleaned(with_text), _RESULT))
     return out if with_text else out.drop("kept_text")
