@@ -16,7 +16,9 @@ Other columns are not looked at.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .scratch import keep_ids, stored
 
-#: Rows in a block, and the share of fingerprints an owner is meant to get, up to 2**14 owners.
-BLOCK_ROWS = 1 << 16
-OWNER_ROWS = 1 << 16
+#: Most rows in a block, and the fingerprints an owner is meant to get, up to 2**14 owners.
+BLOCK_ROWS = 1 << 20
+OWNER_ROWS = 1 << 18
 MOST_OWNER_BITS = 14
 #: Stands for a missing id among a block's ids.
 NO_ID = -(1 << 63)
@@ -62,31 +64,40 @@ def golomb_decode(code: bytes, n: int) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.uint64)
 
 
-_BLOCKS = "block string, owner int, n int, code binary, repeats binary, copies binary, ids binary"
+_BLOCKS = "block long, owner int, n int, code binary, repeats binary, copies binary, ids binary"
+
+
+def _block(ids: np.ndarray, prints: np.ndarray, owner_bits: int) -> pa.RecordBatch:
+    """The lists of one block, cut by owner."""
+    order = np.argsort(prints, kind="stable")
+    ids, prints = ids[order], prints[order]
+    first = np.flatnonzero(np.concatenate(([True], prints[1:] != prints[:-1])))
+    distinct, copies = prints[first], np.diff(np.append(first, len(prints)))
+    owner = (distinct >> np.uint64(64 - owner_bits)).astype(np.int64) if owner_bits else np.zeros(len(distinct), np.int64)
+    cut = np.flatnonzero(np.diff(owner, prepend=-1))
+    rows = {k: [] for k in ("block", "owner", "n", "code", "repeats", "copies", "ids")}
+    name = uuid.uuid4().int >> 65
+    for a, b in zip(cut, [*cut[1:], len(owner)], strict=True):
+        mine = distinct[a:b] - (np.uint64(int(owner[a]) << (64 - owner_bits)) if owner_bits else np.uint64(0))
+        upto = first[b] if b < len(first) else len(ids)
+        for key, value in (("block", name), ("owner", int(owner[a])), ("n", int(b - a)), ("code", golomb_encode(mine)), ("repeats", np.packbits(copies[a:b] > 1).tobytes()), ("copies", copies[a:b].astype(np.int32).tobytes()), ("ids", ids[first[a] : upto].astype(np.int64).tobytes())):
+            rows[key].append(value)
+    return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("block", pa.int64()), ("owner", pa.int32()), ("n", pa.int32()), *((k, pa.binary()) for k in ("code", "repeats", "copies", "ids"))]))
 
 
 def _blocks(owner_bits: int):
+    """A partition's rows as blocks of up to BLOCK_ROWS: long sorted lists have small gaps, which code short."""
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(at, BLOCK_ROWS)
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                prints = part.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-                order = np.argsort(prints, kind="stable")
-                ids, prints = ids[order], prints[order]
-                distinct, first, copies = np.unique(prints, return_index=True, return_counts=True)
-                owner = (distinct >> np.uint64(64 - owner_bits)).astype(np.int64) if owner_bits else np.zeros(len(distinct), np.int64)
-                cut = np.flatnonzero(np.diff(owner, prepend=-1))
-                rows = {k: [] for k in ("block", "owner", "n", "code", "repeats", "copies", "ids")}
-                name = uuid.uuid4().hex
-                for a, b in zip(cut, [*cut[1:], len(owner)], strict=True):
-                    mine = distinct[a:b] - (np.uint64(int(owner[a]) << (64 - owner_bits)) if owner_bits else np.uint64(0))
-                    upto = first[b] if b < len(first) else len(ids)
-                    for key, value in (("block", name), ("owner", int(owner[a])), ("n", int(b - a)), ("code", golomb_encode(mine)), ("repeats", np.packbits(copies[a:b] > 1).tobytes()), ("copies", copies[a:b].astype(np.int32).tobytes()), ("ids", ids[first[a] : upto].astype(np.int64).tobytes())):
-                        rows[key].append(value)
-                yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("block", pa.string()), ("owner", pa.int32()), ("n", pa.int32()), *((k, pa.binary()) for k in ("code", "repeats", "copies", "ids"))]))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
+        for batch in chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                held.append((batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)))
+                rows += batch.num_rows
+            if rows and (batch is None or rows >= BLOCK_ROWS):
+                yield _block(*(np.concatenate(x) for x in zip(*held, strict=True)), owner_bits)
+                held, rows = [], 0
 
     return encode
 
@@ -123,7 +134,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     owners = min(MOST_OWNER_BITS, max(0, (docs.count() // OWNER_ROWS).bit_length()))
     prints = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("fp"))
     blocks = stored(prints.mapInArrow(_blocks(owners), _BLOCKS), "fingerprints")
-    answers = blocks.select("block", "owner", "n", "code", "repeats").groupBy("owner").applyInArrow(_answer, "block string, owner int, bitmap binary")
+    answers = blocks.select("block", "owner", "n", "code", "repeats").groupBy("owner").applyInArrow(_answer, "block long, owner int, bitmap binary")
     named = blocks.select("block", "owner", "n", "copies", "ids").join(answers, ["block", "owner"])
     suspects = stored(named.mapInArrow(_suspects, "doc_id long").distinct(), "suspects")
     texts = keep_ids(docs, "doc_id", suspects).union(docs.where("doc_id is null"))
