@@ -8,8 +8,12 @@ product in double precision.
 
 The cells a query passes under one left codeword are the first few of its ranked right codewords, so one row
 (left codeword, query, how many) says them all.  Those rows meet the entries of the codeword, which are dealt to
-parts of about ``PART`` entries by hash of their id, as queries are to blocks, so no task grows with a crowded
-cell.  Each part keeps its own 20 best of a query, and the final 20 are taken from those.
+parts of about ``PART`` entries by hash of their id, so no task grows with a crowded cell.  Queries are dealt to blocks of
+about ``QUERY_BLOCK`` by their own cells, so queries of a block reach much the same codewords, and entries go only to the
+blocks that reach them.  Each part keeps its own 20 best of a query, and the final 20 are taken from those.
+
+A block product finds the best of a part; what may be among them is scored again by adding the products of the components
+in order, so equal vectors have equal scores wherever they lie.
 
 A cell counts for at most ``CELL_SHARE`` of the entries that a query asks for, so one crowded cell does not end
 the search.  Entries asked for: the larger of ``LEAST`` and ``PORTION`` of all, since recall at a fixed number of
@@ -36,10 +40,10 @@ from .scratch import stored
 SAMPLE = 20_000
 CODEWORDS = 128
 ROUNDS = 15
-LEAST, PORTION = 4000, 0.4
+LEAST, PORTION = 400, 0.45
 CELL_SHARE = 0.125
 PART = 16_384
-QUERY_BLOCK = 8192
+QUERY_BLOCK = 65_536
 
 
 def kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = ROUNDS) -> np.ndarray:
@@ -113,7 +117,10 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     counted = np.minimum(fill, max(1, int(CELL_SHARE * want)))
     parts = np.maximum(1, -(-fill.reshape(sizes).sum(1) // PART))
     asked = index.where(F.expr(queries))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    ahead = np.zeros(len(fill) + 1, np.int64)  # queries in the cells before each
+    for r in asked.groupBy("cell").count().collect():
+        ahead[r.cell + 1] = r["count"]
+    block_of = np.cumsum(ahead)[:-1] // QUERY_BLOCK
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,14 +141,15 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                 part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 row, left = np.repeat(row, times), np.repeat(left, times)
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(part), pa.array(reach[row, left]), some.column("id").take(take), some.column("v").take(take)], ["left", "part", "reach", "query_id", "q"])
+                block = block_of[some.column("cell").to_numpy()][row]
+                yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(part), pa.array(block), pa.array(reach[row, left]), some.column("id").take(take), some.column("v").take(take)], ["left", "part", "block", "reach", "query_id", "q"])
 
-    asked = asked.select("id", "v").mapInArrow(probes, "left long, part long, reach long, query_id long, q array<double>")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(blocks)))
+    asked = stored(asked.mapInArrow(probes, "left long, part long, block long, reach long, query_id long, q array<double>"), "probes")
+    reached = asked.select("left", "block").distinct()  # at most codewords x blocks
     left = F.floor(F.col("cell") / sizes[1]).cast("long")
     part = F.pmod(F.xxhash64("id", F.lit(2)), F.element_at(F.array(*[F.lit(int(p)) for p in parts]), (F.col("left") + 1).cast("int")))
     entries = index.withColumn("left", left).withColumn("part", part).withColumn("right", F.pmod("cell", F.lit(sizes[1])))
-    entries = entries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).select("left", "part", "block", "right", "id", "v")
+    entries = entries.join(F.broadcast(reached), "left").select("left", "part", "block", "right", "id", "v")
 
     def rerank(key: tuple, entry: pa.Table, query: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -150,6 +158,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         ids, code, x = entry.column("id").to_numpy(), entry.column("right").to_numpy(), matrix(entry.column("v").combine_chunks())
         order = np.argsort(ids, kind="stable")
         ids, code, x = ids[order], code[order], x[order]
+        longest = np.sqrt((x * x).sum(1).max())
         out: list[list[np.ndarray]] = [[], [], []]
         for at in range(0, query.num_rows, 256):
             some = query.slice(at, 256)
@@ -157,12 +166,18 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             ranked = np.argsort(np.argsort(-(q[:, half:] @ books[1].T), axis=1, kind="stable"), axis=1, kind="stable")
             score = q @ x.T
             score[(ranked[:, code] >= reach[:, None]) | (who[:, None] == ids[None, :])] = -np.inf
-            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            top = np.take_along_axis(score, best, 1)
-            ok = top > -np.inf
-            out[0].append(np.repeat(who, best.shape[1])[ok.ravel()])
-            out[1].append(ids[best][ok])
-            out[2].append(top[ok])
+            edge = -np.partition(-score, k - 1, axis=1)[:, k - 1] if k < len(ids) else np.full(len(q), -np.inf)
+            slack = 1e-12 * np.sqrt((q * q).sum(1)) * longest
+            row, col = np.nonzero((score >= (edge - slack)[:, None]) & (score > -np.inf))
+            exact = np.zeros(len(row))
+            for j in range(d):
+                exact += q[row, j] * x[col, j]
+            order = np.lexsort((ids[col], -exact, row))
+            row, col, exact = row[order], col[order], exact[order]
+            few = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out[0].append(who[row[few]])
+            out[1].append(ids[col[few]])
+            out[2].append(exact[few])
         return pa.table([pa.array(np.concatenate(o)) for o in out], names=names)
 
     groups = ["left", "part", "block"]
