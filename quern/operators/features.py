@@ -27,6 +27,27 @@ def rms_features(n: DataFrame, of: DataFrame | None = None, eps: float = 1e-12)
     return moved.crossJoin(F.broadcast(scale)).withColumn("x", v.scaled("x", 1 / F.greatest("rms", F.lit(eps)))).drop("rms")
 
 
+def fitted_rms(n: DataFrame, eps: float = 1e-12) -> DataFrame:
+    """One row (mean, rms) that can be stored and applied to other nodes."""
+    scale = centred(n).agg(F.greatest(F.sqrt(F.avg(v.squared_norm("x"))), F.lit(eps)).alias("rms"))
+    return mean_vector(n).crossJoin(scale)
+
+
+def apply_rms(n: DataFrame, fitted: DataFrame) -> DataFrame:
+    return n.crossJoin(F.broadcast(fitted)).withColumn("x", F.zip_with("x", "mean", lambda a, m: (a - m) / F.col("rms"))).drop("mean", "rms")
+
+
+def undo_rms(n: DataFrame, fitted: DataFrame, vector: str = "x") -> DataFrame:
+    """Vectors back in the units they had before apply_rms, as representatives are handed out."""
+    return n.crossJoin(F.broadcast(fitted)).withColumn(vector, F.zip_with(vector, "mean", lambda a, m: a * F.col("rms") + m)).drop("mean", "rms")
+
+
+def unit_sum(n: DataFrame) -> DataFrame:
+    """Rows divided by the sum of absolute values; rows of zeros stay."""
+    total = v.total(F.transform("x", F.abs))
+    return n.withColumn("x", v.scaled("x", 1 / F.when(total > 0, total).otherwise(1.0)))
+
+
 def unit_features(n: DataFrame, eps: float = 1e-12) -> DataFrame:
     """Rows divided by their norm after centring."""
     return centred(n).withColumn("x", v.scaled("x", 1 / F.greatest(F.sqrt(v.squared_norm("x")), F.lit(eps))))

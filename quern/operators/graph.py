@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,17 +75,51 @@ def push_labels(weights: DataFrame, source: DataFrame, alpha: float, tolerance:
     raise RuntimeError(f"labels did not settle in {most_steps} steps")
 
 
+#: Training vectors of one part and nodes of one block in nearest_train.
+PART, BLOCK = 16_384, 65_536
+
+
 def nearest_train(n: DataFrame, k: int) -> DataFrame:
     """(id, other, rank, d2): each node's k nearest training nodes, itself among them; ties to the smaller id.
 
-    The training side must be small enough to broadcast as one row (its size is checked); each node's distances
-    then need no shuffle.
+    Training nodes are dealt to parts and all nodes to blocks by a hash; each pair of part and block is one block product,
+    whose candidates are measured again by summed squared differences, and the k of all parts are merged.
     """
-    train = n.where("split = 'train'")
-    limit = 200_000
-    if train.count() > limit:
-        raise ValueError(f"more than {limit} training nodes: use the approximate index instead")
-    side = train.agg(F.array_sort(F.collect_list(F.struct("id", "x"))).alias("train"))
-    far = n.select("id", "x").crossJoin(F.broadcast(side))
-    ranked = F.slice(F.array_sort(F.transform("train", lambda t: F.struct(F.round(v.squared_distance(F.col("x"), t["x"]), 12).alias("d2"), t["id"].alias("other")))), 1, k)
-    return far.select("id", F.posexplode(ranked).alias("place", "e")).select("id", F.col("e.other").alias("other"), (F.col("place") + 1).alias("rank"), F.col("e.d2").alias("d2"))
+    size = n.agg(F.count("*").alias("n"), F.count_if(F.col("split") == "train").alias("t")).first()
+    parts, blocks = max(1, -(-size.t // PART)), max(1, -(-size.n // BLOCK))
+
+    def spread(rows: DataFrame, own: str, of: int, other: str, times: int) -> DataFrame:
+        rows = rows.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(of)).alias(own))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long"))))
+
+    train, every = spread(n.where("split = 'train'"), "part", parts, "block", blocks), spread(n, "block", blocks, "part", parts)
+
+    def nearest(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=["id", "other", "d2"])
+        if not left.num_rows or not right.num_rows:
+            return empty
+        order = np.argsort(left.column("id").to_numpy(), kind="stable")
+        ids, x = left.column("id").to_numpy()[order], _matrix(left.column("x"))[order]
+        norm = (x * x).sum(1)
+        out: list[list[np.ndarray]] = [[], [], []]
+        for at in range(0, right.num_rows, 256):
+            some = right.slice(at, 256)
+            y = _matrix(some.column("x"))
+            cost = norm - 2 * y @ x.T
+            edge = np.partition(cost, k - 1, axis=1)[:, k - 1] if k < len(ids) else np.full(len(y), np.inf)
+            row, col = np.nonzero(cost <= edge[:, None] + 1e-9 * (1 + np.abs(edge[:, None])))
+            d2 = np.round(((y[row] - x[col]) ** 2).sum(1), 12)
+            order = np.lexsort((ids[col], d2, row))
+            row, col, d2 = row[order], col[order], d2[order]
+            few = np.arange(len(row)) - np.searchsorted(row, row) < k
+            for o, values in zip(out, (some.column("id").to_numpy()[row[few]], ids[col[few]], d2[few]), strict=True):
+                o.append(values)
+        return pa.table([pa.array(np.concatenate(o)) for o in out], names=["id", "other", "d2"])
+
+    found = train.groupBy("part", "block").cogroup(every.groupBy("part", "block")).applyInArrow(nearest, "id long, other long, d2 double")
+    ranked = F.slice(F.array_sort(F.collect_list(F.struct("d2", "other"))), 1, k)
+    return found.groupBy("id").agg(ranked.alias("near")).select("id", F.posexplode("near").alias("place", "e")).select("id", F.col("e.other").alias("other"), (F.col("place") + 1).alias("rank"), F.col("e.d2").alias("d2"))
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -50,3 +51,33 @@ def temperature_curve(n: DataFrame, low: float = 0.05, high: float = 20.0, point
     scaled = F.transform("logits", lambda x: x / F.col("t"))
     ce = v.log_sum_exp(scaled) - F.element_at(scaled, F.col("y") + 1)
     return rows.groupBy("point").agg(F.max("t").alias("top"), F.avg(ce).alias("ce")).withColumnRenamed("top", "t")
+
+
+def calibrated_temperature(n: DataFrame, low: float = 0.05, high: float = 20.0, log_scale: bool = False, split: str = "val", points: int = 33, rounds: int = 8) -> tuple[DataFrame, str]:
+    """One row (t, ce, ce_before) for the temperature of least cross-entropy on the labels of a split, and where it lies.
+
+    The loss is convex in 1/T: each round evaluates a grid of 1/T (or of ln T) in one pass over the split and keeps the two
+    intervals around its best point.  The ends and T = 1 are candidates too; the first of equals wins.
+    """
+    spark = n.sparkSession
+    rows = n.where(F.col("split") == split).select("logits", "y")
+    to_t = (lambda u: float(np.exp(u))) if log_scale else (lambda u: 1.0 / u)
+    a, b = (float(np.log(low)), float(np.log(high))) if log_scale else (1 / high, 1 / low)
+
+    def losses(places: list[float]) -> list[float]:
+        grid = F.array(*[F.lit(to_t(u)) for u in places])
+        scaled = F.transform("logits", lambda x: x / F.col("t"))
+        ce = v.log_sum_exp(scaled) - F.element_at(scaled, F.col("y") + 1)
+        found = rows.select("logits", "y", F.posexplode(grid).alias("i", "t")).groupBy("i").agg(F.avg(ce).alias("ce")).collect()
+        return [r.ce for r in sorted(found, key=lambda r: r.i)]
+
+    ends, lo, hi = [a, b], a, b
+    for _ in range(rounds):
+        places = np.linspace(lo, hi, points).tolist()
+        best = int(np.argmin(losses(places)))
+        lo, hi = places[max(0, best - 1)], places[min(points - 1, best + 1)]
+    candidates = [*ends, (lo + hi) / 2, *([0.0 if log_scale else 1.0] if low <= 1 <= high else [])]
+    ce = losses([*candidates, 0.0 if log_scale else 1.0])
+    pick = int(np.argmin(np.round(ce[:-1], 12)))
+    where = ["lower", "upper"][::1 if log_scale else -1][pick] if pick < 2 else "interior"
+    return spark.createDataFrame([(to_t(candidates[pick]), ce[pick], ce[-1])], "t double, ce double, ce_before double"), where

@@ -108,6 +108,53 @@ def split_metrics(n: DataFrame) -> DataFrame:
     )
 
 
+def split_gaps(metrics: DataFrame) -> DataFrame:
+    """One row: accuracy and nll of each split as columns, val nll less train's and train accuracy less val's."""
+    def of(split: str, c: str) -> F.Column:
+        return F.max(F.when(F.col("split") == split, F.col(c)))
+
+    wide = metrics.agg(*[of(s, c).alias(f"{s}_{c}") for s in ("train", "val", "test") for c in ("accuracy", "nll")], of("train", "teacher_ce").alias("train_teacher_ce"))
+    return wide.withColumn("val_minus_train_nll", F.col("val_nll") - F.col("train_nll")).withColumn("train_minus_val_accuracy", F.col("train_accuracy") - F.col("val_accuracy"))
+
+
+def inductive_metrics(n: DataFrame, labelled_graph: str = "train") -> DataFrame:
+    """(graph_id, accuracy, nll, teacher_ce): teacher labels exist on one graph only and are null elsewhere."""
+    rows = split_metrics(n.withColumnRenamed("graph_id", "split") if "split" not in n.columns else n.drop("split").withColumnRenamed("graph_id", "split"))
+    return rows.select(F.col("split").alias("graph_id"), "accuracy", "nll", F.when(F.col("split") == labelled_graph, F.col("teacher_ce")).alias("teacher_ce"))
+
+
+def smooth_objective(n: DataFrame, weight: float, epsilon: float) -> DataFrame:
+    """V + weight (sqrt(|M|^2 + eps^2) - eps)."""
+    return moment_objective(n, weight).select("v", (F.col("v") + weight * (F.sqrt(F.col("m_norm") * F.col("m_norm") + epsilon * epsilon) - epsilon)).alias("j"))
+
+
+def mass_variation(n: DataFrame) -> DataFrame:
+    """Half the summed absolute difference of hard cell shares (cell) and soft cell masses (p)."""
+    size = n.agg(F.count("*").alias("total"))
+    soft = n.select(F.posexplode("p").alias("cell", "w")).groupBy("cell").agg(F.sum("w").alias("soft"))
+    hard = n.groupBy("cell").agg(F.count("*").alias("hard"))
+    return soft.join(hard, "cell", "full").crossJoin(F.broadcast(size)).agg((F.sum(F.abs(F.coalesce("soft", F.lit(0.0)) - F.coalesce("hard", F.lit(0))) / F.col("total")) / 2).alias("variation"))
+
+
+def weighted_moments(n: DataFrame) -> DataFrame:
+    """soft_moments with node weights w: sum_i w_i p_ij a_i / N."""
+    return soft_moments(n.withColumn("a", v.scaled("a", F.col("w"))))
+
+
+def weight_entropy(weights: DataFrame) -> DataFrame:
+    """Mean of w ln w over the nodes."""
+    return weights.agg(F.avg(v.xlogy(F.col("w"), F.col("w"))).alias("entropy"))
+
+
+def outer_value(n: DataFrame, theta: DataFrame) -> DataFrame:
+    """Mean cross-entropy of the soft labels under the head theta(cell, c), as head_gradient's objective."""
+    from .assign import packed
+
+    rows = n.crossJoin(F.broadcast(packed(theta, "c"))).withColumn("z", F.concat("x", F.array(F.lit(1.0))))
+    rows = rows.withColumn("logits", F.transform("cells", lambda t: v.dot(F.col("z"), t["c"]))).withColumn("lse", v.log_sum_exp("logits"))
+    return rows.agg(F.avg(F.col("lse") * v.total("q") - v.dot("q", "logits")).alias("ce"))
+
+
 def head_gradient(n: DataFrame, theta: DataFrame) -> DataFrame:
     """(c, dim, g): mean over nodes of (softmax(theta z) - q)_c z_dim with z = [x, 1]; theta(cell, c) holds a row a class."""
     from .assign import packed

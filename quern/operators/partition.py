@@ -3,12 +3,13 @@ assignment is checkpointed between sweeps, so the lineage stays short."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..functions.stages import cut
-from . import assign, moments
+from . import assign, features, moments
 
 
 def lloyd_step(n: DataFrame, centres: DataFrame) -> DataFrame:
@@ -89,18 +90,133 @@ def divisive(n: DataFrame, cells: int) -> DataFrame:
     return placed
 
 
-def scatter_cut(points: DataFrame) -> DataFrame:
+def scatter_cut(points: DataFrame, ranges: int = 256) -> DataFrame:
     """The cut of (id, p) into low and high values with the least summed scatter, between distinct values only:
-    number below, largest value below and the gain.  Points of equal value are summed before the ordered sums."""
+    number below, largest value below and the gain.
+
+    Equal values are summed first; sums are carried over ``ranges`` of values and then run inside each range, so no task
+    orders all values.
+    """
     per = points.groupBy("p").agg(F.count("*").alias("k"))
-    upto = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    run = per.select("p", F.sum("k").over(upto).alias("n"), F.sum(F.col("k") * F.col("p")).over(upto).alias("s"))
+    edges = F.percentile_approx("p", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10_000).alias("edges")
+    per = per.crossJoin(F.broadcast(per.agg(edges))).select("p", "k", F.size(F.filter("edges", lambda e: e < F.col("p"))).alias("range"))
+    whole = per.groupBy("range").agg(F.sum("k").alias("rn"), F.sum(F.col("k") * F.col("p")).alias("rs"))
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges only
+    before = whole.select("range", F.coalesce(F.sum("rn").over(ahead), F.lit(0)).alias("bn"), F.coalesce(F.sum("rs").over(ahead), F.lit(0.0)).alias("bs"))
+    inside = Window.partitionBy("range").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    run = per.join(F.broadcast(before), "range").select("p", (F.col("bn") + F.sum("k").over(inside)).alias("n"), (F.col("bs") + F.sum(F.col("k") * F.col("p")).over(inside)).alias("s"))
     every = points.agg(F.count("*").alias("total"), F.sum("p").alias("sum"))
     low, high = F.col("s") * F.col("s") / F.col("n"), (F.col("sum") - F.col("s")) * (F.col("sum") - F.col("s")) / (F.col("total") - F.col("n"))
     cuts = run.crossJoin(F.broadcast(every)).where("n < total").withColumn("gain", F.round(low + high - F.col("sum") * F.col("sum") / F.col("total"), 9))
     return cuts.orderBy(F.desc("gain"), "p").limit(1).select(F.col("n").alias("below"), F.col("p").alias("value"), "gain")
 
 
+def widest_direction(block: DataFrame, power_steps: int = 100, tolerance: float = 1e-8) -> tuple[list[float], list[float], bool]:
+    """Mean and leading axis of a cell's nodes by power iteration from its widest component, and whether it settled.
+
+    The covariance is one pass over the cell; the iteration is on that small matrix.
+    """
+    mean = np.array(features.mean_vector(block).first()["mean"])
+    cov = features.covariance(features.centred(block))
+    axis = np.zeros(len(mean))
+    axis[int(np.argmax(np.diag(cov)))] = 1.0
+    settled = False
+    for _ in range(power_steps):
+        fresh = cov @ axis
+        norm = np.linalg.norm(fresh)
+        if norm == 0:
+            break
+        fresh /= norm
+        change = min(np.linalg.norm(fresh - axis), np.linalg.norm(fresh + axis))
+        axis = fresh
+        if change <= tolerance:
+            settled = True
+            break
+    if axis[np.argmax(np.abs(axis))] < 0:
+        axis = -axis
+    return mean.tolist(), axis.tolist(), settled
+
+
+def principal_split(n: DataFrame, cells: int, least_scatter: bool = False) -> DataFrame:
+    """cells - 1 splits of the cell of largest scatter along its leading axis: at its mean, or at the cut of least summed scatter
+    along the axis.  If all nodes fall on one side, the lower half by projection stays."""
+    placed = cut(variance_partition(n))
+    for new in range(1, cells):
+        per = placed.select("cell", F.posexplode("x").alias("dim", "v")).groupBy("cell", "dim").agg(F.var_pop("v").alias("var"), F.count("*").alias("n"))
+        at = per.groupBy("cell").agg(F.round(F.sum(F.col("var") * F.col("n")), 9).alias("scatter"), F.max("n").alias("n")).where("n > 1").orderBy(F.desc("scatter"), "cell").first()
+        if at is None:
+            break
+        own = placed.where(F.col("cell") == at.cell)
+        mean, axis, _ = widest_direction(own)
+        p = F.round(v.dot(v.minus("x", F.array(*[F.lit(m) for m in mean])), F.array(*[F.lit(m) for m in axis])), 12)
+        points = own.select("id", p.alias("p"))
+        limit = scatter_cut(points).first() if least_scatter else None
+        value = 0.0 if not least_scatter else limit.value if limit else None
+        above = points.where(F.col("p") > value).count() if value is not None else 0
+        if 0 < above < at.n:
+            over = F.col("p") > value
+        else:
+            half = points.orderBy("p", "id").limit(at.n // 2).orderBy(F.desc("p"), F.desc("id")).first()
+            over = (F.col("p") > half.p) | ((F.col("p") == half.p) & (F.col("id") > half.id))
+        placed = cut(placed.withColumn("p", p).withColumn("cell", F.when((F.col("cell") == at.cell) & over, new).otherwise(F.col("cell"))).drop("p"))
+    return placed
+
+
+def variance_sweep(n: DataFrame, vector: str) -> DataFrame:
+    """nodes with target: the nearest cell mean of a vector, the own cell if none is nearer.
+
+    The vector decides the objective: scaled features (variance), the joint embedding (normalised variance) or
+    [sqrt(a) x, sqrt(b) q] (sum of variances).
+    """
+    cells = moments.means(n, vector, "c")
+    cost = F.transform("cells", lambda k: v.squared_norm(k["c"]) - 2 * v.dot(F.col(vector), k["c"]))
+    return n.crossJoin(F.broadcast(assign.packed(cells, "c"))).withColumn("costs", cost).withColumn("target", assign.keep_if_tied("costs", "cell")).drop("cells", "costs")
+
+
+def repaired(n: DataFrame, cells: int, residual: F.Column | str) -> DataFrame:
+    """nodes with every cell filled: each empty one takes the node of largest residual from a cell of more than one node."""
+    size = moments.counts(n, cells)
+    empty = [r.cell for r in size.where("n = 0").orderBy("cell").collect()]
+    for cell in empty:  # at most as many as cells
+        left = n.groupBy("cell").agg(F.count("*").alias("size"))
+        donor = n.join(F.broadcast(left.where("size > 1")), "cell").withColumn("r", residual if isinstance(residual, F.Column) else F.col(residual)).orderBy(F.desc("r"), "id").select("id").first()
+        n = cut(n.withColumn("cell", F.when(F.col("id") == donor.id, cell).otherwise(F.col("cell")).cast("int")))
+    return n
+
+
+def variance_partition_loop(n: DataFrame, cells: int, vector: str, most_sweeps: int = 50) -> tuple[DataFrame, list[float], str]:
+    """Sweeps of variance_sweep until no node changes its cell; the within-cell variance of the vector must not rise."""
+    n, history = cut(n), []
+    for _ in range(most_sweeps):
+        means = moments.means(n, vector, "c").join(n.groupBy("cell").agg(F.count("*").alias("n")), "cell")
+        j = moments.within_variance(n, means, vector, "c").first().variance
+        if history and j > history[-1] + 1e-9 * max(1.0, abs(history[-1])):
+            raise RuntimeError("the objective rose")
+        history.append(j)
+        rows = cut(variance_sweep(n, vector))
+        if rows.where("target <> cell").isEmpty():
+            return n, history, "assignment_stable"
+        moved = rows.join(F.broadcast(means), "cell").withColumn("residual", v.squared_distance(vector, "c")).drop("c", "n")
+        n = cut(repaired(cut(moved.withColumn("cell", F.col("target"))), cells, "residual").drop("target", "residual"))
+    return n, history, "iteration_limit"
+
+
+def divergence_partition(n: DataFrame, cells: int, weight: float, most_sweeps: int = 50) -> tuple[DataFrame, list[float], str]:
+    """Sweeps of divergence_proposal until nothing changes, empty cells repaired by the node of largest cost."""
+    n, history = cut(n), []
+    for _ in range(most_sweeps):
+        own = moments.representatives(n)
+        j = moments.within_variance(n, own, "x", "c").crossJoin(moments.label_divergence(n)).select((F.col("variance") + weight * F.col("kl")).alias("j")).first().j
+        if history and j > history[-1] + 1e-9 * max(1.0, abs(history[-1])):
+            raise RuntimeError("the objective rose")
+        history.append(j)
+        rows = cut(divergence_proposal(n, weight).withColumn("residual", F.array_min("costs") + v.squared_norm("x")).drop("costs"))
+        if rows.where("target <> cell").isEmpty():
+            return n, history, "assignment_stable"
+        n = cut(repaired(cut(rows.withColumn("cell", F.col("target"))), cells, "residual").drop("target", "residual"))
+    return n, history, "iteration_limit"
+
+
 def moment_state(n: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cells (cell, n, c, s) and one row with the residual moment as rows g and its norm."""
     cells = moments.representatives(n)

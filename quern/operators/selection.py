@@ -19,11 +19,12 @@ def grid(spark: SparkSession, space: dict[str, Sequence]) -> DataFrame:
     return out.select(place.cast("long").alias("candidate"), *space)
 
 
-def missing_pairs(scores: DataFrame, first: str = "condensation_seed", second: str = "student_seed", by: Sequence[str] = ("candidate", "step")) -> DataFrame:
-    """Groups whose (first, second) pairs aren't each of all pairs exactly once: pairs found, distinct and expected."""
-    every = scores.select(first).distinct().crossJoin(scores.select(second).distinct()).agg(F.count("*").alias("expected"))
-    seen = scores.groupBy(*by).agg(F.count("*").alias("found"), F.count_distinct(first, second).alias("distinct_pairs"))
-    return seen.crossJoin(F.broadcast(every)).where("found <> expected or distinct_pairs <> expected")
+def missing_pairs(scores: DataFrame, firsts: Sequence[int], seconds: Sequence[int], first: str = "condensation_seed", second: str = "student_seed", by: Sequence[str] = ("candidate", "step")) -> DataFrame:
+    """Groups whose (first, second) pairs aren't exactly those of the given seeds, each once: pairs found, distinct, unexpected and expected."""
+    outside = ~F.col(first).isin(list(firsts)) | ~F.col(second).isin(list(seconds))
+    seen = scores.groupBy(*by).agg(F.count("*").alias("found"), F.count_distinct(first, second).alias("distinct_pairs"), F.count_if(outside).alias("unexpected"))
+    expected = F.lit(len(set(firsts)) * len(set(seconds))).cast("long")
+    return seen.withColumn("expected", expected).where("found <> expected or distinct_pairs <> expected or unexpected > 0")
 
 
 def joint_score(scores: DataFrame, keys: Sequence[str] = ("candidate", "step")) -> DataFrame:

@@ -1,8 +1,9 @@
 """Sweeps: a grid of settings, each tried with several seeds, judged on validation rows only.
 
 For every temperature the teacher's labels are softened, for every weight and seed the nodes are partitioned, a
-linear head is fitted on the representatives and scored on the validation split.  Scores are appended as
-Parquet under the fingerprint of their setting, so a sweep that was stopped goes on where it was; the winner is taken
+linear head is fitted on the representatives and scored on the validation split.  Scores are kept as
+Parquet under the fingerprint of the data and the setting, so a sweep that was stopped goes on where it was and one
+over other nodes or another grid reads none of them; the winner is taken
 by mean score, then by place in the grid.  Test rows are read once, for the winner.
 """
 
@@ -43,10 +44,13 @@ def condense(n: DataFrame, cells: int, weight: float, seed: int, sweeps: int) ->
 def run_sweep(spark: SparkSession, nodes: DataFrame, root: str, temperatures: Sequence[float], weights: Sequence[float], cells: int = 8, seeds: Sequence[int] = (0, 1, 2), penalty: float = 0.01, sweeps: int = 4) -> tuple[DataFrame, DataFrame, float]:
     """(scores, ranking, test accuracy of the winner) for nodes (id, x, y, split, logits)."""
     nodes = cut(features.rms_features(nodes, of=nodes.where("split = 'train'")))
+    data = selection.content_digest(nodes, ["id", "y", "split", "x", "logits"]).first().asDict()
+    paths = []
     for place, (t, weight) in enumerate(itertools.product(temperatures, weights)):
         soft = None
         for seed in seeds:
-            path = f"{root}/scores/{fingerprint({'t': t, 'weight': weight, 'seed': seed, 'cells': cells, 'penalty': penalty, 'sweeps': sweeps})}"
+            path = f"{root}/scores/{fingerprint({'data': data, 'place': place, 't': t, 'weight': weight, 'seed': seed, 'cells': cells, 'penalty': penalty, 'sweeps': sweeps})}"
+            paths.append(path)
             if _there(spark, path):
                 continue
             soft = cut(features.soft_labels(nodes, t)) if soft is None else soft
@@ -54,7 +58,7 @@ def run_sweep(spark: SparkSession, nodes: DataFrame, root: str, temperatures: Se
             theta, _ = heads.fit_head(moments.representatives(placed), penalty)
             row = (place, float(t), float(weight), seed, 0, 0, cells, j, head_accuracy(soft, theta, "val"))
             spark.createDataFrame([row], SCHEMA).write.mode("overwrite").parquet(path)
-    scores = spark.read.schema(SCHEMA).parquet(f"{root}/scores/*")
+    scores = spark.read.schema(SCHEMA).parquet(*paths)
     ranking = selection.joint_score(scores, ("candidate", "temperature", "weight", "step"))
     best = selection.best(ranking, [F.desc("val"), "candidate"]).first()
     soft = cut(features.soft_labels(nodes, best.temperature))

@@ -64,12 +64,9 @@ def undirected(edges: DataFrame, loops: DataFrame | None = None) -> DataFrame:
 
 
 def split_of_roles(ids: DataFrame, roles: DataFrame) -> DataFrame:
-    """(id, split) from one row of id lists tr, va, te; a node without role has split null."""
-    named = None
-    for column, name in (("tr", "train"), ("va", "val"), ("te", "test")):
-        part = roles.select(F.explode(column).alias("id"), F.lit(name).alias("split"))
-        named = part if named is None else named.union(part)
-    return ids.join(named, "id", "left")
+    """(id, split) from roles (id, role) with role tr, va or te; a node without role has split null."""
+    split = F.when(F.col("role") == "tr", "train").when(F.col("role") == "va", "val").when(F.col("role") == "te", "test")
+    return ids.join(roles.select("id", split.alias("split")), "id", "left")
 
 
 def dense_labels(labels: DataFrame) -> DataFrame:

@@ -175,9 +175,11 @@ def scores(spark, drop=None, extra=None):
 def test_joint_score_and_pair_check(spark):
     got = {r.candidate: r for r in selection.joint_score(scores(spark)).collect()}
     assert got[0].val == 72 and got[1].val == 73 and got[1].val_std == 1 and got[1].evaluations == 9
-    assert selection.missing_pairs(scores(spark)).isEmpty()
-    assert selection.missing_pairs(scores(spark, drop=(1, 2, 2))).count() == 1
-    assert selection.missing_pairs(scores(spark, extra=[(0, 0, 1, 1, 5.0)])).count() == 1
+    seeds = range(3), range(3)
+    assert selection.missing_pairs(scores(spark), *seeds).isEmpty()
+    assert selection.missing_pairs(scores(spark, drop=(1, 2, 2)), *seeds).count() == 1
+    assert selection.missing_pairs(scores(spark), range(4), range(3)).count() == 2  # a seed that is missing everywhere
+    assert selection.missing_pairs(scores(spark, extra=[(0, 0, 1, 1, 5.0)]), *seeds).count() == 1
 
 
 def test_selection_prefers_the_earlier_step(spark):
@@ -200,17 +202,17 @@ def test_grid_order_and_fingerprint(spark):
 def test_dense_ids_and_roles(spark):
     ids = spark.createDataFrame([(i,) for i in (5, 9000, 17, 4097)], "id long")
     assert {r.id: r.dense for r in views.dense_ids(ids).collect()} == {5: 0, 17: 1, 4097: 2, 9000: 3}
-    roles = spark.createDataFrame([([5], [17], [])], "tr array<bigint>, va array<bigint>, te array<bigint>")
+    roles = spark.createDataFrame([(5, "tr"), (17, "va")], "id long, role string")
     assert {r.id: r.split for r in views.split_of_roles(ids, roles).collect()} == {5: "train", 17: "val", 4097: None, 9000: None}
 
 
 def test_streamed_moments_equal_batch(spark, nodes, tmp_path):
-    from quern.streaming.moments import running_moments
+    from quern.streaming.moments import current_moments, running_moments
 
     nodes.select("cell", "x").repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("cell int, x array<double>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    running_moments(stream, "cell_moments", str(tmp_path / "cp")).awaitTermination(60)
-    got = {(r.cell, r.dim): (r.n, r.s / r.n) for r in spark.table("cell_moments").collect()}
+    running_moments(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
+    got = {(r.cell, r.dim): (r.n, r.s / r.n) for r in current_moments(spark, str(tmp_path / "out")).collect()}
     for r in moments.means(nodes, "x", "c").collect():
         for k, m in enumerate(r.c):
             assert got[r.cell, k] == (6, pytest.approx(m))
@@ -249,3 +251,79 @@ def test_sweep_resumes_and_ranks_by_validation(spark, sf, tmp_path):
     before = sorted(p.name for p in (tmp_path / "scores").rglob("part-*"))
     run_sweep(spark, n, str(tmp_path), **options)
     assert before == sorted(p.name for p in (tmp_path / "scores").rglob("part-*"))
+    run_sweep(spark, n.withColumn("y", (F.col("y") + 1) % 10), str(tmp_path), **options)  # other nodes reuse nothing
+    assert len(list((tmp_path / "scores").iterdir())) == 8
+
+
+def test_neighbours_over_parts_equal_brute_force(nodes, monkeypatch):
+    from quern.operators import graph
+
+    monkeypatch.setattr(graph, "PART", 4)
+    monkeypatch.setattr(graph, "BLOCK", 5)
+    rows = nodes.collect()
+    for k in (1, 3, 50):
+        want = {}
+        for r in rows:
+            d = sorted((round(sum((a - b) ** 2 for a, b in zip(r.x, t.x, strict=True)), 12), t.id) for t in rows if t.split == "train")
+            want |= {(r.id, place + 1): i for place, (_, i) in enumerate(d[:k])}
+        assert {(r.id, r["rank"]): r.other for r in graph.nearest_train(nodes, k).collect()} == want
+
+
+def test_principal_split_equals_power_iteration(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(20, 3)) + c for c in ([0, 0, 0], [9, 1, 0], [0, 30, 2])])
+    n = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, x array<double>")
+    for least in (False, True):
+        cell = np.array([r.cell for r in partition.principal_split(n, 3, least).orderBy("id").collect()])
+        assert [len(set(cell[k : k + 20])) for k in (0, 20, 40)] == [1, 1, 1] and len(set(cell)) == 3
+    # equal points have no direction: halves by id
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(8)], "id long, x array<double>")
+    assert [r.cell for r in partition.principal_split(same, 2).orderBy("id").collect()] == [0] * 4 + [1] * 4
+
+
+def test_partition_loops_fill_cells_and_never_rise(spark, nodes):
+    few = nodes.withColumn("cell", F.when(F.col("id") < 9, 0).otherwise(2).cast("int"))
+    for placed, history, status in (partition.variance_partition_loop(few, 3, "x", 10), partition.divergence_partition(few, 3, 1.0, 10)):
+        assert status in {"assignment_stable", "iteration_limit"} and all(b <= a + 1e-9 for a, b in itertools.pairwise(history))
+        assert placed.select("cell").distinct().count() == 3 or status == "assignment_stable"
+
+
+def test_calibration_finds_the_closed_forms(spark):
+    n = spark.createDataFrame([([8.0, 0.0], 0, "val"), ([8.0, 0.0], 0, "val"), ([0.0, 8.0], 1, "val"), ([0.0, 8.0], 0, "val")], "logits array<double>, y int, split string")
+    found, where = heads.calibrated_temperature(n)
+    assert found.first().t == pytest.approx(8 / math.log(3), rel=1e-6) and where == "interior"
+    ten = spark.createDataFrame([([10.0, 0.0], 0, "val")] * 8 + [([0.0, 10.0], 0, "val")] * 2, n.schema)
+    found, where = heads.calibrated_temperature(ten, 0.01, 100.0, log_scale=True)
+    assert found.first().t == pytest.approx(10 / math.log(4), rel=1e-6) and where == "interior"
+    edge = spark.createDataFrame([([1.0, 0.0], 0, "val"), ([0.0, 1.0], 1, "val")], n.schema)
+    found, where = heads.calibrated_temperature(edge)
+    assert found.first().t == pytest.approx(0.05) and where == "lower"
+
+
+def test_projection_and_factors_span_the_leading_axes(spark, nodes):
+    from quern.operators import factors
+
+    x = np.array([r.x for r in nodes.orderBy("id").collect()])
+    h = np.array([r.h for r in factors.projected(nodes, 2).orderBy("id").collect()])
+    s = np.linalg.svd(x)[1]
+    assert np.allclose(np.sort((h**2).sum(0))[::-1], s[:2] ** 2)
+    cells = np.random.default_rng(1).normal(size=(5, 4))
+    u, right = factors.balanced_factors(nodes, cells, 4)
+    u = np.array([r.u for r in u.orderBy("id").collect()])
+    assert np.allclose(u @ right.T / 2, x @ cells.T)
+
+
+def test_checks_raise_and_report(spark):
+    from quern.operators import checks
+
+    a = spark.createDataFrame([(1, 2.0), (2, 3.0)], "k int, v double")
+    twice = a.union(a.where("k = 1"))
+    assert checks.checked_join(a, a.withColumnRenamed("v", "w"), ["k"]).count() == 2
+    assert checks.checked_join(twice, a.withColumnRenamed("v", "w"), ["k"], "many_to_one").count() == 3
+    for left, right, kind in ((twice, a, "one_to_one"), (a, twice, "many_to_one")):
+        with pytest.raises(ValueError):
+            checks.checked_join(left, right.withColumnRenamed("v", "w"), ["k"], kind)
+    with pytest.raises(ValueError):
+        checks.members(spark.createDataFrame([(9,)], "k int"), a, ["k"])
+    with pytest.raises(Exception, match="not finite"):
+        checks.require_finite(spark.createDataFrame([(1, float("nan"))], a.schema), ["v"]).collect()
