@@ -235,6 +235,20 @@ def test_recall_of_edited_lines(spark, duck, edits):
         assert sum(i in gone for i in own) >= 0.95 * len(own), band
 
 
+def test_bounds_of_the_edit_distance_hold():
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    for _ in range(60):
+        x = [rng.choice(vocabulary) for _ in range(rng.randint(20, 40))]
+        y = [rng.choice([w, w, w, w, w + "q", w[::-1], "", rng.choice(vocabulary)]) if rng.random() < 0.4 else w for w in x]
+        if rng.random() < 0.3:
+            cut = rng.randrange(len(y))
+            y = y[cut:] + y[:cut] + y[: rng.randrange(9)]
+        x, y = " ".join(x), " ".join(y)
+        lower, upper = line_dedup._bounds(*(np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (x, y)), 5)
+        assert lower <= edit(x, y) <= upper
+
+
 def test_crowded_keys_lose_no_pair():
     """Tiles of a key that many lines share give the pairs that comparing all gives."""
     import pyarrow as pa
