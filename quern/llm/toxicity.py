@@ -1,9 +1,11 @@
 """Toxicity by compression distance: windows of words are compressed with two zstandard dictionaries.
 
-The ordinary dictionary is trained on ordinary text.  The toxic dictionary holds the same bytes and, after them,
-a dictionary trained on what toxic text has more of than ordinary text, so the difference of two compressed
-lengths shows toxic matter only and not which ordinary phrases a dictionary happens to hold.  Short windows need
-short matches to count, so literals stay uncompressed (the fast strategy of zstandard, minimum match 4).
+The ordinary dictionary is trained on windows of ordinary documents.  The toxic dictionary holds the same bytes and, after
+them, a dictionary trained on the runs of bytes of toxic windows that ordinary windows lack: most of a toxic document is
+ordinary text, and a dictionary trained on all of it differs from the ordinary one mostly by chance.  A run is where every
+``GRAM`` bytes are in more windows of toxic documents than chance explains (``SURPRISE`` deviations beyond the share of such
+windows); windows that are equal count once.  Short windows need short matches to count, so literals stay uncompressed (the fast strategy
+of zstandard, minimum match 4).
 
 Each window of ``WINDOW`` words gives the bytes that the toxic dictionary saves.  How many windows of a document
 save at least 1, 2, ... bytes are its features; a logistic curve fitted on labelled documents, which the
@@ -16,7 +18,9 @@ labels, so scores don't depend on how many of a class were sampled.  Every docum
 
 Nulls and edge cases: null text is empty; a text without words gets the curve's value at no windows.  Labels that are null or
 of rows without doc_id are not used; of repeated labels of one doc_id the largest counts.  If a class has no
-labels, every score is the share of toxic labels (one half without any).
+labels, every score is the share of toxic labels (one half without any).  Too few samples to train a dictionary on (zstandard
+refuses them) are the dictionary themselves.  Repeated rows are each scored; of repeated texts in the sample one trains.
+Very long texts are scored whole, window by window; columns other than id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -34,23 +38,67 @@ from .fit import Logistic
 from .scratch import stored
 
 WINDOW = 8
-STEPS = (1, 2, 3, 4, 5, 6)
+STEPS = (2, 3, 4, 5, 6, 8)
 SAMPLE = 8000
-#: Bytes of ordinary text and size of its dictionary; most toxic terms, and how far beyond chance they must be.
-#: A term counts once for each pair of neighbouring words, so copies and templates add nothing.
+#: Bytes of ordinary text and size of its dictionary; size of the toxic part; bytes of a gram and how far beyond chance.
 BASE_TEXT, BASE_SIZE = 6 << 20, 64 << 10
-TERMS, SURPRISE = 1000, 5.0
+TOXIC_SIZE, GRAM, SURPRISE = 8 << 10, 6, 8.0
 _SETTINGS = {"window_log": 17, "chain_log": 17, "hash_log": 17, "search_log": 4, "min_match": 4, "target_length": 1, "strategy": zstd.STRATEGY_FAST, "write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
 
 
-def _trained(samples: list[bytes], size: int) -> bytes:
+def _trained(samples: list[bytes], size: int, segment: int = 32) -> bytes:
     """Content of a dictionary trained on the samples; if they are too few to train on, the samples themselves."""
     try:
-        return zstd.train_dictionary(size, samples, k=32, d=6).as_bytes()
+        return zstd.train_dictionary(size, samples, k=segment, d=6).as_bytes()
     except zstd.ZstdError:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of each text, lower case, words with single spaces around them, with the text's label."""
+    for batch in batches:
+        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+            words = text.encode().translate(tx.LOWER.tobytes()).split()
+            out = [b" " + b" ".join(words[w : w + WINDOW]) + b" " for w in range(0, len(words), WINDOW)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array([label] * len(out), pa.int32())], ["window", "label"])
+
+
+def _grams(window: bytes) -> np.ndarray:
+    a = np.frombuffer(window, np.uint8).astype(np.uint64)
+    g = np.zeros(max(0, len(a) - GRAM + 1), np.uint64)
+    for j in range(GRAM):
+        g = g << np.uint64(8) | a[j : j + len(g)]
+    return g.view(np.int64)
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different grams of each window with its label."""
+    for batch in batches:
+        found = [np.unique(_grams(w)) for w in batch.column("window").to_pylist()]
+        if found:
+            label = np.repeat(batch.column("label").to_numpy(), [len(g) for g in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(label)], ["gram", "label"])
+
+
+def _runs(marked: np.ndarray):
+    """The runs of bytes of each window that marked grams cover."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[bytes] = []
+            for window in batch.column("window").to_pylist():
+                at = np.flatnonzero(np.isin(_grams(window), marked))
+                if len(at):
+                    edge = np.zeros(len(window) + 1, np.int32)
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + GRAM, -1)
+                    cover = np.diff(np.concatenate(([0], (np.cumsum(edge) > 0).astype(np.int8))))
+                    out += [window[a:b] for a, b in zip(np.flatnonzero(cover > 0).tolist(), np.flatnonzero(cover < 0).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["run"])
+
+    return runs
+
+
 class Meter:
     """Bytes saved by the toxic dictionary, window by window."""
 
@@ -88,33 +136,27 @@ def _fit(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int) -> tu
     every = {r.label: r["count"] for r in labels.groupBy("label").count().collect()}
     weight = np.array([every.get(k, 0) / max(1, picked[k].count()) for k in (0, 1)])
     sample = stored(docs.join(F.broadcast(picked[0].union(picked[1])), "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(2))), "labelled")
-    half = sample.where("half = 0").dropDuplicates(["text"])
+    half = sample.where("half = 0").groupBy("text").agg(F.max("label").alias("label"))
     counts = {r.label: r["count"] for r in half.groupBy("label").count().collect()}
     zeros, ones = (sample.where(f"label = {k}").count() * weight[k] for k in (0, 1))
     prior = float((ones + 0.5) / (zeros + ones + 1.0))
     if len(counts) < 2:
         return b"", b"", None, prior
-    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = half.select("label", F.split(lower, r"[\x20\x09-\x0D\p{Punct}]+").alias("w"))
-    places = words.select("label", F.explode(F.expr("transform(w, (x, i) -> struct(x AS term, get(w, i - 1) AS before, get(w, i + 1) AS after))")).alias("at")).select("label", "at.*")
-    places = places.where("term <> ''").groupBy("term", "before", "after").agg(F.min("label").alias("toxic"))
-    terms = places.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
-    terms = stored(terms, "terms")
-    every = terms.agg(F.sum("t").alias("t"), F.sum("o").alias("o")).first()
-    share = (every.t or 0) / max(1, (every.t or 0) + (every.o or 0))
-    spread = F.sqrt((F.col("t") + F.col("o")) * share * (1 - share) + 0.25)
-    terms = terms.withColumn("z", (F.col("t") - (F.col("t") + F.col("o")) * share - 0.5) / spread).where(f"z > {SURPRISE}")
-    found = terms.orderBy(F.desc("z"), "term").limit(TERMS).collect()
-    samples = [f" {r.term} ".encode() for r in reversed(found) for _ in range(min(int(r.t), 50))]
+    windows = half.select("text", "label").mapInArrow(_windows, "window binary, label int").groupBy("window").agg(F.max("label").alias("label"))
+    windows = stored(windows, "windows")
+    share = windows.agg(F.avg("label").alias("share")).first().share or 0.0
+    grams = windows.mapInArrow(_held, "gram long, label int").groupBy("gram").agg(F.sum("label").alias("t"), F.count("*").alias("n"))
+    spread = F.sqrt(F.col("n") * share * (1 - share) + 0.25)
+    marked = grams.where((F.col("t") - F.col("n") * share - 0.5) / spread > SURPRISE).select("gram").toArrow().column("gram").to_numpy()
+    runs = windows.where("label = 1").select("window").mapInArrow(_runs(np.sort(marked)), "run binary").orderBy("run").toArrow().column("run").to_pylist()
     base: list[bytes] = []
     size = 0
-    for r in half.where("label = 0").select(lower.alias("text")).orderBy(order, "text").limit(2000).toLocalIterator():
-        base.append(r.text.encode())
+    for r in windows.where("label = 0").orderBy(F.xxhash64("window"), "window").select("window").toLocalIterator():
+        base.append(bytes(r.window))
         size += len(base[-1])
         if size >= BASE_TEXT:
             break
-    pieces = [b"".join(samples[i::40]) for i in range(40)] if len(samples) > 400 else samples
-    specific = b"".join(f" {r.term} ".encode() for r in reversed(found)) if len(found) < 64 else _trained(pieces, 8 << 10)
+    specific = _trained(runs, TOXIC_SIZE, 24)
     ordinary = _trained(base, BASE_SIZE)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
