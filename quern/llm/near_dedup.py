@@ -10,10 +10,10 @@ below 0.001, larger similarities far less.
 * Equal sets are one class from the start, so copies cost nothing more.
 * First the members of a key meet only its smallest member (taken per batch and then over all, so a key of very
   many members is never gathered); what a full comparison of the sets confirms is linked and components form.
-* Then the nodes that share a key with another component are searched without loss.  A common template or
-  passage puts many nodes under one key, and comparing its members pair by pair would grow with their square,
-  so these nodes meet by prefix filtering: shingles are ranked from rare to frequent, and two similar sets
-  share one among their first few, at places that depend on both sizes.
+* Then all members of different components under a key are compared by the Hamming distance of their signatures.
+* A common template or passage puts many nodes under one key, and comparing more than ``CROWD`` of them pair by pair
+  would grow with their square.  The nodes of such keys meet by prefix filtering instead, which loses none: shingles are
+  ranked from rare to frequent, and two similar sets share one among their first few, at places that depend on both sizes.
 * All candidates are confirmed on whole sets: 100 * intersection >= 75 * union.
 
 Nulls and edge cases: null text counts as empty; texts without words have n_shingles 0 and link with nothing.
@@ -24,6 +24,7 @@ doc_id are one node: they share a component.  An empty table gives an empty resu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,9 @@ PERCENT = 75
 POSITIONS, CHUNK = 64, 4
 CHUNKS = POSITIONS // CHUNK
 THRESHOLD = 27
-#: Waiting sets of a key that one task compares at once, and the ratio of neighbouring size classes.
-CROWD = 4096
+#: Nodes of a key that are compared by their signatures, sets that one task compares at once, and the ratio of neighbouring
+#: size classes.
+CROWD = 2048
 SIZE_STEP = 1.1
 
 _A = tx.seeded(POSITIONS, 11) | np.uint64(1)
@@ -155,6 +157,38 @@ def _distance_ok(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
 
+def _meet_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, component, n, sig) sorted by key, CROWD of a key at most: pairs of different components within the
+    signature distance whose sizes allow them to be similar."""
+    held: pa.Table | None = None
+    for batch in chain(batches, [None]):
+        parts = ([held] if held is not None else []) + ([pa.Table.from_batches([batch])] if batch is not None else [])
+        if not parts:
+            return
+        rows = pa.concat_tables(parts)
+        if not rows.num_rows:
+            continue
+        key = rows.column("key").to_numpy()
+        last = len(key) if batch is None else int(np.argmax(key == key[-1]))
+        node, comp, n = (rows.column(c).to_numpy()[:last] for c in ("node", "component", "n"))
+        sig = _signatures(rows.column("sig").slice(0, last))
+        edge = np.append(np.flatnonzero(np.concatenate(([True], key[1:last] != key[: last - 1]))), last) if last else np.zeros(1, np.int64)
+        found = [np.zeros((0, 2), np.int64)]
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            for x in range(a, b, 128):
+                i = slice(x, min(b, x + 128))
+                ok = (comp[i, None] < comp[None, a:b]) & (100 * np.minimum(n[i, None], n[None, a:b]) >= PERCENT * np.maximum(n[i, None], n[None, a:b]))
+                p, q = np.nonzero(ok)
+                for at in range(0, len(p), 1 << 16):
+                    u, w = x + p[at : at + (1 << 16)], a + q[at : at + (1 << 16)]
+                    near = (sig[u] != sig[w]).sum(1) <= THRESHOLD
+                    found.append(np.sort(np.stack([node[u[near]], node[w[near]]], 1), axis=1))
+        held = rows.slice(last).combine_chunks()
+        every = np.unique(np.concatenate(found), axis=0)
+        if len(every):
+            yield pa.RecordBatch.from_arrays([pa.array(every[:, k].copy()) for k in (0, 1)], ["a", "b"])
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, sizes, hashes in shingle_sets(batch):
@@ -275,10 +309,13 @@ def _searched(open_nodes: DataFrame, docs: DataFrame) -> DataFrame:
     rows = open_nodes.join(ranked, "node").select("node", "component", "n", "frequent")
     rows = stored(rows.mapInArrow(_prefixes, "key long, side int, place long, node long, component long, n long"), "prefixes")
     keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("side").alias("looks"), F.sum(1 - F.col("side")).alias("waits"))
-    keys = stored(keys.where("lo < hi and looks > 0 and waits > 0").select("key", F.ceil(F.col("waits") / CROWD).cast("int").alias("parts")), "prefix-keys")
+    keys = stored(keys.where("lo < hi and looks > 0 and waits > 0").select("key", F.ceil(F.col("waits") / CROWD).cast("int").alias("parts"), F.ceil(F.col("looks") / CROWD).cast("int").alias("look_parts")), "prefix-keys")
     rows = rows.join(keys, "key")
-    part = F.when(F.col("side") == 0, F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    rows = rows.withColumn("part", F.explode(part)).withColumn("key", F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", "part")))
+    # both sides are cut into parts, and every part of one meets every part of the other
+    for own, parts in ((0, "parts"), (1, "look_parts")):
+        part = F.when(F.col("side") == own, F.array(F.pmod(F.xxhash64("node"), F.col(parts)).cast("int"))).otherwise(F.sequence(F.lit(0), F.col(parts) - 1))
+        rows = rows.withColumn(f"part{own}", F.explode(part))
+    rows = rows.withColumn("key", F.when((F.col("parts") == 1) & (F.col("look_parts") == 1), F.col("key")).otherwise(F.xxhash64("key", "part0", "part1")))
     rows = rows.select("key", "side", "place", "node", "component", "n").repartition("key").sortWithinPartitions("key", "side")
     return rows.mapInArrow(_meet_prefixes, "a long, b long").distinct()
 
@@ -305,10 +342,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = met.select("key", "node").union(keys.where("node <> lead").select("key", "node"))
     placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     placed = stored(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_nodes = placed.join(stored(mixed, "mixed"), "key", "left_semi").groupBy("node").agg(F.min("component").alias("component"))
-    open_nodes = stored(open_nodes.join(nodes.groupBy("node").agg(F.max("n").alias("n")), "node"), "open-nodes")
-    late = stored(_confirmed(_searched(open_nodes, docs), nodes, docs, "search"), "search-links")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi")
+    mixed = stored(mixed.select("key", "members"), "mixed")
+    about = nodes.groupBy("node").agg(F.max("n").alias("n"), F.max("sig").alias("sig"))
+    rows = placed.join(mixed.where(f"members <= {CROWD}").select("key"), "key").join(about, "node").select("key", "node", "component", "n", "sig")
+    pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_meet_signatures, "a long, b long")
+    crowded = placed.join(mixed.where(f"members > {CROWD}").select("key"), "key", "left_semi").groupBy("node").agg(F.min("component").alias("component"))
+    crowded = stored(crowded.join(nodes.groupBy("node").agg(F.max("n").alias("n")), "node"), "crowded-nodes")
+    if not crowded.isEmpty():
+        pairs = pairs.union(_searched(crowded, docs))
+    late = stored(_confirmed(pairs.distinct(), nodes, docs, "search"), "search-links")
 
     joined = late.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     merged = components(joined)
