@@ -145,11 +145,11 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                 yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(part), pa.array(block), pa.array(reach[row, left]), some.column("id").take(take), some.column("v").take(take)], ["left", "part", "block", "reach", "query_id", "q"])
 
     asked = stored(asked.mapInArrow(probes, "left long, part long, block long, reach long, query_id long, q array<double>"), "probes")
-    reached = asked.select("left", "block").distinct()  # at most codewords x blocks
+    reached = asked.select(F.col("left").alias("to_left"), F.col("block").alias("to_block")).distinct()  # at most codewords x blocks
     left = F.floor(F.col("cell") / sizes[1]).cast("long")
     part = F.pmod(F.xxhash64("id", F.lit(2)), F.element_at(F.array(*[F.lit(int(p)) for p in parts]), (F.col("left") + 1).cast("int")))
     entries = index.withColumn("left", left).withColumn("part", part).withColumn("right", F.pmod("cell", F.lit(sizes[1])))
-    entries = entries.join(F.broadcast(reached), "left").select("left", "part", "block", "right", "id", "v")
+    entries = entries.join(F.broadcast(reached), F.col("left") == F.col("to_left")).select("left", "part", F.col("to_block").alias("block"), "right", "id", "v")
 
     def rerank(key: tuple, entry: pa.Table, query: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
