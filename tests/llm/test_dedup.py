@@ -103,6 +103,13 @@ def test_near_equals_brute_force(docs):
     assert sorted(tuple(r) for r in near_dedup.near_duplicates(df).collect()) == brute_near(rows)
 
 
+def test_near_with_crowded_keys_equals_brute_force(docs, monkeypatch):
+    """Keys of many nodes go the other way and give the same."""
+    df, rows = docs
+    monkeypatch.setattr(near_dedup, "CROWD", 3)
+    assert sorted(tuple(r) for r in near_dedup.near_duplicates(df).collect()) == brute_near(rows)
+
+
 def test_near_with_null_ids_and_repeated_rows(spark):
     rows = [(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (5, "A b c d e f"), (6, None), (7, "  ")]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -263,7 +270,7 @@ def test_crowded_keys_lose_no_pair():
         table = pa.RecordBatch.from_arrays([column([r[0] for r in rows]), column(i), column(comp[i]), column(sim[i]), column(size[i]), column([r[2] for r in rows]), column([r[3] for r in rows], pa.bool_())], ["tile", "line", "component", "sim", "size", "part", "low"])
         batches = [table.slice(a, 37) for a in range(0, table.num_rows, 37)]
         got, near = ({tuple(r.values()) for b in line_dedup._meet_open(nearest)(iter(batches)) for r in b.to_pylist()} for nearest in (False, True))
-        want = {(a, b) for a in range(120) for b in range(a + 1, 120) if comp[a] != comp[b] and bin(int(sim[a] ^ sim[b])).count("1") <= line_dedup.BITS and 5 * min(size[a], size[b]) >= 4 * max(size[a], size[b])}
+        want = {(a, b) for a in range(120) for b in range(a + 1, 120) if comp[a] != comp[b] and bin(int(sim[a] ^ sim[b])).count("1") <= line_dedup.allowed(max(size[a], size[b])) and 5 * min(size[a], size[b]) >= 4 * max(size[a], size[b])}
         assert got == want and near <= want
         assert {tuple(sorted((comp[a], comp[b]))) for a, b in near} == {tuple(sorted((comp[a], comp[b]))) for a, b in want}
 

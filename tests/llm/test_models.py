@@ -73,6 +73,27 @@ def test_recall_on_the_test_vectors(spark, sf):
     assert np.mean(hits) >= 0.9
 
 
+def test_recall_of_many_vectors_and_equal_scores_of_equal_vectors(spark):
+    """20,000 vectors without structure, a thousand of them copies: 0.9 of the true neighbours, ties to the smaller id."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20_000, 16))
+    x[5000:6000] = x[rng.integers(0, 40, 1000) * 20]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ann.nearest(df, queries="id % 200 = 0").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    hits = []
+    for i, found in got.items():
+        exact = np.zeros(len(x))
+        for j in range(16):
+            exact += x[i, j] * x[:, j]
+        assert [s for _, s in found] == [exact[v] for v, _ in found]
+        assert found == sorted(found, key=lambda p: (-p[1], p[0]))
+        exact[i] = -np.inf
+        hits.append(len({v for v, _ in found} & set(np.lexsort((np.arange(len(x)), -exact))[:20].tolist())) / 20)
+    assert len(got) == 100 and np.mean(hits) >= 0.9
+
+
 # language model
 
 
@@ -290,6 +311,61 @@ def test_quality_separates_and_each_view_alone_does(spark):
         assert np.mean([(r[view] >= 0.5) == (r.doc_id % 2 == 1) for r in got]) > 0.95
 
 
+def test_quality_exchange_takes_the_surest_of_all_documents(spark, monkeypatch):
+    """The rows that the views exchange are the surest of every unlabelled document, however they are dealt to tasks."""
+    monkeypatch.setattr(quality, "KEPT", 7)
+    monkeypatch.setattr(quality, "ROUNDS", 1)
+    docs, labels = labelled(spark, prose_of, lambda r: prose_of(r).upper().replace(" ", "!! "), 200)
+    labels = labels.where("doc_id < 60")
+    taken = []
+    old = quality._surest
+    monkeypatch.setattr(quality, "_surest", lambda models, used: (taken.append(models), old(models, used))[1])
+    for parts in (1, 5):
+        quality.fit(docs.repartition(parts), labels, "label")
+    one, two = taken
+    for a, b in zip(one, two, strict=True):
+        assert np.allclose(a.theta, b.theta)
+    seen = []
+    monkeypatch.setattr(quality, "CoTrained", lambda content, meta, label, exchange: seen.append(exchange(one, 0)))
+    for parts in (1, 5):
+        quality.fit(docs.repartition(parts), labels, "label")
+    for a, b in zip(*seen, strict=True):
+        assert np.array_equal(a, b)
+    assert 0 < len(seen[0][0]) <= 4 * 7
+
+
+def test_held_out_quality_on_the_test_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 0
+    got = quality.scored(docs, labels.where(~held)).join(labels.where(held).select("doc_id", "quality"), "doc_id").select("score", "quality").collect()
+    good, bad = ([r.score for r in got if r.quality == k] for k in (1, 0))
+    assert np.mean([a > b for a in good for b in bad]) > 0.85
+
+
+@pytest.mark.parametrize("name", ["toxicity", "quality", "mixing", "pieces", "ppm", "exact", "near", "substring", "lines"])
+def test_awkward_rows(spark, name):
+    """Nulls in every column, repeated rows, a long text and columns whose names clash with results give a row each."""
+    from quern.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
+
+    rng = random.Random(3)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", "d" * 30]) for _ in range(60_000))
+    rows = [(i, prose_of(rng), "en", "s", 9) for i in range(30)] * 2 + [(None, None, None, None, None), (None, "x", None, None, None), (5, None, None, None, None), (77, long, "en", "t", None), (78, "", "en", None, 0)]
+    names = "score", "label", "rank", "ids", "key", "component", "n", "node", "weight", "copies", "item", "window"
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    for k, c in enumerate(names):
+        df = df.withColumn(c, F.lit(None) if k % 3 == 0 else F.lit(k))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(i, i % 2) for i in range(9)] + [(None, 1), (3, None)], "doc_id long, label int")
+    run = {
+        "toxicity": lambda: toxicity.toxicity_scores(df, labels, label_col="label"), "quality": lambda: quality.quality_scores(df, labels, label_col="label"),
+        "mixing": lambda: mixing.mixed(df), "pieces": lambda: pieces.decoded(pieces.encoded(df)), "ppm": lambda: ppm.ppm_scores(df),
+        "exact": lambda: exact_dedup.exact_duplicates(df), "near": lambda: near_dedup.near_duplicates(df), "substring": lambda: substring_dedup.remove_repeats(df), "lines": lambda: line_dedup.clean_documents(df),
+    }
+    out = run[name]()
+    assert len(set(out.columns)) == len(out.columns)
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in out.select("doc_id").collect()) == sorted(r[0] if r[0] is not None else -1 for r in rows)
+
+
 # sentencepiece
 
 TEXTS = ["", " ", "  ", "a", "Hello  world", "a\nb", "  x ", "é😀\t", "\n\n", "x" * 400, "  " * 40 + "q", "ab" * 200 + "日本語" * 40, "ﬁ <0x0A> <s> </s>", "\x00a\x00", "नमस्ते दुनिया", "a▁b"]
@@ -341,7 +417,7 @@ def test_pipeline_stages_in_order_and_whole(spark, sf):
     good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
     kept = {r.doc_id for r in corpus_pipeline.reject_poor(spark, docs, sf).select("doc_id").collect()}
     assert len(good & kept) >= 0.97 * len(good)
-    assert corpus_pipeline.encode(spark, docs.limit(5), sf).columns == ["doc_id", "source", "n_pieces", "ids"]
+    assert corpus_pipeline.encode(spark, docs.limit(5), sf).columns == ["doc_id", "source", "n_pieces", "ids", "round_trip"]
 
 
 def test_near_copies_stage_keeps_one_of_each_group(spark, sf):
