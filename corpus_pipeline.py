@@ -3,6 +3,12 @@
 STAGES in order: reject documents of poor quality, cut repeated lines, keep one document of each near-duplicate
 group, mix the sources to target weights, encode with a SentencePiece model.  All but the last return the columns
 of documents.  run() applies them one after the other, each result written to the shared folder and read back.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows and empty tables, and leaves out columns
+other than those of documents, whatever their names; an empty table gives an empty result.  Null text counts as empty
+everywhere and stays null until it is encoded.  Rows without doc_id pass the first three stages as their quality lets
+them: they neither lose lines nor count as copies.  Rows repeating a doc_id share their near-duplicate group; the other
+stages treat each row alone.  A null source is a source of its own in the mixture.
 """
 
 from __future__ import annotations
@@ -47,7 +53,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encoded(docs.select(*COLUMNS)).select("doc_id", "source", "n_pieces", "ids")
+    """The ids of each text, and whether decoding them gives the text back."""
+    both = pieces.decoded(pieces.encoded(docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))))
+    return both.select("doc_id", "source", "n_pieces", "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
