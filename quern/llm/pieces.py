@@ -10,7 +10,9 @@ alone.  Each task keeps the segments it has met; for the new ones of a slice
 4. edges are relaxed in the order that the model's scores prescribe: in each round every segment applies its best
    edge (score, then leftmost) that joins two neighbouring symbols, until none is left.
 
-Characters that no piece covers become byte pieces.  Ids equal those of the sentencepiece library.
+The memo tells segments apart by 128-bit hashes.  A segment longer than a chunk is cut where no piece spans two characters,
+which changes nothing; only one without any such place (such as one repeated letter) is matched whole, with some 140 bytes
+of memory a byte.  Characters that no piece covers become byte pieces.  Ids equal those of the sentencepiece library.
 
 Nulls and edge cases: null and empty texts have no ids and decode to the empty text.  U+2581 stands for a space in such
 models and decodes to one, as in the library.  Other columns pass through; columns named like results are replaced.
@@ -81,7 +83,7 @@ class Encoder:
         self.low = np.array(vocabulary.pieces, width)
         self.high = np.array([p + b"\xff" * (self.depth - len(p)) for p in vocabulary.pieces], width)
         self.length = np.array([len(p) for p in vocabulary.pieces])
-        self.known = np.zeros(0, np.uint64)
+        self.known, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.start = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.int32)
 
@@ -186,10 +188,32 @@ class Encoder:
         keep = [i for i in range(n) if alive[i]]
         return np.array([begin[i] for i in keep]), np.array([end[i] for i in keep])
 
-    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> None:
+    def _cuts(self, text: np.ndarray) -> list[int]:
+        """Where a long segment may be cut: between characters that no piece spans, so nothing merges across."""
+        cuts, at = [0], 0
+        while len(text) - at > CHUNK:
+            window = text[at : at + CHUNK]
+            start, length = np.nonzero(self._table(window))
+            spans = np.zeros(len(window) + 1, np.int64)
+            np.add.at(spans, start + 1, 1)
+            np.add.at(spans, start + length, -1)
+            free = np.flatnonzero((np.cumsum(spans)[:-1] == 0) & ((window & 0xC0) != 0x80))
+            free = free[(free > 0) & (free <= len(window) - self.depth)]
+            if not len(free):
+                break
+            at += int(free[-1])
+            cuts.append(at)
+        return cuts
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> None:
         if len(self.known) > REMEMBERED:
-            self.known, self.start, self.flat = self.known[:0], self.start[:1], self.flat[:0]
-        ids, lengths = [self.flat], [np.diff(self.start)]
+            self.known, self.check, self.start, self.flat = self.known[:0], self.check[:0], self.start[:1], self.flat[:0]
+        count = np.ones(len(start), np.int64)
+        for i in np.flatnonzero(end - start > CHUNK)[::-1].tolist():
+            cuts = np.array(self._cuts(data[start[i] : end[i]])) + start[i]
+            count[i] = len(cuts)
+            start, end = np.concatenate((start[:i], cuts, start[i + 1 :])), np.concatenate((end[:i], cuts[1:], end[i:]))
+        ids, lengths = [self.flat], []
         size = np.cumsum(end - start)
         a = 0
         while a < len(start):
@@ -208,13 +232,24 @@ class Encoder:
             ids.append(got[keep])
             lengths.append(np.diff(where) - 1)
             a = b
+        learned = np.add.reduceat(np.concatenate(lengths), np.cumsum(count) - count)
         order = np.argsort(np.concatenate((self.known, hashes)), kind="stable")
-        flat, length = np.concatenate(ids), np.concatenate(lengths)
+        flat, length = np.concatenate(ids), np.concatenate((np.diff(self.start), learned))
         begin = np.cumsum(length) - length
-        self.known = np.concatenate((self.known, hashes))[order]
+        self.known, self.check = np.concatenate((self.known, hashes))[order], np.concatenate((self.check, checks))[order]
         self.flat = flat[_spread(begin[order], length[order])]
         self.start = np.concatenate(([0], np.cumsum(length[order])))
 
+    def _agree(self, hashes: np.ndarray, checks: np.ndarray, distinct: np.ndarray, where: np.ndarray) -> bool:
+        """Whether equal hashes come with equal second hashes, here and in the memo."""
+        if not len(hashes):
+            return True
+        if (checks != checks[where][np.searchsorted(distinct, hashes)]).any():
+            return False
+        place = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
+        met = self.known[place] == distinct if len(self.known) else np.zeros(len(distinct), bool)
+        return not (self.check[place[met]] != checks[where][met]).any()
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their offsets for a slice of texts given as bytes."""
         full, size = np.diff(offsets) > 0, np.diff(offsets)
@@ -227,13 +262,21 @@ class Encoder:
         head[begin[:-1][full]] = True
         start = np.flatnonzero(head)
         end = np.append(start[1:], len(text))
-        hashes = tx.span_hashes(text, start, end)
+        hashes, checks = tx.span_hashes2(text, start, end)
         distinct, where = np.unique(hashes, return_index=True)
+        if not self._agree(hashes, checks, distinct, where):
+            # two different segments share a hash: the memo is left aside for this slice
+            memo, self.known, self.check, self.start, self.flat = (self.known, self.check, self.start, self.flat), self.known[:0], self.check[:0], self.start[:1], self.flat[:0]
+            self._learn(text, start, end, np.arange(len(start)).astype(np.uint64), checks)
+            length = np.diff(self.start)
+            found = self.flat, np.concatenate(([0], np.cumsum(length)))[np.searchsorted(start, begin)]
+            self.known, self.check, self.start, self.flat = memo
+            return found
         fresh = ~np.isin(distinct, self.known, assume_unique=True)
         if len(self.known) > REMEMBERED:
             fresh[:] = True
         if fresh.any():
-            self._learn(text, start[where[fresh]], end[where[fresh]], distinct[fresh])
+            self._learn(text, start[where[fresh]], end[where[fresh]], distinct[fresh], checks[where[fresh]])
         at = np.searchsorted(self.known, hashes)
         length = self.start[at + 1] - self.start[at] if len(at) else np.zeros(0, np.int64)
         upto = np.concatenate(([0], np.cumsum(length)))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quern.llm import ann, mixing, pieces, ppm, quality, toxicity
 from quern.llm import queries as q
+from quern.llm import text as tx
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -384,6 +385,30 @@ def test_ids_equal_the_library_and_decode_back(spark):
         assert r.decoded == sp.decode(r.ids) == t.replace("▁", " ")
 
 
+def test_long_segments_and_colliding_hashes(monkeypatch):
+    """Segments without spaces are cut without changing ids, and equal first hashes of different segments do no harm."""
+    import pyarrow as pa
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["the", "Q", "7", "ing", "日", "本語", "-", "zx"]) for _ in range(700)), "a" * 900, "plain words here", "".join(chr(rng.randint(33, 126)) for _ in range(3000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    want = [sp.encode(t) for t in texts]
+    for weak in (False, True):
+        with monkeypatch.context() as m:
+            m.setattr(pieces, "CHUNK", 256)
+            if weak:
+                old = tx.span_hashes2
+                m.setattr(tx, "span_hashes2", lambda *a: [old(*a)[0] % np.uint64(3), old(*a)[1]])
+            encoder = pieces.Encoder(pieces.Vocabulary.load())
+            got = []
+            for _, _, data, offsets in tx.slices(batch, "text"):
+                ids, where = encoder.encode(data, offsets)
+                got += [ids[a:b].tolist() for a, b in zip(where[:-1], where[1:], strict=True)]
+            assert got == want
+
+
 def test_encoding_an_empty_table(spark):
     assert pieces.encoded(spark.createDataFrame([], DOCS)).count() == 0
 
