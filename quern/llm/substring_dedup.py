@@ -11,7 +11,9 @@ about a fifth as many fingerprints as windows enter the index and no repeat can
 * Batches arrive in doc_id order.  A batch's anchors that are in a run, or in several of its own documents,
   are suspects; its new anchors become the next run; runs of similar size are merged into one.
 * Suspects are verified on 96-bit hashes of all 13 words: a window goes if its word sequence starts in a
-  document with a smaller doc_id.  Everything is judged on the input texts.
+  document with a smaller doc_id.  A bit set of the suspects, at most ``FILTER_BITS`` large, goes to every task, which hashes the
+  windows whose anchor it may hold, so no text is shuffled to find them; a fuller set lets more windows through and
+  loses none.  Everything is judged on the input texts.
 
 Nulls and edge cases: null text has no words.  Rows without doc_id lose nothing and remove nothing.  Rows
 repeating a doc_id never count against each other.  Texts of fewer than 13 words are left alone.  An empty table
@@ -32,10 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .scratch import delete, discard, joined, shared_dir, stored, without
+from .scratch import delete, discard, joined, keep_ids, shared_dir, stored, without
 
 WINDOW, GRAM = 13, 6
 BATCHES = 3
+#: Bits a suspect gets, and most bits of the set (32 MB).
+SUSPECT_BITS, FILTER_BITS = 16, 1 << 28
 
 
 def _words(batch: pa.RecordBatch):
@@ -120,8 +124,8 @@ class FingerprintIndex:
             return empty
 
     def add(self, batch: DataFrame, keep: bool = True) -> DataFrame:
-        """Matches (doc_id, anchor) of a batch (anchor, doc_id) whose ids are all larger than those before: every document of the
-        batch that is not the first with the anchor, and the first.  keep=False leaves the batch itself out of the index."""
+        """Suspects (anchor, first_doc) of a batch (anchor, doc_id) whose ids are all larger than those before: anchors that a
+        later document of the batch has too.  keep=False leaves the batch itself out of the index."""
         entries = self._write(batch.repartition(self.buckets, "anchor"))
         table = self.spark.table(entries[0])
         seen = table.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).withColumn("before", F.lit(None).cast("long"))
@@ -129,17 +133,15 @@ class FingerprintIndex:
             run = self.spark.table(name).select(F.col("anchor"), F.col("first_doc").alias("found"))
             seen = seen.join(run.hint("merge"), "anchor", "left").select("anchor", "lo", "hi", F.least("before", "found").alias("before"))
         suspects = stored(seen.where(F.col("hi") > F.coalesce("before", "lo")).select("anchor", F.coalesce("before", "lo").alias("first_doc")), "suspects")
-        later = table.join(suspects, "anchor").where("doc_id > first_doc").select("doc_id", "anchor")
-        found = stored(later.union(suspects.select("first_doc", "anchor")), "matches")
+        if self.lasting:
+            later = table.join(suspects, "anchor").where("doc_id > first_doc").select("doc_id", "anchor")
+            later.union(suspects.select("first_doc", "anchor")).write.mode("append").parquet(f"{self.root}/matches")
         if keep:
             fresh = seen.where("before is null").select("anchor", F.col("lo").alias("first_doc"))
             self.runs.append((*(made := self._write(fresh)), self.spark.table(made[0]).count()))
             self._compact()
         self._remove(*entries)
-        discard(suspects)
-        if self.lasting:
-            found.write.mode("append").parquet(f"{self.root}/matches")
-        return found
+        return suspects
 
     def _compact(self) -> None:
         """Merges runs of similar size: equal buckets of both are joined where they lie."""
@@ -164,24 +166,36 @@ class FingerprintIndex:
         self.runs, self.dropped = [], []
 
 
-def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes and places of the windows whose anchor is among the document's suspects."""
-    for batch in batches:
-        ids = batch.column("doc_id").to_numpy()
-        lists = batch.column("anchors")
-        for at, to, data, _, start, end, first, word in _words(batch):
-            if len(word) < WINDOW:
-                continue
-            whole, check = tx.gram_hashes(word, WINDOW), tx.gram_hashes(tx.span_hashes2(data, start, end)[1], WINDOW)
-            anchors = _window_anchors(word)
-            for d in range(to - at):
-                a, b = first[d], first[d + 1] - WINDOW + 1
-                if b > a:
-                    wanted = np.sort(lists[at + d].values.to_numpy().view(np.uint64))
-                    place = np.minimum(np.searchsorted(wanted, anchors[a:b]), len(wanted) - 1)
-                    hit = np.flatnonzero(wanted[place] == anchors[a:b])
-                    values = (whole[a + hit].view(np.int64), (check[a + hit] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(hit), ids[at + d]), hit.astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in values], ["window", "check", "doc_id", "place"])
+def suspect_bits(suspects: DataFrame) -> np.ndarray:
+    """The suspects' anchors as a set of bits by their last bits; anchors are hashes themselves (the smallest of some, so their
+    first bits are not evenly spread)."""
+    bits = 1 << max(6, min(FILTER_BITS.bit_length() - 1, (SUSPECT_BITS * suspects.count()).bit_length()))
+    words = suspects.select(F.col("anchor").bitwiseAND(F.lit(bits - 1)).alias("p")).groupBy(F.expr("p >> 6").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("held")).toArrow()
+    found = np.zeros(bits // 64, np.uint64)
+    found[words.column("word").to_numpy()] = words.column("held").to_numpy().view(np.uint64)
+    return found
+
+
+def _windows_of(bits):
+    """Hashes and places of the windows whose anchor may be a suspect."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = bits.value
+        last = np.uint64(64 * len(held) - 1)
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            for at, to, data, _, start, end, first, word in _words(batch):
+                own = tx.own_grams(first, WINDOW)
+                if not len(own):
+                    continue
+                place = _window_anchors(word)[own] & last
+                own = own[held[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1) == 1]
+                whole, check = tx.gram_hashes(word, WINDOW)[own], tx.gram_hashes(tx.span_hashes2(data, start, end)[1], WINDOW)[own]
+                row = np.searchsorted(first, own, "right") - 1
+                values = (whole.view(np.int64), (check >> np.uint64(32)).astype(np.uint32).view(np.int32), ids[at:to][row], (own - first[row]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in values], ["window", "check", "doc_id", "place"])
+
+    return windows
 
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -240,30 +254,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cuts = named.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000).alias("q")).first().q or []
     edges = [None, *sorted(set(cuts)), None]
     runs, found = FingerprintIndex(spark, index), []
-    before = runs.matches() if index and history is not None else None
+    before = stored(runs.matches(), "matches-before") if index and history is not None else None
     for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
         part = named.where(f"doc_id > {lo}") if lo is not None else named
         part = part.where(f"doc_id <= {hi}") if hi is not None else part
-        anchors = part.mapInArrow(_anchors, "anchor long, doc_id long")
-        if k == 0 and before is not None:
-            old = stored(before, "matches-before")
-        found.append(runs.add(anchors, keep=index is not None or k + 2 < len(edges)))
+        found.append(runs.add(part.mapInArrow(_anchors, "anchor long, doc_id long"), keep=index is not None or k + 2 < len(edges)))
     runs.close()
-    matched = reduce(DataFrame.union, found)
+    suspects = reduce(DataFrame.union, found)
+    bits = spark.sparkContext.broadcast(suspect_bits(suspects))
     texts = named
     if before is not None:
-        matched = matched.union(old.join(matched.select("anchor").distinct(), "anchor", "left_semi").select("doc_id", "anchor"))
-        texts = named.union(history.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null"))
-    lists = stored(matched.distinct().groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "anchor-lists")
-    discard(*found)
-    doubtful = joined(texts, "doc_id", lists)
-    windows = stored(doubtful.select("doc_id", "text", "anchors").mapInArrow(_windows_of, "window long, check int, doc_id long, place int"), "windows")
-    discard(lists)
+        earlier = before.join(suspects.select("anchor").distinct(), "anchor", "left_semi").select("doc_id").union(suspects.select("first_doc"))
+        past = history.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        texts = named.union(keep_ids(past, "doc_id", stored(earlier.distinct(), "earlier-docs")))
+    windows = texts.mapInArrow(_windows_of(bits), "window long, check int, doc_id long, place int")
     again = windows.groupBy("window", "check").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("hi")).where("hi > first_doc").drop("hi")
     again = stored(again, "repeated")
+    discard(*found)
     repeated = windows.join(again, ["window", "check"]).where("doc_id > first_doc")
     gone = stored(repeated.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "removals")
-    discard(windows, again)
+    discard(again)
     touched = joined(docs, "doc_id", gone).select("doc_id", "text", "places")
     whole = without(docs, "doc_id", gone)
     out = touched.mapInArrow(_cleaned(with_text), _RESULT).union(whole.mapInArrow(_cleaned(with_text), _RESULT))
