@@ -11,7 +11,7 @@ below 0.001, larger similarities far less.
 * First the members of a key meet only its smallest member (taken per batch and then over all, so a key of very
   many members is never gathered); what a full comparison of the sets confirms is linked and components form.
 * Then all members of different components under a key are compared by the Hamming distance of their signatures.
-* A common template or passage puts many nodes under one key, and comparing more than ``CROWD`` of them pair by pair
+* A common template or passage puts many nodes under one key, and comparing more than ``KEY_NODES`` of them pair by pair
   would grow with their square.  The nodes of such keys meet by prefix filtering instead, which loses none: shingles are
   ranked from rare to frequent, and two similar sets share one among their first few, at places that depend on both sizes.
 * All candidates are confirmed on whole sets: 100 * intersection >= 75 * union.
@@ -40,8 +40,9 @@ PERCENT = 75
 POSITIONS, CHUNK = 64, 4
 CHUNKS = POSITIONS // CHUNK
 THRESHOLD = 27
-#: Nodes of a key that are compared by their signatures, sets that one task compares at once, and the ratio of neighbouring
-#: size classes.
+#: Most nodes of a key that are compared pair by pair by their signatures, so pairs grow with the nodes and not with their square.
+KEY_NODES = 48
+#: Sets that one task compares at once, and the ratio of neighbouring size classes.
 CROWD = 2048
 SIZE_STEP = 1.1
 
@@ -158,7 +159,7 @@ def _distance_ok(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, component, n, sig) sorted by key, CROWD of a key at most: pairs of different components within the
+    """Rows (key, node, component, n, sig) sorted by key, KEY_NODES of a key at most: pairs of different components within the
     signature distance whose sizes allow them to be similar."""
     held: pa.Table | None = None
     for batch in chain(batches, [None]):
@@ -345,9 +346,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi")
     mixed = stored(mixed.select("key", "members"), "mixed")
     about = nodes.groupBy("node").agg(F.max("n").alias("n"), F.max("sig").alias("sig"))
-    rows = placed.join(mixed.where(f"members <= {CROWD}").select("key"), "key").join(about, "node").select("key", "node", "component", "n", "sig")
+    rows = placed.join(mixed.where(f"members <= {KEY_NODES}").select("key"), "key").join(about, "node").select("key", "node", "component", "n", "sig")
     pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_meet_signatures, "a long, b long")
-    crowded = placed.join(mixed.where(f"members > {CROWD}").select("key"), "key", "left_semi").groupBy("node").agg(F.min("component").alias("component"))
+    crowded = placed.join(mixed.where(f"members > {KEY_NODES}").select("key"), "key", "left_semi").groupBy("node").agg(F.min("component").alias("component"))
     crowded = stored(crowded.join(nodes.groupBy("node").agg(F.max("n").alias("n")), "node"), "crowded-nodes")
     if not crowded.isEmpty():
         pairs = pairs.union(_searched(crowded, docs))

@@ -106,7 +106,8 @@ def test_near_equals_brute_force(docs):
 def test_near_with_crowded_keys_equals_brute_force(docs, monkeypatch):
     """Keys of many nodes go the other way and give the same."""
     df, rows = docs
-    monkeypatch.setattr(near_dedup, "CROWD", 3)
+    monkeypatch.setattr(near_dedup, "KEY_NODES", 3)
+    monkeypatch.setattr(near_dedup, "CROWD", 5)
     assert sorted(tuple(r) for r in near_dedup.near_duplicates(df).collect()) == brute_near(rows)
 
 
