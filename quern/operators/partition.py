@@ -185,8 +185,9 @@ def repaired(n: DataFrame, cells: int, residual: F.Column | str) -> DataFrame:
 
 
 def variance_partition_loop(n: DataFrame, cells: int, vector: str, most_sweeps: int = 50) -> tuple[DataFrame, list[float], str]:
-    """Sweeps of variance_sweep until no node changes its cell; the within-cell variance of the vector must not rise."""
-    n, history = cut(n), []
+    """Sweeps of variance_sweep until no node changes its cell; the within-cell variance of the vector must not rise.
+    Cells that are empty at the start take the nodes of largest norm."""
+    n, history = cut(repaired(cut(n), cells, v.squared_norm(vector))), []
     for _ in range(most_sweeps):
         means = moments.means(n, vector, "c").join(n.groupBy("cell").agg(F.count("*").alias("n")), "cell")
         j = moments.within_variance(n, means, vector, "c").first().variance
@@ -202,8 +203,9 @@ def variance_partition_loop(n: DataFrame, cells: int, vector: str, most_sweeps:
 
 
 def divergence_partition(n: DataFrame, cells: int, weight: float, most_sweeps: int = 50) -> tuple[DataFrame, list[float], str]:
-    """Sweeps of divergence_proposal until nothing changes, empty cells repaired by the node of largest cost."""
-    n, history = cut(n), []
+    """Sweeps of divergence_proposal until nothing changes, empty cells repaired by the node of largest cost (at the start,
+    of largest norm)."""
+    n, history = cut(repaired(cut(n), cells, v.squared_norm("x"))), []
     for _ in range(most_sweeps):
         own = moments.representatives(n)
         j = moments.within_variance(n, own, "x", "c").crossJoin(moments.label_divergence(n)).select((F.col("variance") + weight * F.col("kl")).alias("j")).first().j
