@@ -41,7 +41,7 @@ POSITIONS, CHUNK = 64, 4
 CHUNKS = POSITIONS // CHUNK
 THRESHOLD = 27
 #: Most nodes of a key that are compared pair by pair by their signatures, so pairs grow with the nodes and not with their square.
-KEY_NODES = 48
+KEY_NODES = 8
 #: Sets that one task compares at once, and the ratio of neighbouring size classes.
 CROWD = 2048
 SIZE_STEP = 1.1
