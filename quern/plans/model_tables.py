@@ -100,7 +100,7 @@ def gcn_forward(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", F.col("dim").cast("long").alias("dim"), v.rounded("v").alias("v"))
 
 
-@query(f"SELECT id, dim, round(v, 5) + 0.0 AS v FROM ({_kernel('rbf')})")
+@query(_kernel("rbf"))
 def nystrom_kernel(spark: SparkSession, d: str) -> DataFrame:
     """Inner products of the Nystrom features of nodes and anchors, which give the kernel back."""
     n = views.nodes(spark, d)
@@ -108,7 +108,7 @@ def nystrom_kernel(spark: SparkSession, d: str) -> DataFrame:
     phi = factors.nystrom(n, anchors, jitter=1e-13)  # the default shows in the last digits
     side = factors.nystrom(anchors, anchors, jitter=1e-13).agg(F.array_sort(F.collect_list(F.struct("id", "phi"))).alias("cells"))
     found = phi.crossJoin(F.broadcast(side)).select("id", F.transform("cells", lambda c: v.dot(F.col("phi"), c["phi"])).alias("k"))
-    return longs(found.withColumn("k", v.rounded_all("k", 5)), "k")
+    return longs(found, "k")
 
 
 @query()
