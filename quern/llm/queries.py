@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, line_dedup, mixing, near_dedup, pieces, ppm, quality, substring_dedup, toxicity
+from . import ann, divergence, exact_dedup, line_dedup, mixing, near_dedup, pieces, ppm, prefix_tries, quality, sharding, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,18 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_pieces", "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
+def op11_prefix_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_tries.prefix_nodes(prefix_tries.rebuilt(_table(spark, sf_dir, "conversations")))
+
+
+def op12_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.sharded(_table(spark, sf_dir, "documents")))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multi_index_ann": op1_multi_index_ann,
     "op2_ppm_score": op2_ppm_score,
@@ -70,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_prefix_tries": op11_prefix_tries,
+    "op12_external_shuffle": op12_external_shuffle,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 SQL: dict[str, str] = {
@@ -108,4 +123,39 @@ SQL: dict[str, str] = {
              r AS (SELECT w.doc_id, len(a) AS n, coalesce(len(gone), 0) AS x,
                           list_filter(a, lambda e, j: NOT list_contains(coalesce(gone, []), j)) AS kept FROM w LEFT JOIN k USING (doc_id))
         SELECT doc_id, n AS n_words, x AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM r""",
+    "op11_prefix_tries": """
+        WITH t AS (SELECT conv_id, turn, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS label, length(coalesce(text, '')) AS chars
+                   FROM conversations WHERE conv_id IS NOT NULL),
+             o AS (SELECT conv_id, list({'label': label, 'chars': chars} ORDER BY turn NULLS FIRST, label) AS own FROM t GROUP BY conv_id),
+             crc AS (SELECT n::UBIGINT AS n, list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END, n::UBIGINT) AS v FROM range(256) r(n)),
+             tab AS (SELECT list(v ORDER BY n) AS a FROM crc),
+             h AS (SELECT conv_id, own, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT),
+                          lambda c, b: xor(a[(xor(c, b) & 255::UBIGINT)::BIGINT + 1], c >> 8), 4294967295::UBIGINT), 4294967295::UBIGINT) % 6 AS h FROM o, tab),
+             r AS (SELECT h.conv_id, list_concat(coalesce(f.own, [])[1:h.h], h.own[h.h + 1:]) AS w FROM h LEFT JOIN o f ON f.conv_id = h.conv_id - h.conv_id % 100),
+             p AS (SELECT conv_id, len(w) AS n, d, list_transform(w[1:d], lambda x: x.label) AS path, w[d].chars AS chars FROM (SELECT *, unnest(range(0, len(w) + 1)) AS d FROM r)),
+             s AS (SELECT path, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(chars), 0) AS chars,
+                          sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends FROM p GROUP BY path),
+             k AS (SELECT path[1:depth - 1] AS path, count(*) AS kids FROM s WHERE depth > 0 GROUP BY 1),
+             x AS (SELECT s.*, coalesce(kids, 0) AS kids, u.conv_id AS parent FROM s LEFT JOIN k USING (path) LEFT JOIN s u ON s.depth > 0 AND u.path = s.path[1:s.depth - 1]),
+             y AS (SELECT path[1:a] AS path, count(*) FILTER (kids = 0) AS leaves, sum((n_convs - 1) * chars) AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM x) GROUP BY 1)
+        SELECT conv_id, depth::BIGINT AS depth, parent AS parent_conv_id, n_convs, kids AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, ends AS ends_sha256
+        FROM x JOIN y USING (path)""",
+    "op13_source_divergence": """
+        WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+             w AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+             kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+             v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+             g AS (SELECT DISTINCT d.lang, source, coalesce(v, 0) AS v FROM d LEFT JOIN v USING (lang)),
+             c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+             gn AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+             p AS (SELECT g.lang, g.source, term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(gn.n, 0) + 5 * g.v) AS p
+                   FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source),
+             l AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * any_value(v)) AS q FROM c JOIN v USING (lang) GROUP BY lang, term),
+             pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(f, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                      LEFT JOIN (SELECT x.lang, x.source AS sa, y.source AS sb, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y USING (lang, term) GROUP BY ALL) z ON z.lang = a.lang AND sa = a.source AND sb = b.source),
+             term AS (SELECT p.lang, source, term AS item, p - q AS value FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q),
+             every AS (SELECT *, 'pair' AS part FROM pair UNION ALL SELECT *, 'term' FROM term),
+             ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50""",
 }

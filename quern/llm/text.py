@@ -65,12 +65,14 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE) -> Iterator[t
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and for each document the index of its first word (one more at the end)."""
+def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and for each document the index of its first word (one more at the end).
+
+    separator: for each byte value whether it ends a word."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_SEPARATOR[data]
+    inside = ~separator[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < n]
