@@ -3,16 +3,46 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed now into the shared checkpoint folder; a folder of our own only in local mode
-    where the session names none."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; one of our own only in local mode where it names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed now into the shared checkpoint folder."""
+    spark = df.sparkSession
+    shared = shared_dir(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as a Parquet table in the shared folder and read back, so later stages read only the columns they name."""
+    path = f"{shared_dir(df.sparkSession)}/stages/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            delete(df.sparkSession, files[0].rsplit("/", 1)[0])
