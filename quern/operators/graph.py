@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,6 +77,32 @@ def push_labels(weights: DataFrame, source: DataFrame, alpha: float, tolerance:
     raise RuntimeError(f"labels did not settle in {most_steps} steps")
 
 
+def push_steps(weights: DataFrame, source: DataFrame, alphas: Sequence[float], steps: int | None = None, tolerance: float = 1e-6, most_steps: int = 2000, cut_every: int = 5) -> DataFrame:
+    """(k, id, c, p): labels pushed with each alpha, k its place, all in one join a step.
+
+    With ``steps``, after so many; else at the fixed point: raises if the largest change of an alpha stays above
+    tolerance * (1 - alpha), relative to which it is measured.
+    """
+    if any(not 0 <= a < 1 for a in alphas):
+        raise ValueError("alpha must be in [0, 1)")
+    every = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(a)).alias("alpha")) for k, a in enumerate(alphas)])).alias("a")
+    start = cut(source.select(every, "id", "c", F.col("p").alias("s")).select("a.k", "a.alpha", "id", "c", "s"))
+    current = start.select("k", "id", "c", F.col("s").alias("p"))
+    for step in range(1, (most_steps if steps is None else steps) + 1):
+        moved = weights.join(current, weights.dst == current.id).groupBy("k", F.col("src").alias("id"), "c").agg(F.sum(F.col("w") * F.col("p")).alias("m"))
+        fresh = start.join(moved, ["k", "id", "c"], "left").select("k", "id", "c", ((1 - F.col("alpha")) * F.col("s") + F.col("alpha") * F.coalesce("m", F.lit(0.0))).alias("p"))
+        if step % cut_every == 0:
+            fresh = cut(fresh)
+            if steps is None:
+                both = fresh.join(current.withColumnRenamed("p", "old"), ["k", "id", "c"]).groupBy("k").agg(F.max(F.abs(F.col("p") - F.col("old"))).alias("m"))
+                if all(r.m <= tolerance * (1 - alphas[r.k]) for r in both.collect()):
+                    return fresh
+        current = fresh
+    if steps is None:
+        raise RuntimeError(f"labels did not settle in {most_steps} steps")
+    return current
+
+
 #: Training vectors of one part and nodes of one block in nearest_train.
 PART, BLOCK = 16_384, 65_536
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..functions.stages import cut
-from . import assign, features, moments
+from . import assign, features, moments, scatter
 
 
 def lloyd_step(n: DataFrame, centres: DataFrame) -> DataFrame:
@@ -148,9 +148,10 @@ def principal_split(n: DataFrame, cells: int, least_scatter: bool = False) -> Da
             break
         own = placed.where(F.col("cell") == at.cell)
         mean, axis, _ = widest_direction(own)
-        p = F.round(v.dot(v.minus("x", F.array(*[F.lit(m) for m in mean])), F.array(*[F.lit(m) for m in axis])), 12)
+        moved = v.minus("x", F.array(*[F.lit(m) for m in mean]))
+        p = F.round(v.dot(moved, F.array(*[F.lit(m) for m in axis])), 12)
         points = own.select("id", p.alias("p"))
-        limit = scatter_cut(points).first() if least_scatter else None
+        limit = scatter.scatter_cut(own.select(p.alias("p"), moved.alias("x"))).first() if least_scatter else None
         value = 0.0 if not least_scatter else limit.value if limit else None
         above = points.where(F.col("p") > value).count() if value is not None else 0
         if 0 < above < at.n:

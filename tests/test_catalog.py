@@ -5,10 +5,10 @@ from pathlib import Path
 import pytest
 from compare import assert_same
 
-from quern.plans import catalog, model_tables, oracles, score_tables
+from quern.plans import catalog, driver_tables, model_tables, oracles, score_tables
 
-QUERIES = catalog.QUERIES | score_tables.QUERIES | model_tables.QUERIES
-SQL = oracles.SQL | score_tables.SQL | model_tables.SQL
+QUERIES = catalog.QUERIES | score_tables.QUERIES | model_tables.QUERIES | driver_tables.QUERIES
+SQL = oracles.SQL | score_tables.SQL | model_tables.SQL | driver_tables.SQL
 ITERATIVE = {"lloyd_full", "moment_partition", "whiten", "head_fit", "kernel_teacher", "soft_partition", "principal_projection", "principal_split", "principal_scatter_split", "variance_partition"}
 
 
