@@ -10,10 +10,9 @@ below 0.001, larger similarities far less.
 * Equal sets are one class from the start, so copies cost nothing more.
 * First the members of a key meet only its smallest member (taken per batch and then over all, so a key of very
   many members is never gathered); what a full comparison of the sets confirms is linked and components form.
-* Then all members of different components under a key are compared by the Hamming distance of their signatures.
-* A common template or passage puts many nodes under one key, and comparing more than ``KEY_NODES`` of them pair by pair
-  would grow with their square.  The nodes of such keys meet by prefix filtering instead, which loses none: shingles are
-  ranked from rare to frequent, and two similar sets share one among their first few, at places that depend on both sizes.
+* Then all members of different components under a key are compared by the Hamming distance of their signatures.  The nodes of
+  a common template or passage share a key without being similar: those of a key with more than ``TILE`` nodes are dealt
+  to parts by a hash, and each pair of parts is compared as a tile of its own, so no task holds more than two parts of a key.
 * All candidates are confirmed on whole sets: 100 * intersection >= 75 * union.
 
 Nulls and edge cases: null text counts as empty; texts without words have n_shingles 0 and link with nothing.
@@ -40,11 +39,8 @@ PERCENT = 75
 POSITIONS, CHUNK = 64, 4
 CHUNKS = POSITIONS // CHUNK
 THRESHOLD = 27
-#: Most nodes of a key that are compared pair by pair by their signatures, so pairs grow with the nodes and not with their square.
-KEY_NODES = 8
-#: Sets that one task compares at once, and the ratio of neighbouring size classes.
-CROWD = 2048
-SIZE_STEP = 1.1
+#: Nodes of a key that are compared with each other in one place; more of them are cut into tiles.
+TILE = 2048
 
 _A = tx.seeded(POSITIONS, 11) | np.uint64(1)
 _B = tx.seeded(POSITIONS, 12)
@@ -159,8 +155,8 @@ def _distance_ok(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, component, n, sig) sorted by key, KEY_NODES of a key at most: pairs of different components within the
-    signature distance whose sizes allow them to be similar."""
+    """Rows (key, part, cross, node, component, n, sig) sorted by key: pairs of different components within the signature
+    distance whose sizes allow them to be similar; where cross, of different parts only."""
     held: pa.Table | None = None
     for batch in chain(batches, [None]):
         parts = ([held] if held is not None else []) + ([pa.Table.from_batches([batch])] if batch is not None else [])
@@ -171,7 +167,7 @@ def _meet_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             continue
         key = rows.column("key").to_numpy()
         last = len(key) if batch is None else int(np.argmax(key == key[-1]))
-        node, comp, n = (rows.column(c).to_numpy()[:last] for c in ("node", "component", "n"))
+        part, cross, node, comp, n = (rows.column(c).to_numpy(zero_copy_only=False)[:last] for c in ("part", "cross", "node", "component", "n"))
         sig = _signatures(rows.column("sig").slice(0, last))
         edge = np.append(np.flatnonzero(np.concatenate(([True], key[1:last] != key[: last - 1]))), last) if last else np.zeros(1, np.int64)
         found = [np.zeros((0, 2), np.int64)]
@@ -179,6 +175,8 @@ def _meet_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             for x in range(a, b, 128):
                 i = slice(x, min(b, x + 128))
                 ok = (comp[i, None] < comp[None, a:b]) & (100 * np.minimum(n[i, None], n[None, a:b]) >= PERCENT * np.maximum(n[i, None], n[None, a:b]))
+                if cross[a]:
+                    ok &= part[i, None] != part[None, a:b]
                 p, q = np.nonzero(ok)
                 for at in range(0, len(p), 1 << 16):
                     u, w = x + p[at : at + (1 << 16)], a + q[at : at + (1 << 16)]
@@ -190,83 +188,14 @@ def _meet_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array(every[:, k].copy()) for k in (0, 1)], ["a", "b"])
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at, sizes, hashes in shingle_sets(batch):
-            node = batch.column("doc_id").slice(at, len(sizes)).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.repeat(node, sizes))], ["token", "node"])
-
-
-def size_class(n):
-    return np.floor(np.log(np.maximum(n, 1)) / np.log(SIZE_STEP)).astype(np.int64)
-
-
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The tokens by which a set must meet any similar set, for each class of sizes of the other set.
-
-    Tokens are ranked from rare to frequent.  If x, y with |x| >= |y| are similar, their first common token is
-    early in both: 1 + |x| - position is at least the needed overlap 75/175 (|x| + |y|), and the same for y.
-    So y waits under its own class (side 0) and x looks under the classes its position still allows (side 1).
-    """
-    for batch in batches:
-        rows: list[list[np.ndarray]] = [[], [], [], [], [], []]
-        for node, comp, n, ranked in zip(*(batch.column(c).to_pylist() for c in ("node", "component", "n", "frequent")), strict=True):
-            token = np.array([r["token"] for r in ranked], np.int64)
-            place = n - len(token) + 1 + np.arange(len(token))
-            most = (1 + n - place) * (100 + PERCENT) / PERCENT - n
-            home = most >= n - 1e-9
-            look = most >= PERCENT / 100 * n - 1e-9
-            lo, hi = size_class(PERCENT / 100 * n - 1e-9), size_class(np.minimum(most[look], n) + 1e-9)
-            times = hi - lo + 1
-            ladder = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + lo
-            for k, parts in enumerate(((token[home], np.repeat(token[look], times)), (np.full(home.sum(), size_class(n)), ladder), (place[home], np.repeat(place[look], times)))):
-                rows[k].append(np.concatenate(parts))
-            size = len(rows[0][-1])
-            rows[3].append(np.concatenate((np.zeros(home.sum(), np.int32), np.ones(len(ladder), np.int32))))
-            rows[4].append(np.full(size, node))
-            rows[5].append(np.tile([[comp], [n]], size))
-        if rows[0]:
-            token, klass, place, side, node = (np.concatenate(r) for r in rows[:5])
-            comp, n = np.concatenate(rows[5], axis=1)
-            key = tx.mix(token.view(np.uint64) ^ tx.mix(klass.astype(np.uint64))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, side, place.astype(np.int64), node, comp.astype(np.int64), n.astype(np.int64))], ["key", "side", "place", "node", "component", "n"])
-
-
-def _meet_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and side: pairs of one waiting and one looking set of other components that may be similar."""
-    names = ["key", "side", "place", "node", "component", "n"]
-    held = None
-
-    def pairs(home: np.ndarray, look: np.ndarray) -> np.ndarray:
-        found = [np.zeros((0, 2), np.int64)]
-        step = max(1, (1 << 20) // max(1, home.shape[1]))
-        for s in range(0, look.shape[1], step):
-            x, y = look[:, s : s + step, None], home[:, None, :]
-            need = (x[5] + y[5]) * PERCENT
-            ok = (x[4] != y[4]) & (x[5] >= y[5]) & ((100 + PERCENT) * (1 + x[5] - x[2]) >= need) & ((100 + PERCENT) * (1 + y[5] - y[2]) >= need)
-            i, j = np.nonzero(ok)
-            both = np.stack([look[3, s + i], home[3, j]], 1)
-            found.append(np.sort(both, axis=1))
-        return np.concatenate(found)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])
-        key, side = rows[0], rows[1]
-        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        out = []
-        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(key)], strict=True):
-            mid = a + int(np.searchsorted(side[a:b], 1))
-            home = rows[:, a:mid]
-            if held is not None and held[0, 0] == key[a]:
-                home = np.concatenate((held, home), axis=1)
-            if home.shape[1] and mid < b:
-                out.append(pairs(home, rows[:, mid:b]))
-            if b == len(key):
-                held = home if home.shape[1] else None
-        both = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+def _tiled(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows (key, node, ...) with the tile as key, part and cross: of a key of several parts (sizes: key, parts) a row goes to the
+    tile of its part with each other part and with itself."""
+    rows = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    tile = F.when(F.col("parts") > 1, F.xxhash64("key", low, high)).otherwise(F.col("key"))
+    return rows.withColumn("cross", F.col("part") != F.col("other")).withColumn("key", tile).drop("other", "parts")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,26 +230,6 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -
     return right.join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long").distinct()
 
 
-def _searched(open_nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Candidates (a, b) of different components among the open nodes (node, component, n), none lost."""
-    ids = stored(open_nodes.select(F.col("node").alias("doc_id")), "open-ids")
-    tokens = stored(keep_ids(docs, "doc_id", ids).mapInArrow(_tokens, "token long, node long"), "tokens")
-    common = stored(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "common-tokens")
-    ranked = tokens.distinct().join(common, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("frequent"))
-    rows = open_nodes.join(ranked, "node").select("node", "component", "n", "frequent")
-    rows = stored(rows.mapInArrow(_prefixes, "key long, side int, place long, node long, component long, n long"), "prefixes")
-    keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("side").alias("looks"), F.sum(1 - F.col("side")).alias("waits"))
-    keys = stored(keys.where("lo < hi and looks > 0 and waits > 0").select("key", F.ceil(F.col("waits") / CROWD).cast("int").alias("parts"), F.ceil(F.col("looks") / CROWD).cast("int").alias("look_parts")), "prefix-keys")
-    rows = rows.join(keys, "key")
-    # both sides are cut into parts, and every part of one meets every part of the other
-    for own, parts in ((0, "parts"), (1, "look_parts")):
-        part = F.when(F.col("side") == own, F.array(F.pmod(F.xxhash64("node"), F.col(parts)).cast("int"))).otherwise(F.sequence(F.lit(0), F.col(parts) - 1))
-        rows = rows.withColumn(f"part{own}", F.explode(part))
-    rows = rows.withColumn("key", F.when((F.col("parts") == 1) & (F.col("look_parts") == 1), F.col("key")).otherwise(F.xxhash64("key", "part0", "part1")))
-    rows = rows.select("key", "side", "place", "node", "component", "n").repartition("key").sortWithinPartitions("key", "side")
-    return rows.mapInArrow(_meet_prefixes, "a long, b long").distinct()
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -344,14 +253,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     placed = stored(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi")
-    mixed = stored(mixed.select("key", "members"), "mixed")
+    mixed = stored(mixed.select("key", F.ceil(F.col("members") / TILE).cast("int").alias("parts")), "mixed")
     about = nodes.groupBy("node").agg(F.max("n").alias("n"), F.max("sig").alias("sig"))
-    rows = placed.join(mixed.where(f"members <= {KEY_NODES}").select("key"), "key").join(about, "node").select("key", "node", "component", "n", "sig")
+    rows = _tiled(placed, mixed).join(about, "node").select("key", "part", "cross", "node", "component", "n", "sig")
     pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_meet_signatures, "a long, b long")
-    crowded = placed.join(mixed.where(f"members > {KEY_NODES}").select("key"), "key", "left_semi").groupBy("node").agg(F.min("component").alias("component"))
-    crowded = stored(crowded.join(nodes.groupBy("node").agg(F.max("n").alias("n")), "node"), "crowded-nodes")
-    if not crowded.isEmpty():
-        pairs = pairs.union(_searched(crowded, docs))
     late = stored(_confirmed(pairs.distinct(), nodes, docs, "search"), "search-links")
 
     joined = late.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))

@@ -246,7 +246,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text; one row per document.
 
     index: folder of a lasting index, made if there is none.  It stands for ``history``, the documents added to it before,
-    whose ids must all be smaller; of those only the ones that share an anchor with docs are read again.
+    whose ids must all be smaller; of those only the ones that share an anchor with docs are read again.  An index that holds
+    documents needs them as history (ValueError else): anchors alone don't prove that windows are equal.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -254,6 +255,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cuts = named.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000).alias("q")).first().q or []
     edges = [None, *sorted(set(cuts)), None]
     runs, found = FingerprintIndex(spark, index), []
+    if runs.runs and history is None:
+        raise ValueError("the index holds documents of earlier sessions: give them as history")
     before = stored(runs.matches(), "matches-before") if index and history is not None else None
     for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
         part = named.where(f"doc_id > {lo}") if lo is not None else named

@@ -104,10 +104,9 @@ def test_near_equals_brute_force(docs):
 
 
 def test_near_with_crowded_keys_equals_brute_force(docs, monkeypatch):
-    """Keys of many nodes go the other way and give the same."""
+    """Keys cut into tiles give the same."""
     df, rows = docs
-    monkeypatch.setattr(near_dedup, "KEY_NODES", 3)
-    monkeypatch.setattr(near_dedup, "CROWD", 5)
+    monkeypatch.setattr(near_dedup, "TILE", 2)
     assert sorted(tuple(r) for r in near_dedup.near_duplicates(df).collect()) == brute_near(rows)
 
 
@@ -163,6 +162,8 @@ def test_substring_index_over_two_sessions(spark, docs, tmp_path):
         history = part if history is None else history.union(part)
     assert sorted(got) == brute_substring(rows)
     assert len(spark.read.parquet(f"{root}/manifest").select("version").distinct().collect()) == 3
+    with pytest.raises(ValueError, match="history"):
+        substring_dedup.remove_repeats(part, index=root)
 
 
 def test_substring_rows_without_or_with_equal_ids(spark):
