@@ -13,6 +13,9 @@ below 0.001, larger similarities far less.
 * Then all members of different components under a key are compared by the Hamming distance of their signatures.  The nodes of
   a common template or passage share a key without being similar: those of a key with more than ``TILE`` nodes are dealt
   to parts by a hash, and each pair of parts is compared as a tile of its own, so no task holds more than two parts of a key.
+* Near copies of near copies would still be compared pair by pair, though a few links join them.  So in the first ``FOREST_ROUNDS``
+  rounds each key gives only the pairs of a shortest spanning forest over its components, which are confirmed and joined;
+  the last round gives all pairs of components that are still apart.
 * All candidates are confirmed on whole sets: 100 * intersection >= 75 * union.
 
 Nulls and edge cases: null text counts as empty; texts without words have n_shingles 0 and link with nothing.
@@ -41,6 +44,8 @@ CHUNKS = POSITIONS // CHUNK
 THRESHOLD = 27
 #: Nodes of a key that are compared with each other in one place; more of them are cut into tiles.
 TILE = 2048
+#: Rounds that join components by their nearest pairs before all pairs of the rest are confirmed.
+FOREST_ROUNDS = 2
 
 _A = tx.seeded(POSITIONS, 11) | np.uint64(1)
 _B = tx.seeded(POSITIONS, 12)
@@ -154,38 +159,84 @@ def _distance_ok(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
 
-def _meet_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def forest(u: np.ndarray, w: np.ndarray, distance: np.ndarray, nodes: int, group: np.ndarray) -> np.ndarray:
+    """Places of the edges (u, w) of a shortest spanning forest of the groups that nodes belong to: every group picks its shortest
+    edge to another, joined groups pick again."""
+    order = np.lexsort((w, u, distance))
+    u, w = u[order], w[order]
+    label = np.unique(group, return_inverse=True)[1]
+    taken = []
+    while len(u):
+        a, b = label[u], label[w]
+        live = a != b
+        u, w, order, a, b = u[live], w[live], order[live], a[live], b[live]
+        first = np.full(label.max() + 1, len(u))
+        np.minimum.at(first, a, np.arange(len(u)))
+        np.minimum.at(first, b, np.arange(len(u)))
+        picks = np.unique(first[first < len(u)])
+        up = np.arange(label.max() + 1)
+        for i in picks.tolist():  # fewer than nodes
+            x, y = int(a[i]), int(b[i])
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = int(up[x])
+            while up[y] != y:
+                up[y] = up[up[y]]
+                y = int(up[y])
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                taken.append(order[i])
+        while (up[up] != up).any():
+            up = up[up]
+        label = np.unique(up[label], return_inverse=True)[1]
+    return np.array(taken, np.int64)
+
+
+def _meet_signatures(whole: bool):
     """Rows (key, part, cross, node, component, n, sig) sorted by key: pairs of different components within the signature
-    distance whose sizes allow them to be similar; where cross, of different parts only."""
-    held: pa.Table | None = None
-    for batch in chain(batches, [None]):
-        parts = ([held] if held is not None else []) + ([pa.Table.from_batches([batch])] if batch is not None else [])
-        if not parts:
-            return
-        rows = pa.concat_tables(parts)
-        if not rows.num_rows:
-            continue
-        key = rows.column("key").to_numpy()
-        last = len(key) if batch is None else int(np.argmax(key == key[-1]))
-        part, cross, node, comp, n = (rows.column(c).to_numpy(zero_copy_only=False)[:last] for c in ("part", "cross", "node", "component", "n"))
-        sig = _signatures(rows.column("sig").slice(0, last))
-        edge = np.append(np.flatnonzero(np.concatenate(([True], key[1:last] != key[: last - 1]))), last) if last else np.zeros(1, np.int64)
-        found = [np.zeros((0, 2), np.int64)]
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            for x in range(a, b, 128):
-                i = slice(x, min(b, x + 128))
-                ok = (comp[i, None] < comp[None, a:b]) & (100 * np.minimum(n[i, None], n[None, a:b]) >= PERCENT * np.maximum(n[i, None], n[None, a:b]))
-                if cross[a]:
-                    ok &= part[i, None] != part[None, a:b]
-                p, q = np.nonzero(ok)
-                for at in range(0, len(p), 1 << 16):
-                    u, w = x + p[at : at + (1 << 16)], a + q[at : at + (1 << 16)]
-                    near = (sig[u] != sig[w]).sum(1) <= THRESHOLD
-                    found.append(np.sort(np.stack([node[u[near]], node[w[near]]], 1), axis=1))
-        held = rows.slice(last).combine_chunks()
-        every = np.unique(np.concatenate(found), axis=0)
-        if len(every):
-            yield pa.RecordBatch.from_arrays([pa.array(every[:, k].copy()) for k in (0, 1)], ["a", "b"])
+    distance whose sizes allow them to be similar; where cross, of different parts only.  Not whole: of each key only the
+    pairs of a shortest spanning forest over its components."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in chain(batches, [None]):
+            parts = ([held] if held is not None else []) + ([pa.Table.from_batches([batch])] if batch is not None else [])
+            if not parts:
+                return
+            rows = pa.concat_tables(parts)
+            if not rows.num_rows:
+                continue
+            key = rows.column("key").to_numpy()
+            last = len(key) if batch is None else int(np.argmax(key == key[-1]))
+            part, cross, node, comp, n = (rows.column(c).to_numpy(zero_copy_only=False)[:last] for c in ("part", "cross", "node", "component", "n"))
+            sig = _signatures(rows.column("sig").slice(0, last))
+            edge = np.append(np.flatnonzero(np.concatenate(([True], key[1:last] != key[: last - 1]))), last) if last else np.zeros(1, np.int64)
+            found = [np.zeros((0, 2), np.int64)]
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                near: list[np.ndarray] = []
+                for x in range(a, b, 128):
+                    i = slice(x, min(b, x + 128))
+                    ok = (comp[i, None] < comp[None, a:b]) & (100 * np.minimum(n[i, None], n[None, a:b]) >= PERCENT * np.maximum(n[i, None], n[None, a:b]))
+                    if cross[a]:
+                        ok &= part[i, None] != part[None, a:b]
+                    p, q = np.nonzero(ok)
+                    for at in range(0, len(p), 1 << 16):
+                        u, w = x + p[at : at + (1 << 16)], a + q[at : at + (1 << 16)]
+                        distance = (sig[u] != sig[w]).sum(1)
+                        close = distance <= THRESHOLD
+                        near.append(np.stack([u[close], w[close], distance[close]]))
+                if near:
+                    u, w, distance = np.concatenate(near, axis=1)
+                    if not whole and len(u) > 1:
+                        pick = forest(u - a, w - a, distance, b - a, comp[a:b])
+                        u, w = u[pick], w[pick]
+                    found.append(np.sort(np.stack([node[u], node[w]], 1), axis=1))
+            held = rows.slice(last).combine_chunks()
+            every = np.unique(np.concatenate(found), axis=0)
+            if len(every):
+                yield pa.RecordBatch.from_arrays([pa.array(every[:, k].copy()) for k in (0, 1)], ["a", "b"])
+
+    return meet
 
 
 def _tiled(rows: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -230,6 +281,15 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -
     return right.join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long").distinct()
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after joining the components that links (a, b) connect, stored."""
+    joined = links.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = components(joined)
+    final = labels.join(merged.toDF("component", "upper"), "component", "left").select("node", F.coalesce("upper", "component").alias("component"))
+    alone = merged.join(labels, "node", "left_anti").select("node", "component")
+    return stored(final.union(alone), "labels")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -250,20 +310,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links)
 
     members = met.select("key", "node").union(keys.where("node <> lead").select("key", "node"))
-    placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    placed = stored(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi")
-    mixed = stored(mixed.select("key", F.ceil(F.col("members") / TILE).cast("int").alias("parts")), "mixed")
-    about = nodes.groupBy("node").agg(F.max("n").alias("n"), F.max("sig").alias("sig"))
-    rows = _tiled(placed, mixed).join(about, "node").select("key", "part", "cross", "node", "component", "n", "sig")
-    pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_meet_signatures, "a long, b long")
-    late = stored(_confirmed(pairs.distinct(), nodes, docs, "search"), "search-links")
-
-    joined = late.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    merged = components(joined)
-    final = labels.join(merged.toDF("component", "upper"), "component", "left").select("node", F.coalesce("upper", "component").alias("component_id"))
-    alone = merged.join(labels, "node", "left_anti").select("node", F.col("component").alias("component_id"))
-    every = stored(final.union(alone).where("node <> component_id"), "components")
+    members = stored(members, "members")
+    about = stored(nodes.groupBy("node").agg(F.max("n").alias("n"), F.max("sig").alias("sig")), "nodes")
+    tried = None
+    for turn in range(FOREST_ROUNDS + 1):
+        placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi")
+        mixed = stored(mixed.select("key", F.ceil(F.col("members") / TILE).cast("int").alias("parts")), "mixed")
+        rows = _tiled(placed, mixed).join(about, "node").select("key", "part", "cross", "node", "component", "n", "sig")
+        met_pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_meet_signatures(turn == FOREST_ROUNDS), "a long, b long").distinct()
+        pairs = stored(met_pairs if tried is None else met_pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
+        tried = pairs if tried is None else stored(tried.union(pairs), "tried")
+        late = stored(_confirmed(pairs, nodes, docs, "search"), "search-links")
+        labels = _merged(labels, late)
+    every = labels.select("node", F.col("component").alias("component_id")).where("node <> component_id")
     moved = classes.select("set_id", "node", "copies").join(every, "node", "left").where("copies > 1 or component_id is not null")
     moved = stored(moved.select("set_id", F.coalesce("component_id", "node").alias("component_id")), "moved")
     rows = features.select("doc_id", "n_shingles", "set_id").join(moved, "set_id", "left")
