@@ -37,7 +37,7 @@ def merged(parts: DataFrame) -> dict[str, np.ndarray]:
     spread = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     once = parts.select("key", "value").repartition(spread).mapInArrow(_merge, SHAPE)
     twice = once.repartition(spread, "key").mapInArrow(_merge, SHAPE)
-    return {r.key: np.frombuffer(bytes(r.value), float) for r in twice.toLocalIterator()}
+    return {r.key: np.frombuffer(bytes(r.value), float) for r in twice.collect()}  # one array a key
 
 
 def sums(rows: DataFrame, kernel: Kernel) -> dict[str, np.ndarray]:

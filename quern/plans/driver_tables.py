@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..functions.stages import cut
-from ..operators import batched, features, graph, scatter
+from ..operators import assign, balanced, batched, factors, features, graph, low_rank, moments, scatter, seeding, soft, students, svd
 from ..sources import views
 from . import drivers
-from .catalog import C, M, base
-from .oracles import _STATS, r, sql
+from .catalog import BASIS, C, M, base, centres, longs
+from .model_tables import _LOW_RANK, _SLOPES, weights
+from .oracles import _BASE, _STATS, r, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -293,3 +295,143 @@ def ablation_paired(spark: SparkSession, d: str) -> DataFrame:
     """Differences of the variants' students from the main one's at the same start, with the nearest representative as student."""
     _, scored = _ablation(spark, d)
     return drivers.paired(scored).select("variant", *[v.rounded(c).alias(c) for c in ("val_mean", "val_std", "test_mean", "val_delta", "test_delta", "paired_test_delta_std")], "pairs")
+
+
+# balanced assignment, low rank and singular vectors
+
+_TAU = 0.3
+_DUALS = f"""
+    SELECT 0 AS step, list_transform(range({M}), lambda j: 0::DOUBLE) AS dual UNION ALL
+    SELECT step + 1, list_transform(raw, lambda d: d - list_sum(raw) / {M}) FROM (
+        SELECT any_value(step) AS step, list_transform(any_value(dual), lambda d, j: d + ln(list_extract([{', '.join(f'avg(p[{j + 1}])' for j in range(M))}], j) * {M})) AS raw
+        FROM (SELECT step, dual, list_transform(z, lambda e: exp(e - list_max(z)) / list_sum(list_transform(z, lambda k: exp(k - list_max(z))))) AS p
+              FROM (SELECT step, dual, list_transform(lg, lambda l, j: l - dual[j]) AS z FROM dl, co WHERE step < 120)) HAVING count(*) > 0)"""
+
+
+@query(
+    f"""WITH RECURSIVE nodes AS (SELECT vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings),
+        co AS (SELECT id, x, list(-(list_inner_product(c, c) - 2 * list_inner_product(x, c)) / {_TAU}::DOUBLE ORDER BY cell) AS lg FROM nodes, (SELECT id AS cell, x AS c FROM nodes WHERE id < {M}) GROUP BY id, x),
+        dl(step, dual) AS ({_DUALS}),
+        z AS (SELECT id, x, list_transform(lg, lambda l, j: l - dual[j]) AS z FROM co, (SELECT dual FROM dl ORDER BY step DESC LIMIT 1)),
+        p AS (SELECT id, x, unnest(range({M})) AS cell, unnest(list_transform(z, lambda e: exp(e - list_max(z)) / list_sum(list_transform(z, lambda k: exp(k - list_max(z)))))) AS w FROM z),
+        l AS (SELECT id, unnest(range(1, len(x) + 1)) - 1 AS dim, unnest(x) AS v FROM nodes)
+        SELECT cell::INT AS cell, dim, {r('sum(w * v) / (SELECT count(*) FROM nodes)', 7)} AS s FROM p JOIN l USING (id) GROUP BY ALL"""
+)
+def balanced_moments(spark: SparkSession, d: str) -> DataFrame:
+    """Mean features of cells of equal mass, the duals taken to convergence."""
+    n = views.nodes(spark, d)
+    n = cut(assign.prototype_logits(n, centres(n), _TAU).select("id", "logits", F.col("x").alias("a")))
+    dual, _, _ = balanced.balanced_duals(n, M, 1e-10)
+    s = balanced.balanced_moments(n, dual)
+    rows = [(j, k, float(s[j, k])) for j in range(s.shape[0]) for k in range(s.shape[1])]
+    return spark.createDataFrame(rows, "cell int, dim long, s double").withColumn("s", v.rounded("s", 7))
+
+
+@query(
+    sql(
+        f"SELECT id, k AS dim, {r('sum(slope * v) / 2 * (SELECT n FROM size)')} AS v FROM (SELECT id, cell, w * (dd - sum(w * dd) OVER (PARTITION BY id)) AS slope FROM p JOIN dd USING (id, cell)) JOIN (SELECT j::INT AS cell, k, cos(12 + 3 * j + 5 * k) / 4 AS v FROM range({M}) a(j), range(4) b(k)) USING (cell) GROUP BY ALL",
+        f"size {_BASE} ql bl",
+        p=_LOW_RANK,
+        **_SLOPES,
+    )
+)
+def low_rank_gradient(spark: SparkSession, d: str) -> DataFrame:
+    """Derivative of V + |M| by the nodes' factors of a low-rank assignment on a smoothed hard base, times N."""
+    n = base(spark, d)
+    n = cut(n.join(factors.mapped(n, factors.linear(weights(64, 4, 11)), name="u"), "id"))
+    size, start, cells = n.count(), low_rank.hard_base(M, 0.3), weights(M, 4, 12)
+    cross = np.zeros((64, C))
+    table = moments.cross_moment(n).toPandas()
+    cross[table["i"], table["c"]] = table["m"]
+    _, slope = soft.objective_and_gradient(low_rank.low_rank_moments(n, cells, start), 0.0, cross, 1.0)
+    return longs(low_rank.node_gradient(n, cells, slope, 1, start), "g")
+
+
+@query(sql(f"SELECT a.dim AS i, b.dim AS j, {r('sum(a.v * b.v)')} AS g FROM xl a JOIN xl b USING (id) GROUP BY ALL", "nodes xl"))
+def tall_triangular(spark: SparkSession, d: str) -> DataFrame:
+    """R'R of the triangular factor of all nodes, which is X'X."""
+    t = svd.triangular(views.nodes(spark, d))
+    g = t.T @ t
+    rows = [(i, j, float(g[i, j])) for i in range(len(g)) for j in range(len(g))]
+    return spark.createDataFrame(rows, "i long, j long, g double").withColumn("g", v.rounded("g"))
+
+
+@query(sql(f"SELECT id, cell::BIGINT AS dim, {r('l - avg(l) OVER (PARTITION BY id)')} AS v FROM (SELECT id, cell, -cost AS l FROM cost)", "nodes anchors cost"))
+def svd_factor_costs(spark: SparkSession, d: str) -> DataFrame:
+    """Products of the factors of full rank, which give back minus the costs of the anchors, centred over them."""
+    n = views.nodes(spark, d)
+    anchors = np.array([row.c for row in centres(n).orderBy("cell").collect()])
+    right = np.concatenate((anchors, -(anchors**2).sum(1, keepdims=True)), 1)
+    left = factors.mapped(n, lambda x: np.concatenate((2 * x, np.ones((len(x), 1))), 1), name="left")
+    u, cells = svd.svd_factors(left, M, "left", right - right.mean(0))
+    return longs(factors.mapped(u, lambda a: a @ cells.T / np.sqrt(M), "u", "l"), "l")
+
+
+# without SQL: searched or fitted
+
+
+@query()
+def spread_centres(spark: SparkSession, d: str) -> DataFrame:
+    """Starting centres of three seeds, found in the same passes."""
+    found = seeding.spread_centres(views.nodes(spark, d), M, (0, 1, 2))
+    rows = [(k, j, i, float(c[j, i])) for k, c in enumerate(found) for j in range(M) for i in range(c.shape[1])]
+    return spark.createDataFrame(rows, "seed int, cell int, dim int, v double").withColumn("v", v.rounded("v"))
+
+
+@query()
+def hybrid_partition(spark: SparkSession, d: str) -> DataFrame:
+    """Three weights of the moment objective by 12 hybrid sweeps at most, all in the same passes."""
+    settings = [batched.Setting(M, w, 1.0, "moment", "hybrid", most_sweeps=12) for w in (0.5, 2.0, 8.0)]
+    _, found = batched.partition(_starts(_logits(spark, d), [0] * 3), settings)
+    return batched.outcomes(spark, settings, found).select("setting", "weight", "status", "sweeps", v.rounded("j").alias("j"), v.rounded("variance").alias("variance"), v.rounded("moment_norm").alias("moment_norm"))
+
+
+@query()
+def teacher_penalties(spark: SparkSession, d: str) -> DataFrame:
+    """A linear teacher for each penalty on propagated features, all fitted in the same scans, best first."""
+    n = views.nodes(spark, d)
+    w = cut(graph.symmetric_weights(views.ring_edges(n), nodes=n))
+    h = cut(graph.gathered(graph.propagate(w, views.long_form(n), hops=2)).join(n.select("id", "y", "split"), "id"))
+    _, table = students.teacher_path(cut(features.rms_features(h)), (1e-3, 1e-2, 1e-1, 1.0))
+    place = F.row_number().over(Window.orderBy(F.desc("val_acc"), "val_ce", "candidate"))  # a row a penalty
+    return table.select("candidate", "penalty", v.rounded("val_acc", 3).alias("val_acc"), v.rounded("val_ce", 3).alias("val_ce"), place.alias("place"))
+
+
+@query()
+def kernel_teacher_penalties(spark: SparkSession, d: str) -> DataFrame:
+    """The same on kernel features of the basis nodes, the penalty taken per row."""
+    n = views.nodes(spark, d)
+    basis = n.where("split = 'train'").orderBy(F.md5(F.col("id").cast("string"))).limit(BASIS)
+    phi = cut(features.kernel_values(n, cut(basis), "relu").join(n.select("id", "y", "split"), "id"))
+    _, table = students.teacher_path(phi, (0.01, 0.1, 1.0), "k", bias=False, per_row=True)
+    return table.select("candidate", "penalty", v.rounded("val_acc", 3).alias("val_acc"), v.rounded("val_ce", 3).alias("val_ce"))
+
+
+@query()
+def low_rank_partition(spark: SparkSession, d: str) -> DataFrame:
+    """Objective after each Adam step on factors of rank 4, from random numbers that are hashes."""
+    u, cells = low_rank.random_factors(base(spark, d), M, 4)
+    found = low_rank.low_rank_partition(u, cells, 1.0, steps=10, rate=0.05)
+    return spark.createDataFrame(list(enumerate(found.history)), "step int, j double").withColumn("j", v.rounded("j", 5))
+
+
+@query()
+def propagation_search(spark: SparkSession, d: str) -> DataFrame:
+    """The propagation driver over its grid, with linear heads as students."""
+    n = views.nodes(spark, d)
+    search, _ = drivers.propagation_kmeans(n, views.ring_edges(n), M, neighbours=16)
+    return search.select("candidate", "method", "alpha", "bandwidth", "prior", v.rounded("val_acc", 3).alias("val_acc"))
+
+
+@query()
+def temperature_search(spark: SparkSession, d: str) -> DataFrame:
+    n = _logits(spark, d)
+    search, _ = drivers.adaptive_temperature(n, n.select("id", (F.col("id") % M).cast("int").alias("cell")), M, 0.7)
+    return search.select("candidate", "base_t", "eta", v.rounded("val_acc", 3).alias("val_acc"), v.rounded("mean_t").alias("mean_t"), v.rounded("max_t").alias("max_t"))
+
+
+@query()
+def ablation_search(spark: SparkSession, d: str) -> DataFrame:
+    """All variants of the ablation to convergence, paired with the main one."""
+    summary, _, _ = drivers.variance_ablation(_logits(spark, d), M, 1.0, 1.0, (100, 101))
+    return summary.select("variant", *[v.rounded(c, 3).alias(c) for c in ("val_mean", "val_delta", "test_mean", "test_delta")], "pairs")

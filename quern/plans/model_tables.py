@@ -156,6 +156,18 @@ def weight_entropy(spark: SparkSession, d: str) -> DataFrame:
 
 
 _STEP_WEIGHT, _STEP_SCALE = 1.0, 20.0
+#: From p (id, cell, w): the derivative dd of V + |M| by each w, over the nodes.
+_SLOPES = {
+    "mass": "SELECT cell, sum(w) / (SELECT n FROM size) AS m FROM p GROUP BY cell",
+    "sx": "SELECT p.cell, dim, sum(w * v) / (SELECT n FROM size) AS s FROM p JOIN (SELECT id, dim, v FROM bl) USING (id) GROUP BY ALL",
+    "sq": "SELECT p.cell, c, sum(w * p.p) / (SELECT n FROM size) AS s FROM (SELECT p.id, p.cell, p.w, ql.c, ql.p FROM p JOIN ql USING (id)) AS p GROUP BY ALL",
+    "mo": "SELECT x.dim, x.c, x.m - y.m AS m FROM (SELECT dim, c, avg(v * p) AS m FROM bl JOIN ql USING (id) GROUP BY ALL) x JOIN (SELECT dim, c, sum(sx.s * sq.s / m) AS m FROM sx JOIN sq USING (cell) JOIN mass USING (cell) GROUP BY ALL) y ON x.dim = y.dim AND x.c = y.c",
+    "g": "SELECT dim, c, m / (SELECT sqrt(sum(m * m) + 1e-24) FROM mo) AS g FROM mo",
+    "gq": "SELECT cell, dim, sum(g * s) AS s FROM g JOIN sq USING (c) GROUP BY ALL",
+    "gx": "SELECT cell, c, sum(g * s) AS s FROM g JOIN sx USING (dim) GROUP BY ALL",
+    "g0": "SELECT cell, (a + b) / (m * m) AS g FROM (SELECT cell, sum(s * s) AS a FROM sx GROUP BY cell) JOIN (SELECT cell, sum(gx.s * sq.s) AS b FROM gx JOIN sq USING (cell, c) GROUP BY cell) USING (cell) JOIN mass USING (cell)",
+    "dd": "SELECT id, cell, (a + b + g) / (SELECT n FROM size) AS dd FROM (SELECT bl.id, sx.cell, sum(-v * (2 * sx.s + gq.s) / m) AS a FROM bl JOIN sx USING (dim) JOIN gq ON gq.cell = sx.cell AND gq.dim = sx.dim JOIN mass ON mass.cell = sx.cell GROUP BY ALL) JOIN (SELECT ql.id, gx.cell, sum(-p * gx.s / m) AS b FROM ql JOIN gx USING (c) JOIN mass ON mass.cell = gx.cell GROUP BY ALL) USING (id, cell) JOIN g0 USING (cell)",
+}
 
 
 @query(
@@ -163,15 +175,7 @@ _STEP_WEIGHT, _STEP_SCALE = 1.0, 20.0
         f"SELECT id, cell::BIGINT AS dim, {r('l - %s * w * (dd - sum(w * dd) OVER (PARTITION BY id))' % _STEP_SCALE)} AS v FROM p JOIN dd USING (id, cell)",
         f"size {_BASE} ql bl",
         p=f"SELECT id, k::INT AS cell, CASE WHEN k = cell THEN ln(0.7 + 0.3 / {M}) ELSE ln(0.3 / {M}) END AS l, CASE WHEN k = cell THEN 0.7 + 0.3 / {M} ELSE 0.3 / {M} END::DOUBLE AS w FROM base, range({M}) g(k)",
-        mass="SELECT cell, sum(w) / (SELECT n FROM size) AS m FROM p GROUP BY cell",
-        sx="SELECT p.cell, dim, sum(w * v) / (SELECT n FROM size) AS s FROM p JOIN (SELECT id, dim, v FROM bl) USING (id) GROUP BY ALL",
-        sq="SELECT p.cell, c, sum(w * p.p) / (SELECT n FROM size) AS s FROM (SELECT p.id, p.cell, p.w, ql.c, ql.p FROM p JOIN ql USING (id)) AS p GROUP BY ALL",
-        mo="SELECT x.dim, x.c, x.m - y.m AS m FROM (SELECT dim, c, avg(v * p) AS m FROM bl JOIN ql USING (id) GROUP BY ALL) x JOIN (SELECT dim, c, sum(sx.s * sq.s / m) AS m FROM sx JOIN sq USING (cell) JOIN mass USING (cell) GROUP BY ALL) y ON x.dim = y.dim AND x.c = y.c",
-        g="SELECT dim, c, m / (SELECT sqrt(sum(m * m) + 1e-24) FROM mo) AS g FROM mo",
-        gq="SELECT cell, dim, sum(g * s) AS s FROM g JOIN sq USING (c) GROUP BY ALL",
-        gx="SELECT cell, c, sum(g * s) AS s FROM g JOIN sx USING (dim) GROUP BY ALL",
-        g0="SELECT cell, (a + b) / (m * m) AS g FROM (SELECT cell, sum(s * s) AS a FROM sx GROUP BY cell) JOIN (SELECT cell, sum(gx.s * sq.s) AS b FROM gx JOIN sq USING (cell, c) GROUP BY cell) USING (cell) JOIN mass USING (cell)",
-        dd="SELECT id, cell, (a + b + g) / (SELECT n FROM size) AS dd FROM (SELECT bl.id, sx.cell, sum(-v * (2 * sx.s + gq.s) / m) AS a FROM bl JOIN sx USING (dim) JOIN gq ON gq.cell = sx.cell AND gq.dim = sx.dim JOIN mass ON mass.cell = sx.cell GROUP BY ALL) JOIN (SELECT ql.id, gx.cell, sum(-p * gx.s / m) AS b FROM ql JOIN gx USING (c) JOIN mass ON mass.cell = gx.cell GROUP BY ALL) USING (id, cell) JOIN g0 USING (cell)",
+        **_SLOPES,
     )
 )
 def soft_gradient_step(spark: SparkSession, d: str) -> DataFrame:

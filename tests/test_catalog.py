@@ -10,6 +10,7 @@ from quern.plans import catalog, driver_tables, model_tables, oracles, score_tab
 QUERIES = catalog.QUERIES | score_tables.QUERIES | model_tables.QUERIES | driver_tables.QUERIES
 SQL = oracles.SQL | score_tables.SQL | model_tables.SQL | driver_tables.SQL
 ITERATIVE = {"lloyd_full", "moment_partition", "whiten", "head_fit", "kernel_teacher", "soft_partition", "principal_projection", "principal_split", "principal_scatter_split", "variance_partition"}
+ITERATIVE |= {"spread_centres", "hybrid_partition", "teacher_penalties", "kernel_teacher_penalties", "low_rank_partition", "propagation_search", "temperature_search", "ablation_search"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
