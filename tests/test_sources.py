@@ -53,6 +53,55 @@ def test_sinks_give_back_what_they_took(spark, tmp_path):
         assert sorted(tuple(r) for r in raw.read_table(spark, str(tmp_path / kind), "k int, s string, v double", kind).collect()) == sorted(tuple(r) for r in df.collect())
 
 
+def test_matrices_are_read_by_ranges(spark, tmp_path):
+    x = np.arange(33.0, dtype=np.float32).reshape(11, 3)
+    np.save(tmp_path / "x.npy", x)
+    np.save(tmp_path / "columns.npy", np.asfortranarray(x))
+    got = raw.read_features(spark, f"file://{tmp_path}/x.npy", 24)
+    assert got.rdd.getNumPartitions() == 6 and raw.read_features(spark, f"file://{tmp_path}/x.npy", 1).rdd.getNumPartitions() == 11
+    want = {i: r.tolist() for i, r in enumerate(x)}
+    assert {r.id: r.x for r in got.collect()} == want == {r.id: r.x for r in raw.read_features(spark, f"file://{tmp_path}/columns.npy", 24).collect()}
+    # rows of very different lengths, empty ones at both ends
+    dense = np.triu(np.arange(1.0, 82.0).reshape(9, 9), 1)
+    dense[[0, 8]] = 0
+    src, dst = np.nonzero(dense)
+    parts = {"indptr": np.searchsorted(src, np.arange(10)), "indices": dst.astype(np.int32), "data": dense[src, dst]}
+    np.savez(tmp_path / "a.npz", **parts)
+    np.savez_compressed(tmp_path / "b.npz", **parts)
+    want = {(i, j, dense[i, j]) for i, j in zip(src.tolist(), dst.tolist(), strict=True)}
+    for name, size, tasks in (("a", 1, 9), ("a", 200, 3), ("a", 1 << 20, 1), ("b", 1, None)):
+        found = raw.read_adjacency(spark, f"file://{tmp_path}/{name}.npz", size)
+        assert tasks is None or found.rdd.getNumPartitions() == tasks
+        rows = [tuple(r) for r in found.collect()]
+        assert set(rows) == want and len(rows) == len(want)
+    np.savez(tmp_path / "none.npz", indptr=np.zeros(1, int), indices=np.zeros(0, int), data=np.zeros(0))
+    assert raw.read_adjacency(spark, f"file://{tmp_path}/none.npz").collect() == []
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    path, shape = f"file://{tmp_path}/t", "k int"
+    read = lambda: sorted(r.k for r in raw.read_table(spark, path, shape).collect())
+    raw.write_table(spark.range(5).selectExpr("cast(id as int) k"), path)
+    bad = spark.range(100, numPartitions=4).selectExpr("cast(if(id = 99, raise_error('stop'), id) as int) k")
+    with pytest.raises(Exception, match="stop"):
+        raw.write_table(bad, path)
+    assert read() == [0, 1, 2, 3, 4] and len(list((tmp_path / "t/_data").iterdir())) == 1
+    # killed before and while it commits: rows without a commit, and a commit without its end
+    spark.range(9).selectExpr("cast(id as int) k").write.parquet(f"{path}/_data/orphan")
+    (tmp_path / "t/_commits/000000000001").write_text("orph")
+    assert read() == [0, 1, 2, 3, 4]
+    # the table may be read while it is replaced, and a reader of the last version is not disturbed
+    before = raw.read_table(spark, path, shape)
+    raw.write_table(before.selectExpr("k + 10 as k"), path)
+    assert read() == [10, 11, 12, 13, 14] and before.count() == 5
+    for k in range(3):
+        raw.write_table(spark.range(k + 1).selectExpr("cast(id as int) k"), path)
+    assert read() == [0, 1, 2] and len(raw._commits(spark, path)) == 2
+    # a folder that something else wrote
+    spark.range(2).selectExpr("cast(id as int) k").write.parquet(f"file://{tmp_path}/plain")
+    assert raw.read_table(spark, f"file://{tmp_path}/plain", shape).count() == 2
+
+
 def test_snapshots_need_a_finite_step_0(spark, tmp_path):
     rows = [(0, 1.0, 0), (1, 2.0, 0), (0, 3.0, 5)]
     spark.createDataFrame(rows, "cell int, mass double, step int").write.partitionBy("step").parquet(str(tmp_path / "a"))
