@@ -328,35 +328,3 @@ def test_normal_forms_of_slices_equal_those_of_lines():
         got |= {(at + r, k): raw[a:b] for r, k, a, b in zip(row.tolist(), number.tolist(), upto[:-1].tolist(), upto[1:].tolist(), strict=True)}
     forms = {(r, k): line_dedup.normal(x.encode()) for r, t in enumerate(texts) for k, x in enumerate(t.split("\n"))}
     assert got == {at: f for at, f in forms.items() if len(f) >= line_dedup.LEAST}
-
-
-def test_forest_joins_all_groups_by_their_shortest_edges():
-    rng = np.random.default_rng(6)
-    for n in (2, 7, 40):
-        group = rng.integers(0, max(2, n // 2), n)
-        pairs = [(i, j) for i, j in itertools.combinations(range(n), 2) if group[i] != group[j] and rng.random() < 0.5]
-        if not pairs:
-            continue
-        u, w = np.array(pairs).T
-        distance = rng.integers(0, 5, len(u))
-        picked = near_dedup.forest(u, w, distance, n, group)
-
-        def joined(edges, group=group, n=n):
-            up = {g: g for g in group.tolist()}
-
-            def top(g):
-                while up[g] != g:
-                    g = up[g]
-                return g
-
-            weight = 0
-            for d, a, b in edges:
-                x, y = top(int(group[a])), top(int(group[b]))
-                if x != y:
-                    up[x] = y
-                    weight += d
-            return len({top(g) for g in up}), weight
-
-        every = sorted(zip(distance.tolist(), u.tolist(), w.tolist(), strict=True))
-        mine = [every_ for every_ in zip(distance[picked].tolist(), u[picked].tolist(), w[picked].tolist(), strict=True)]
-        assert joined(mine) == joined(every) and sum(d for d, *_ in mine) == joined(every)[1]
