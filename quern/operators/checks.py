@@ -72,6 +72,21 @@ def unique_in_order(df: DataFrame, value: str, order: str) -> DataFrame:
     return first.select(value, (F.row_number().over(Window.orderBy("first")) - 1).alias("place"))
 
 
+def constant(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by, value, different): a group's value, and where it is not the same in the whole group the number of values, else null."""
+    rows = df.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count_distinct(value).alias("n"))
+    return rows.select(*by, F.col("low").alias(value), F.when(F.col("low") != F.col("high"), F.col("n")).alias("different"))
+
+
+def require_constant(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by, value); raises if the value is not the same in a whole group."""
+    found = constant(df, by, value)
+    bad = found.where("different is not null").first()
+    if bad is not None:
+        raise ValueError(f"{value} is not constant in {[bad[c] for c in by]}")
+    return found.drop("different")
+
+
 def relative_error(a: Column, b: Column, eps: float = 1e-12) -> Column:
     """|a - b| / max(|b|, eps) of two array columns."""
     norm = lambda x: F.sqrt(F.aggregate(F.transform(x, lambda v: v * v), F.lit(0.0), lambda s, v: s + v))

@@ -69,9 +69,10 @@ def nystrom(n: DataFrame, anchors: DataFrame, kind: str = "rbf", jitter: float =
 
 def low_rank_logits(u: DataFrame, cells: np.ndarray, base: F.Column | None = None) -> DataFrame:
     """u(id, u, ...) with logits u V' / sqrt(r), and base added; the N x m matrix exists only row by row."""
-    side = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in cells])
-    logits = F.transform(side, lambda row: v.dot(F.col("u"), row) / float(np.sqrt(cells.shape[1])))
-    return u.withColumn("logits", logits if base is None else F.zip_with(logits, base, lambda a, b: a + b))
+    side = u.sparkSession.createDataFrame([(cells.tolist(),)], "factors array<array<double>>")
+    logits = F.transform("factors", lambda row: v.dot(F.col("u"), row) / float(np.sqrt(cells.shape[1])))
+    rows = u.crossJoin(F.broadcast(side))
+    return rows.withColumn("logits", logits if base is None else F.zip_with(logits, base, lambda a, b: a + b)).drop("factors")
 
 
 def principal_axes(n: DataFrame, rank: int) -> tuple[np.ndarray, np.ndarray]:

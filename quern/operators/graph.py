@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
-from ..functions.stages import cut
+from ..functions.stages import cut, discard, stored
+from ..functions.sums import lists, matrix
+from . import seeding
 
 
 def symmetric_weights(edges: DataFrame, self_loops: str = "auto", nodes: DataFrame | None = None) -> DataFrame:
@@ -42,6 +44,56 @@ def propagate(weights: DataFrame, long_rows: DataFrame, hops: int = 1) -> DataFr
     return long_rows
 
 
+def _sums_of_sources(names: list[str]):
+    """Rows (src, x) or (src, w, x): sums of w x, or of x, for each src of a batch; src that follow each other over the end of a
+    batch give two rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column("x"))
+                x = x * batch.column("w").to_numpy()[:, None] if "w" in names else x
+                src = batch.column("src").to_numpy()
+                order = np.argsort(src, kind="stable")
+                head = np.flatnonzero(np.concatenate(([True], src[order][1:] != src[order][:-1])))
+                sums = np.add.reduceat(x[order], head, axis=0)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32)), pa.array(sums.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(src[order][head]), lists], ["src", "x"])
+
+    return run
+
+
+def _joined_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (src, x) sorted by src: one sum each, however many batches hold it."""
+    held: tuple[int, np.ndarray] | None = None
+    for part in _sums_of_sources(["src", "x"])(batches):
+        src, x = part.column("src").to_numpy().copy(), matrix(part.column("x")).copy()
+        if held is not None and held[0] == src[0]:
+            x[0] += held[1]
+        elif held is not None:
+            src, x = np.append(held[0], src), np.concatenate((held[1][None], x))
+        held = (int(src[-1]), x[-1])
+        if len(src) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(src[:-1]), pa.ListArray.from_arrays(pa.array(np.arange(0, x[:-1].size + 1, x.shape[1], dtype=np.int32)), pa.array(x[:-1].ravel()))], ["id", "x"])
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1].tolist()], pa.list_(pa.float64()))], ["id", "x"])
+
+
+def propagate_vectors(weights: DataFrame, nodes: DataFrame, hops: int = 1) -> DataFrame:
+    """(id, x) with x_i = sum_j w_ij x_j for whole vectors, applied ``hops`` times.
+
+    An edge moves one vector, not a row for each component.  Every task adds up what it has for a receiver before the one
+    shuffle of sums, and the sums of a receiver are added as they stream by, so a hub costs its tasks' sums and no group is
+    held.  Nodes that receive nothing don't come back.
+    """
+    rows = nodes.select("id", "x")
+    for _ in range(hops):
+        moved = weights.join(rows, weights.dst == rows.id).select("src", "w", "x")
+        sums = moved.mapInArrow(_sums_of_sources(["src", "w", "x"]), "src long, x array<double>")
+        rows = sums.repartition("src").sortWithinPartitions("src").mapInArrow(_joined_sums, "id long, x array<double>")
+    return rows
+
+
 def gathered(long_rows: DataFrame, name: str = "x") -> DataFrame:
     """(id, vector) from (id, dim, v)."""
     ordered = F.array_sort(F.collect_list(F.struct("dim", "v")))
@@ -151,3 +203,99 @@ def nearest_train(n: DataFrame, k: int) -> DataFrame:
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _within(k: int):
+    """For one cell and block: each node's k nearest of the cell's training nodes as (id, other, d2)."""
+
+    def nearest(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[], [], []]
+        if left.num_rows and right.num_rows:
+            order = np.argsort(left.column("id").to_numpy(), kind="stable")
+            ids, x = left.column("id").to_numpy()[order], _matrix(left.column("x"))[order]
+            norm = (x * x).sum(1)
+            for at in range(0, right.num_rows, 256):
+                some = right.slice(at, 256)
+                y = _matrix(some.column("x"))
+                cost = norm - 2 * y @ x.T
+                edge = np.partition(cost, k - 1, axis=1)[:, k - 1] if k < len(ids) else np.full(len(y), np.inf)
+                row, col = np.nonzero(cost <= edge[:, None] + 1e-9 * (1 + np.abs(edge[:, None])))
+                d2 = np.round(((y[row] - x[col]) ** 2).sum(1), 12)
+                order = np.lexsort((ids[col], d2, row))
+                row, col, d2 = row[order], col[order], d2[order]
+                few = np.arange(len(row)) - np.searchsorted(row, row) < k
+                for o, values in zip(out, (some.column("id").to_numpy()[row[few]], ids[col[few]], d2[few]), strict=True):
+                    o.append(values)
+        types = (np.int64, np.int64, float)
+        return pa.table([pa.array(np.concatenate(o) if o else np.zeros(0, t)) for o, t in zip(out, types, strict=True)], names=["id", "other", "d2"])
+
+    return nearest
+
+
+def pruned_nearest(n: DataFrame, k: int, cells: int | None = None, seed: int = 0) -> tuple[DataFrame, float]:
+    """nearest_train by cells and bounds: (id, other, rank, d2), and the share of (node, cell) pairs that had to be compared.
+
+    Training nodes are dealt to cells around spread centres.  A node first meets its own cell, whose k-th distance bounds the
+    one wanted; by the triangle inequality it then meets only cells with distance to the centre less the cell's radius within
+    that bound, so no neighbour is lost.  A cell of many nodes is cut into parts, as nodes are into blocks.
+    """
+    train = n.where("split = 'train'")
+    size = n.agg(F.count("*").alias("n"), F.count_if(F.col("split") == "train").alias("t")).first()
+    shape = "id long, other long, rank int, d2 double"
+    if not size.t or not size.n:
+        return n.sparkSession.createDataFrame([], shape), 0.0
+    cells = min(size.t, cells or max(1, -(-size.t // PART), round(size.t**0.5 / 4)))
+    blocks = max(1, -(-size.n // BLOCK))
+    centres = seeding.spread_centres(train, cells, [seed])
+    placed = seeding.nearest_cells(n.select("id", "x", "split"), centres, "near")
+    placed = stored(placed.select("id", "x", "split", F.element_at("near", 1).alias("cell")), "placed")
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                gap = matrix(batch.column("x")) - centres[0][batch.column("cell").to_numpy()]
+                yield pa.RecordBatch.from_arrays([batch.column("cell"), pa.array(np.sqrt((gap**2).sum(1)))], ["cell", "r"])
+
+    about = placed.where("split = 'train'").select("x", "cell").mapInArrow(measured, "cell int, r double").groupBy("cell").agg(F.max("r").alias("r"), F.count("*").alias("n")).collect()
+    radius, parts = np.full(cells, -np.inf), np.zeros(cells, int)
+    for r in about:  # one row a cell
+        radius[r.cell], parts[r.cell] = r.r, -(-r.n // PART)
+    each = placed.sparkSession.createDataFrame([(c, int(p)) for c, p in enumerate(parts) if p], "cell int, parts int")
+    own = placed.where("split = 'train'").select("id", "x", "cell").join(F.broadcast(each), "cell")
+    own = own.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def met(queries: DataFrame) -> DataFrame:
+        """Candidates of queries (id, x, cell), one row for each cell to meet."""
+        asked = queries.join(F.broadcast(each), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+        keys = ["cell", "part", "block"]
+        # renamed, as both sides come from one table
+        left, right = (side.select("id", "x", *keys).toDF("id", "x", *keys) for side in (own, asked))
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_within(k), "id long, other long, d2 double")
+
+    first = stored(met(placed.select("id", "x", "cell")), "first-cell")
+    kth = F.element_at(F.array_sort(F.collect_list("d2")), F.least(F.count("*").cast("int"), F.lit(k)))
+    bound = first.groupBy("id").agg(F.when(F.count("*") >= k, F.sqrt(kth)).otherwise(float("inf")).alias("bound"))
+    queries = placed.select("id", "x", "cell").join(bound, "id", "left").fillna(float("inf"), ["bound"])
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                b = batch.slice(at, 4096)
+                x = matrix(b.column("x"))
+                away = np.sqrt(seeding.squared_distances(x, centres[0]))
+                # a margin for what rounding takes off the distances
+                hit = away - radius <= (b.column("bound").to_numpy() + 1e-7 * (1 + np.sqrt((x**2).sum(1))))[:, None]
+                hit[np.arange(len(x)), b.column("cell").to_numpy()] = False
+                row, cell = np.nonzero(hit)
+                for s in range(0, len(row), 65_536):
+                    some = slice(s, s + 65_536)
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row[some])), lists(x[row[some]]), pa.array(cell[some].astype(np.int32))], ["id", "x", "cell"])
+
+    others = stored(queries.select("id", "x", "cell", "bound").mapInArrow(reached, "id long, x array<double>, cell int"), "reached")
+    share = (others.count() + size.n) / (size.n * max(1, int((parts > 0).sum())))
+    found = first.union(met(others))
+    ranked = F.slice(F.array_sort(F.collect_list(F.struct("d2", "other"))), 1, k)
+    out = found.groupBy("id").agg(ranked.alias("r")).select("id", F.posexplode("r").alias("place", "e"))
+    out = stored(out.select("id", F.col("e.other").alias("other"), (F.col("place") + 1).alias("rank"), F.col("e.d2").alias("d2")), "neighbours")
+    discard(placed, first, others)
+    return out, share

@@ -175,14 +175,25 @@ def variance_sweep(n: DataFrame, vector: str) -> DataFrame:
 
 
 def repaired(n: DataFrame, cells: int, residual: F.Column | str) -> DataFrame:
-    """nodes with every cell filled: each empty one takes the node of largest residual from a cell of more than one node."""
-    size = moments.counts(n, cells)
-    empty = [r.cell for r in size.where("n = 0").orderBy("cell").collect()]
-    for cell in empty:  # at most as many as cells
-        left = n.groupBy("cell").agg(F.count("*").alias("size"))
-        donor = n.join(F.broadcast(left.where("size > 1")), "cell").withColumn("r", residual if isinstance(residual, F.Column) else F.col(residual)).orderBy(F.desc("r"), "id").select("id").first()
-        n = cut(n.withColumn("cell", F.when(F.col("id") == donor.id, cell).otherwise(F.col("cell")).cast("int")))
-    return n
+    """nodes with every cell filled: each empty one, in order, takes the node of largest residual (then of smallest id) from a cell
+    that has more than one node left.
+
+    Nodes are passed over only as the last of their cell, so the 2 * cells with the largest residuals are enough.
+    """
+    size = {r.cell: r.n for r in moments.counts(n, cells).collect()}
+    empty = sorted(c for c, k in size.items() if not k)
+    if not empty:
+        return n
+    worst = n.withColumn("r", residual if isinstance(residual, F.Column) else F.col(residual)).orderBy(F.desc("r"), "id").limit(2 * cells)
+    donors, given = iter(sorted(worst.select("id", "cell", "r").collect(), key=lambda r: (-r.r, r.id))), []
+    for cell in empty:
+        donor = next((r for r in donors if size[r.cell] > 1), None)
+        if donor is None:
+            raise ValueError("fewer nodes than cells")
+        size[donor.cell] -= 1
+        given.append((donor.id, cell))
+    side = n.sparkSession.createDataFrame(given, "id long, given int")
+    return cut(n.join(F.broadcast(side), "id", "left").withColumn("cell", F.coalesce("given", "cell").cast("int")).drop("given").select(*n.columns))
 
 
 def variance_partition_loop(n: DataFrame, cells: int, vector: str, most_sweeps: int = 50) -> tuple[DataFrame, list[float], str]:

@@ -19,6 +19,18 @@ def grid(spark: SparkSession, space: dict[str, Sequence]) -> DataFrame:
     return out.select(place.cast("long").alias("candidate"), *space)
 
 
+def crossed(tried: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Every combination of the values that occur in the columns, with candidate = its place (values in order, last column
+    fastest).  Parameters have few values; nulls are left out."""
+    out, place = None, F.lit(0)
+    for c in columns:
+        values = tried.where(F.col(c).isNotNull()).select(c).distinct()
+        own = values.withColumn(f"{c}_at", F.row_number().over(Window.orderBy(c)) - 1).crossJoin(F.broadcast(values.agg(F.count("*").alias(f"{c}_n"))))
+        out = own if out is None else out.crossJoin(F.broadcast(own))
+        place = place * F.col(f"{c}_n") + F.col(f"{c}_at")
+    return out.select(place.cast("long").alias("candidate"), *columns)
+
+
 def missing_pairs(scores: DataFrame, firsts: Sequence[int], seconds: Sequence[int], first: str = "condensation_seed", second: str = "student_seed", by: Sequence[str] = ("candidate", "step")) -> DataFrame:
     """Groups whose (first, second) pairs aren't exactly those of the given seeds, each once: pairs found, distinct, unexpected and expected."""
     outside = ~F.col(first).isin(list(firsts)) | ~F.col(second).isin(list(seconds))

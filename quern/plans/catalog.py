@@ -43,7 +43,7 @@ def centres(n: DataFrame) -> DataFrame:
 def s2x_propagation(spark: SparkSession, d: str) -> DataFrame:
     n = views.nodes(spark, d)
     w = cut(graph.symmetric_weights(views.ring_edges(n), nodes=n))
-    return graph.propagate(w, views.long_form(n), hops=2).select("id", F.col("dim").cast("long").alias("dim"), v.rounded("v").alias("v"))
+    return longs(graph.propagate_vectors(w, n, hops=2))
 
 
 @query
@@ -240,7 +240,7 @@ def moment_objective(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: propagated features, RMS scale, nearest anchors, then V, |M| and J."""
     n = views.nodes(spark, d)
     w = cut(graph.symmetric_weights(views.ring_edges(n), nodes=n))
-    h = cut(graph.gathered(graph.propagate(w, views.long_form(n), hops=2)).join(n.select("id", "y", "split"), "id"))
+    h = cut(graph.propagate_vectors(w, n, hops=2).join(n.select("id", "y", "split"), "id"))
     z = cut(features.rms_features(h))
     z = features.soft_labels(features.class_mean_logits(assign.nearest_cell(z, centres(z))))
     return moments.moment_objective(cut(z), 1.0).select(*[v.rounded(c).alias(c) for c in ("v", "m_norm", "j")])
@@ -423,31 +423,11 @@ def running_best(spark: SparkSession, d: str) -> DataFrame:
     return selection.running_best(h, "run", "step", "value").select("run", "step", v.rounded("best").alias("best"), v.rounded("change").alias("change"), "plateau")
 
 
-SPACE = {"gamma": [0.01, 0.1, 1.0], "rank": [4, 8, 16], "method": ["lloyd", "kl"]}
-
-
-@query
-def grid_cross(spark: SparkSession, d: str) -> DataFrame:
-    return selection.grid(spark, SPACE)
-
-
-@query
-def grid_anti(spark: SparkSession, d: str) -> DataFrame:
-    old = selection.grid(spark, {k: x[:2] for k, x in SPACE.items()})
-    return selection.new_rows(selection.grid(spark, SPACE), old, ["gamma", "rank", "method"])
-
-
 @query
 def content_digest(spark: SparkSession, d: str) -> DataFrame:
     return selection.content_digest(spark.read.parquet(f"{d}/customer.parquet"), ["c_custkey", "c_nationkey"])
 
 
-@query
-def budget_registry(spark: SparkSession, d: str) -> DataFrame:
-    """The smallest ratio of each dataset."""
-    return selection.best(views.budgets(spark), [F.col("cells")], ["dataset"])
-
-
 # rows only: iterative or fitted
 
 

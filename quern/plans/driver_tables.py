@@ -367,6 +367,13 @@ def svd_factor_costs(spark: SparkSession, d: str) -> DataFrame:
     return longs(factors.mapped(u, lambda a: a @ cells.T / np.sqrt(M), "u", "l"), "l")
 
 
+@query(sql(f"SELECT id, other, rank::BIGINT AS rank, {r('d2')} AS d2 FROM knn", "nodes knn"))
+def pruned_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 nearest training nodes by cells that bounds leave."""
+    found, _ = graph.pruned_nearest(views.nodes(spark, d), 5)
+    return found.select("id", "other", F.col("rank").cast("long").alias("rank"), v.rounded("d2").alias("d2"))
+
+
 # without SQL: searched or fitted
 
 
@@ -391,19 +398,19 @@ def teacher_penalties(spark: SparkSession, d: str) -> DataFrame:
     """A linear teacher for each penalty on propagated features, all fitted in the same scans, best first."""
     n = views.nodes(spark, d)
     w = cut(graph.symmetric_weights(views.ring_edges(n), nodes=n))
-    h = cut(graph.gathered(graph.propagate(w, views.long_form(n), hops=2)).join(n.select("id", "y", "split"), "id"))
-    _, table = students.teacher_path(cut(features.rms_features(h)), (1e-3, 1e-2, 1e-1, 1.0))
+    h = cut(graph.propagate_vectors(w, n, hops=2).join(n.select("id", "y", "split"), "id"))
+    _, table = students.teacher_path(cut(features.rms_features(h)), (1e-3, 1e-2, 1e-1, 1.0), tolerance=1e-5)
     place = F.row_number().over(Window.orderBy(F.desc("val_acc"), "val_ce", "candidate"))  # a row a penalty
     return table.select("candidate", "penalty", v.rounded("val_acc", 3).alias("val_acc"), v.rounded("val_ce", 3).alias("val_ce"), place.alias("place"))
 
 
 @query()
 def kernel_teacher_penalties(spark: SparkSession, d: str) -> DataFrame:
-    """The same on kernel features of the basis nodes, the penalty taken per row."""
+    """The same on Nystrom features of the basis nodes, the penalty taken per row."""
     n = views.nodes(spark, d)
-    basis = n.where("split = 'train'").orderBy(F.md5(F.col("id").cast("string"))).limit(BASIS)
-    phi = cut(features.kernel_values(n, cut(basis), "relu").join(n.select("id", "y", "split"), "id"))
-    _, table = students.teacher_path(phi, (0.01, 0.1, 1.0), "k", bias=False, per_row=True)
+    basis = cut(n.where("split = 'train'").orderBy(F.md5(F.col("id").cast("string"))).limit(BASIS))
+    phi = cut(factors.nystrom(n, basis, "relu").join(n.select("id", "y", "split"), "id"))
+    _, table = students.teacher_path(phi, (0.01, 0.1, 1.0), "phi", bias=False, per_row=True, tolerance=1e-5)
     return table.select("candidate", "penalty", v.rounded("val_acc", 3).alias("val_acc"), v.rounded("val_ce", 3).alias("val_ce"))
 
 
@@ -419,7 +426,7 @@ def low_rank_partition(spark: SparkSession, d: str) -> DataFrame:
 def propagation_search(spark: SparkSession, d: str) -> DataFrame:
     """The propagation driver over its grid, with linear heads as students."""
     n = views.nodes(spark, d)
-    search, _ = drivers.propagation_kmeans(n, views.ring_edges(n), M, neighbours=16)
+    search, _ = drivers.propagation_kmeans(n, views.ring_edges(n), M, (0.2, 0.5, 0.8), neighbours=16)
     return search.select("candidate", "method", "alpha", "bandwidth", "prior", v.rounded("val_acc", 3).alias("val_acc"))
 
 

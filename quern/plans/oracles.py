@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..sources.views import BUDGETS, CELLS, CLASSES
+from ..sources.views import CELLS, CLASSES
 
 #: Named relations; each query takes those it needs, in this order.
 PARTS = {
@@ -262,10 +262,7 @@ SQL: dict[str, str] = {
     ),
     "timing_summary": sql(f"SELECT event_type AS name, n, {r('med')} AS median, {r('sd')} AS std, {r('most')} AS most, {r('max(CASE WHEN event_type = $$view$$ THEN med END) OVER () / med')} AS speedup FROM t".replace("$$", "'"), "", t="SELECT event_type, count(*) AS n, median(value) AS med, stddev_samp(value) AS sd, max(value) AS most FROM events GROUP BY ALL"),
     "running_best": f"SELECT user_id AS run, event_id AS step, {r('best')} AS best, {r('change')} AS change, coalesce(best = lag(best, 10) OVER (PARTITION BY user_id ORDER BY event_id), false) AS plateau FROM (SELECT *, max(value) OVER w AS best, value - lag(value) OVER w AS change FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))",
-    "grid_cross": "SELECT g * 6 + k * 2 + m AS candidate, [0.01, 0.1, 1.0][g + 1]::DOUBLE AS gamma, [4, 8, 16][k + 1]::BIGINT AS rank, ['lloyd', 'kl'][m + 1] AS method FROM range(3) a(g), range(3) b(k), range(2) c(m)",
-    "grid_anti": "SELECT g * 6 + k * 2 + m AS candidate, [0.01, 0.1, 1.0][g + 1]::DOUBLE AS gamma, [4, 8, 16][k + 1]::BIGINT AS rank, ['lloyd', 'kl'][m + 1] AS method FROM range(3) a(g), range(3) b(k), range(2) c(m) WHERE g = 2 OR k = 2",
     "content_digest": "SELECT count(*) AS n, bit_xor(h) AS xor_digest, sum(h % 1000003)::BIGINT AS sum_digest FROM (SELECT ('0x' || md5(c_custkey || '|' || c_nationkey)[1:12])::BIGINT AS h FROM customer)",
-    "budget_registry": f"SELECT dataset, ratio, cells FROM (VALUES {', '.join(f'({d!r}, {q!r}, {m})' for d, q, m in BUDGETS)}) b(dataset, ratio, cells) QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY cells) = 1",
     "moment_objective": sql(
         f"SELECT {r('vv')} AS v, {r('norm')} AS m_norm, {r('vv + norm')} AS j FROM (SELECT (SELECT avg(list_inner_product(x, x)) FROM base) - (SELECT sum(n * list_inner_product(c, c)) FROM cells) / (SELECT n FROM size) AS vv, norm FROM mnorm)",
         "nodes xl size oneway edges deg w h1 h2",

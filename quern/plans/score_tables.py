@@ -126,10 +126,38 @@ def boundary_profiles(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].union(parts[1])
 
 
-@query("SELECT candidate, gamma, rank FROM (SELECT g * 3 + k AS candidate, [0.01, 0.1, 1.0][g + 1]::DOUBLE AS gamma, [4, 8, 16][k + 1]::BIGINT AS rank FROM range(3) a(g), range(3) b(k)) WHERE rank <= 8")
+_CROSS = "SELECT (g.p * (SELECT count(DISTINCT t) FROM trials) + h.p) * (SELECT count(DISTINCT method) FROM trials) + m.p AS candidate, gamma, t, method FROM (SELECT gamma, row_number() OVER (ORDER BY gamma) - 1 AS p FROM (SELECT DISTINCT gamma FROM trials)) g, (SELECT t, row_number() OVER (ORDER BY t) - 1 AS p FROM (SELECT DISTINCT t FROM trials)) h, (SELECT method, row_number() OVER (ORDER BY method) - 1 AS p FROM (SELECT DISTINCT method FROM trials)) m"
+
+
+@query(f"SELECT candidate, gamma, t, method FROM ({_CROSS})")
+def grid_cross(spark: SparkSession, d: str) -> DataFrame:
+    """Every combination of the values that the trials used, in product order."""
+    return selection.crossed(trials(spark, d), ["gamma", "t", "method"])
+
+
+@query(f"SELECT c.* FROM ({_CROSS}) c ANTI JOIN (SELECT gamma, t, method FROM trials WHERE val_acc > (SELECT quantile_disc(val_acc, 0.9) FROM trials)) o ON c.gamma = o.gamma AND c.t = o.t AND c.method = o.method")
+def grid_anti(spark: SparkSession, d: str) -> DataFrame:
+    """Combinations that no trial among the best tenth used."""
+    rows = trials(spark, d)
+    edge = rows.agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY val_acc)").alias("edge"))
+    good = rows.crossJoin(F.broadcast(edge)).where("val_acc > edge")
+    return selection.new_rows(selection.crossed(rows, ["gamma", "t", "method"]), good, ["gamma", "t", "method"])
+
+
+@query("SELECT method, gamma, t, count(*) AS n FROM trials WHERE candidate * 2 + 2 <= (SELECT count(DISTINCT user_id) FROM events) AND candidate <= step / 100 GROUP BY ALL")
 def rank_within_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Settings whose rank doesn't exceed the number of cells."""
-    return selection.grid(spark, {"gamma": [0.01, 0.1, 1.0], "rank": [4, 8, 16]}).where(F.col("rank") <= views.CELLS)
+    """Settings of trials whose rank fits both the nodes and the cells: a filter by two columns and by a count of the table."""
+    users = spark.read.parquet(f"{d}/events.parquet").agg(F.count_distinct("user_id").alias("users"))
+    rows = trials(spark, d).crossJoin(F.broadcast(users)).where("candidate * 2 + 2 <= users and candidate <= step / 100")
+    return rows.groupBy("method", "gamma", "t").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT dataset, ratio, cells, nodes FROM (VALUES {', '.join(f'({d!r}, {q!r}, {m})' for d, q, m in views.BUDGETS)}) b(dataset, ratio, cells), (SELECT count(*) AS nodes FROM embeddings) WHERE 5 * cells <= nodes QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY cells DESC) = 1")
+def budget_registry(spark: SparkSession, d: str) -> DataFrame:
+    """The largest budget of each dataset that leaves five nodes of the table for each cell."""
+    size = views.nodes(spark, d).agg(F.count("*").alias("nodes"))
+    fitting = views.budgets(spark).crossJoin(F.broadcast(size)).where("5 * cells <= nodes")
+    return selection.best(fitting, [F.desc("cells")], ["dataset"])
 
 
 @query("SELECT a.method, a.candidate, count(*) AS n FROM trials a JOIN (SELECT DISTINCT gamma AS g FROM trials) b ON abs(a.gamma - b.g - 1e-14) < 1e-12 GROUP BY ALL")
@@ -208,10 +236,10 @@ def unique_in_order(spark: SparkSession, d: str) -> DataFrame:
     return checks.unique_in_order(e, "method", "event_id").select("method", F.col("place").cast("long").alias("place"))
 
 
-@query("SELECT method, min(step) AS first_step, max(step) - min(step) AS span FROM trials GROUP BY method")
+@query("SELECT method, gamma, t, step, min(candidate) AS candidate, CASE WHEN min(candidate) = max(candidate) THEN NULL ELSE count(DISTINCT candidate) END AS different FROM trials GROUP BY ALL")
 def constant_in_group(spark: SparkSession, d: str) -> DataFrame:
-    """A value that is the same in a whole group is its smallest, whatever the order of rows."""
-    return trials(spark, d).groupBy("method").agg(F.min("step").alias("first_step"), (F.max("step") - F.min("step")).alias("span"))
+    """The value of a group, and how many there are where it is not constant."""
+    return checks.constant(trials(spark, d), ["method", "gamma", "t", "step"], "candidate")
 
 
 @query("SELECT method, 'run_' || method || '_' || lpad(candidate::VARCHAR, 3, '0') AS name, regexp_replace('run_' || method, '^run_', '') AS bare, regexp_matches(method, '^[A-Za-z0-9]+$') AS plain, candidate FROM trials GROUP BY ALL")

@@ -221,7 +221,7 @@ def prepared(nodes: DataFrame, edges: DataFrame, roles: DataFrame, labels: DataF
     rows = features.train_zscore(nodes.join(split, "id")).join(views.dense_labels(labels.select("id", "label")), "id")
     rows = cut(rows)
     w = cut(graph.symmetric_weights(views.undirected(edges), nodes=rows))
-    return rows.join(graph.gathered(graph.propagate(w, views.long_form(rows), hops=2), "h"), "id")
+    return rows.join(graph.propagate_vectors(w, rows, hops=2).withColumnRenamed("x", "h"), "id")
 
 
 def prepared_by_split(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def prepared_by_split(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     a, b = nodes.select(F.col("id").alias("src"), F.col("split").alias("s")), nodes.select(F.col("id").alias("dst"), F.col("split").alias("t"))
     own = views.undirected(edges).join(a, "src").join(b, "dst").where("s = t").select("src", "dst")
     w = cut(graph.symmetric_weights(own, "missing", nodes))
-    return nodes.select("id", "split").join(graph.gathered(graph.propagate(w, views.long_form(nodes), hops=2), "h"), "id")
+    return nodes.select("id", "split").join(graph.propagate_vectors(w, nodes, hops=2).withColumnRenamed("x", "h"), "id")
 
 
 def _files(spark: SparkSession, path: str):

@@ -86,10 +86,13 @@ def induced_subgraph(n: DataFrame, edges: DataFrame, split: str) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def dense_ids(ids: DataFrame, width: int = 4096) -> DataFrame:
-    """(id, dense) with dense = rank of id from 0."""
+def dense_ids(ids: DataFrame, width: int | None = None) -> DataFrame:
+    """(id, dense) with dense = rank of id from 0; ranges of ids are as wide as there are ranges, if no width is given."""
     from pyspark.sql import Window
 
+    if width is None:
+        ends = ids.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
+        width = max(4096, int((ends.hi - ends.lo) ** 0.5)) if ends.lo is not None else 4096
     ranged = ids.select("id", F.floor(F.col("id") / width).alias("range"))
     ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     before = ranged.groupBy("range").count().withColumn("before", F.coalesce(F.sum("count").over(ahead), F.lit(0)))

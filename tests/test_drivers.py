@@ -265,3 +265,39 @@ def test_sweep_keeps_failures_apart(spark, tmp_path):
     rows = {(r.temperature, r.condensation_seed): r for r in scores.collect()}
     assert all(rows[-1.0, s].status == "failed" and rows[-1.0, s].error and rows[-1.0, s].val_acc is None for s in (0, 1))
     assert all(rows[1.0, s].val_acc is not None for s in (0, 1)) and ranking.count() == 1 and 0 <= test <= 100
+
+
+def test_vector_propagation_equals_dense_products(spark):
+    rng = np.random.default_rng(8)
+    n = 40
+    a = (rng.random((n, n)) < 0.15) * rng.random((n, n))
+    a[0] = rng.random(n)  # a hub
+    a[7] = 0  # receives nothing
+    x = rng.normal(size=(n, 3))
+    src, dst = np.nonzero(a)
+    weights = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(src, dst, strict=True)], "src long, dst long, w double").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = {r.id: r.x for r in graph.propagate_vectors(weights, frame(spark, x), 2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert 7 not in got and set(got) == set(np.flatnonzero(a.any(1)).tolist())
+    b = a.copy()
+    b[:, 7] = 0  # what receives nothing has nothing to send
+    assert np.allclose([got[i] for i in sorted(got)], (b @ (a @ x))[sorted(got)])
+
+
+@pytest.mark.parametrize("k", [1, 4, 30])
+def test_pruned_neighbours_equal_brute_force(spark, monkeypatch, k):
+    monkeypatch.setattr(graph, "PART", 6)
+    monkeypatch.setattr(graph, "BLOCK", 50)
+    x, _ = blobs(160, 3, 8, seed=k)
+    x = np.round(x, 1)
+    x[10:20] = x[0]  # ties
+    split = ["train" if i % 3 else "val" for i in range(160)]
+    found, share = graph.pruned_nearest(frame(spark, x, split=("string", split)), k, 9)
+    train = [i for i in range(160) if i % 3]
+    want = {(i, r): t for i in range(160) for r, (_, t) in enumerate(sorted((round(((x[i] - x[t]) ** 2).sum(), 12), t) for t in train)[:k], 1)}
+    assert {(r.id, r["rank"]): r.other for r in found.collect()} == want
+    # eight groups far apart: most cells are never met
+    assert share < (0.5 if k < 30 else 1.01)
