@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..functions.stages import cut
-from ..operators import assign, balanced, batched, factors, features, graph, low_rank, moments, scatter, seeding, soft, students, svd
+from ..operators import assign, attention, balanced, batched, factors, features, graph, low_rank, moments, scatter, seeding, soft, students, svd
 from ..sources import views
 from . import drivers
 from .catalog import BASIS, C, M, base, centres, longs
-from .model_tables import _LOW_RANK, _SLOPES, weights
+from .model_tables import _LOW_RANK, _SLOPES, _times, weights
 from .oracles import _BASE, _STATS, r, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -367,6 +367,35 @@ def svd_factor_costs(spark: SparkSession, d: str) -> DataFrame:
     return longs(factors.mapped(u, lambda a: a @ cells.T / np.sqrt(M), "u", "l"), "l")
 
 
+_COST = "2 * list_inner_product(b.x, a.x) - list_inner_product(a.x, a.x)"
+
+
+@query(sql(f"SELECT b.id, a.id AS dim, {r(f'({_COST} + 2 * list_inner_product(b.h, a.h) - list_inner_product(a.h, a.h)) / 0.7')} AS v FROM m b, m a WHERE a.id < {M}", "nodes", m=f"SELECT id, x, {_times('x', 64, 4, 13)} AS h FROM nodes"))
+def metric_assignment(spark: SparkSession, d: str) -> DataFrame:
+    n = views.nodes(spark, d)
+    anchors = np.array([row.c for row in centres(n).orderBy("cell").collect()])
+    return longs(attention.metric_logits(n, anchors, weights(64, 4, 13), 0.7), "logits")
+
+
+@query(
+    sql(
+        f"SELECT b.id, a.id AS dim, {r(f'({_COST} + list_sum(list_transform(range(4), lambda k: b.u[k + 1] * cos(15 + 3 * a.id + 5 * k) / 4)) / 2) / 0.7')} AS v FROM m b, nodes a WHERE a.id < {M}",
+        "nodes",
+        m=f"SELECT id, x, {_times('x', 64, 4, 14)} AS u FROM nodes",
+    )
+)
+def low_rank_assignment(spark: SparkSession, d: str) -> DataFrame:
+    n = views.nodes(spark, d)
+    anchors = np.array([row.c for row in centres(n).orderBy("cell").collect()])
+    u = n.select("id", "x").join(factors.mapped(n, factors.linear(weights(64, 4, 14)), name="u"), "id")
+    return longs(attention.low_rank_logits(u, anchors, weights(M, 4, 15), 0.7), "logits")
+
+
+@query(sql(f"SELECT {r('sqrt(sum(list_inner_product(x, x)) / sum(len(x)))')} AS rms, {r('avg(sqrt(list_inner_product(x, x)))')} AS mean_norm FROM nodes", "nodes"))
+def assignment_feature_rms(spark: SparkSession, d: str) -> DataFrame:
+    return attention.feature_rms(views.nodes(spark, d)).select(v.rounded("rms").alias("rms"), v.rounded("mean_norm").alias("mean_norm"))
+
+
 @query(sql(f"SELECT id, other, rank::BIGINT AS rank, {r('d2')} AS d2 FROM knn", "nodes knn"))
 def pruned_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The 5 nearest training nodes by cells that bounds leave."""

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from quern.functions.stages import cut
-from quern.operators import balanced, low_rank, svd
+from quern.operators import attention, balanced, low_rank, svd
 from quern.operators.balanced import softmax
 from quern.operators.soft import objective_and_gradient
 
@@ -210,3 +210,44 @@ def test_distance_factors_stand_for_the_nearest_centre(spark):
     assert math.isclose(np.sqrt((logits**2).mean()), 1.0, rel_tol=1e-6) and np.allclose(logits.mean(1), 0, atol=1e-8)
     with pytest.raises(ValueError, match="rank"):
         svd.distance_factors(frame(spark, x=x), 4, 1)
+
+
+# attention and starts
+
+
+def collected(rows, name="logits"):
+    got = {r.id: r[name] for r in rows.collect()}
+    return np.array([got[i] for i in range(len(got))])
+
+
+def test_uv_logits_of_all_kinds(spark):
+    n = frame(spark, x=X)
+    centres = X[:5] + 0.1
+    costs = 2 * X @ centres.T - (centres**2).sum(1)
+    costs -= costs.mean(1, keepdims=True)
+    s = np.linalg.svd(costs, compute_uv=False)
+    u, v, lost = attention.uv_factors(n, centres, 4)
+    assert lost < 1e-9 and np.allclose(collected(attention.uv_logits(u, v, 0.5)), costs / 0.5, atol=1e-9)
+    u, v, lost = attention.uv_factors(n, centres, 2)
+    assert math.isclose(lost, np.linalg.norm(s[2:]) / np.linalg.norm(s))
+    a, b, _ = attention.uv_factors(n, centres, 2, seed=3)
+    assert np.allclose(np.linalg.norm(collected(a, "u"), axis=0), np.linalg.norm(collected(u, "u"), axis=0))
+    assert np.allclose(np.linalg.norm(b, axis=0), np.linalg.norm(v, axis=0)) and np.allclose(b.mean(0), 0)
+    assert np.allclose(collected(a, "u"), collected(attention.uv_factors(n.repartition(1), centres, 2, seed=3)[0], "u"))
+    for rank in (0, 5):
+        with pytest.raises(ValueError, match="rank"):
+            attention.uv_factors(n, centres, rank)
+    with pytest.raises(ValueError, match="tau"):
+        attention.uv_logits(u, v, 0.0)
+
+
+def test_prototypes_anchors_and_encoders(spark):
+    n = frame(spark, x=X, cell=np.arange(N) % 3)
+    assert np.allclose(attention.prototypes(n, 3), [X[k::3].mean(0) for k in range(3)])
+    with pytest.raises(ValueError, match="3"):
+        attention.prototypes(n, 4)
+    anchors = attention.random_anchors(n, 6, 1)
+    assert np.array_equal(anchors, attention.random_anchors(n.repartition(2), 6, 1)) and len({tuple(a) for a in anchors}) == 6
+    with pytest.raises(ValueError, match="fewer"):
+        attention.random_anchors(n, N + 1)
+    assert [w.shape for w in attention.initial_encoder(7, 3)] == [(7, 3)] and [w.shape for w in attention.initial_encoder(7, 3, 5)] == [(7, 5), (5,), (5, 3)]
