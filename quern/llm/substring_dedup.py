@@ -77,7 +77,8 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class FingerprintIndex:
     """Immutable sorted runs of (anchor, first_doc) and the matches (doc_id, anchor) found so far, in one folder.
 
-    The manifest is a table of (version, place, path, entries, buckets); the rows of the largest version are the runs.
+    The manifest is a table of (version, place, path, entries, buckets); of the rows of the largest version those with a place
+    from 0 are the runs, those below the matches of each session.  A session that fails before it commits leaves neither.
     """
 
     MANIFEST = "version long, place int, path string, entries long, buckets int"
@@ -87,6 +88,8 @@ class FingerprintIndex:
         self.root = root or f"{shared_dir(spark)}/quern/index-{uuid.uuid4().hex}"
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.version, self.runs, self.dropped = 0, [], []
+        self.sessions: list[str] = []
+        self.own = f"{self.root}/matches/{uuid.uuid4().hex}"
         if self.lasting:
             self._open()
 
@@ -98,6 +101,9 @@ class FingerprintIndex:
         self.version = max((r.version for r in rows), default=0)
         for r in sorted((r for r in rows if r.version == self.version), key=lambda r: r.place):
             self.buckets = r.buckets
+            if r.place < 0:
+                self.sessions.append(r.path)
+                continue
             self.runs.append((self._register(r.path, "first_doc"), r.path, r.entries))
 
     def _register(self, path: str, column: str) -> str:
@@ -117,11 +123,8 @@ class FingerprintIndex:
 
     def matches(self) -> DataFrame:
         """(doc_id, anchor) of the documents indexed before that shared an anchor with another."""
-        empty = self.spark.createDataFrame([], "doc_id long, anchor long")
-        try:
-            return self.spark.read.schema(empty.schema).parquet(f"{self.root}/matches")
-        except AnalysisException:
-            return empty
+        shape = "doc_id long, anchor long"
+        return self.spark.read.schema(shape).parquet(*self.sessions) if self.sessions else self.spark.createDataFrame([], shape)
 
     def add(self, batch: DataFrame, keep: bool = True) -> DataFrame:
         """Suspects (anchor, first_doc) of a batch (anchor, doc_id) whose ids are all larger than those before: anchors that a
@@ -135,7 +138,7 @@ class FingerprintIndex:
         suspects = stored(seen.where(F.col("hi") > F.coalesce("before", "lo")).select("anchor", F.coalesce("before", "lo").alias("first_doc")), "suspects")
         if self.lasting:
             later = table.join(suspects, "anchor").where("doc_id > first_doc").select("doc_id", "anchor")
-            later.union(suspects.select("first_doc", "anchor")).write.mode("append").parquet(f"{self.root}/matches")
+            later.union(suspects.select("first_doc", "anchor")).write.mode("append").parquet(self.own)
         if keep:
             fresh = seen.where("before is null").select("anchor", F.col("lo").alias("first_doc"))
             self.runs.append((*(made := self._write(fresh)), self.spark.table(made[0]).count()))
@@ -156,6 +159,7 @@ class FingerprintIndex:
         if self.lasting:
             self.version += 1
             rows = [(self.version, k, path, entries, self.buckets) for k, (_, path, entries) in enumerate(self.runs)]
+            rows += [(self.version, -1 - k, path, 0, self.buckets) for k, path in enumerate([*self.sessions, self.own])]
             self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
         for name, path, _ in self.dropped:
             self._remove(name, path)

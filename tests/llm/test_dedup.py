@@ -166,6 +166,25 @@ def test_substring_index_over_two_sessions(spark, docs, tmp_path):
         substring_dedup.remove_repeats(part, index=root)
 
 
+def test_a_session_that_fails_leaves_the_index_as_it_was(spark, docs, tmp_path, monkeypatch):
+    df, rows = docs
+    half = sorted(rows)[len(rows) // 2]
+    root, first, second = f"file://{tmp_path}/index", df.where(f"doc_id < {half}"), df.where(f"doc_id >= {half}")
+    got = [tuple(r) for r in substring_dedup.remove_repeats(first, with_text=False, batches=2, index=root).collect()]
+
+    def broken(self):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(substring_dedup.FingerprintIndex, "close", broken)
+        with pytest.raises(OSError, match="lost"):
+            substring_dedup.remove_repeats(second, with_text=False, batches=2, index=root, history=first)
+    before = substring_dedup.FingerprintIndex(spark, root)
+    assert before.version == 1 and before.matches().where(f"doc_id >= {half}").isEmpty()
+    got += [tuple(r) for r in substring_dedup.remove_repeats(second, with_text=False, batches=2, index=root, history=first).collect()]
+    assert sorted(got) == brute_substring(rows)
+
+
 def test_substring_rows_without_or_with_equal_ids(spark):
     line = " ".join(f"t{i}" for i in range(20))
     df = spark.createDataFrame([(None, line), (4, line), (4, line), (9, line + " end"), (1, None)], "doc_id long, text string")
