@@ -129,7 +129,7 @@ def push_labels(weights: DataFrame, source: DataFrame, alpha: float, tolerance:
     raise RuntimeError(f"labels did not settle in {most_steps} steps")
 
 
-def push_steps(weights: DataFrame, source: DataFrame, alphas: Sequence[float], steps: int | None = None, tolerance: float = 1e-6, most_steps: int = 2000, cut_every: int = 5) -> DataFrame:
+def push_steps(weights: DataFrame, source: DataFrame, alphas: Sequence[float], steps: int | None = None, tolerance: float = 1e-6, most_steps: int = 2000, cut_every: int = 3) -> DataFrame:
     """(k, id, c, p): labels pushed with each alpha, k its place, all in one join a step.
 
     With ``steps``, after so many; else at the fixed point: raises if the largest change of an alpha stays above
@@ -144,7 +144,7 @@ def push_steps(weights: DataFrame, source: DataFrame, alphas: Sequence[float], s
         moved = weights.join(current, weights.dst == current.id).groupBy("k", F.col("src").alias("id"), "c").agg(F.sum(F.col("w") * F.col("p")).alias("m"))
         fresh = start.join(moved, ["k", "id", "c"], "left").select("k", "id", "c", ((1 - F.col("alpha")) * F.col("s") + F.col("alpha") * F.coalesce("m", F.lit(0.0))).alias("p"))
         if step % cut_every == 0:
-            fresh = cut(fresh)
+            fresh = stored(fresh, "pushed")
             if steps is None:
                 both = fresh.join(current.withColumnRenamed("p", "old"), ["k", "id", "c"]).groupBy("k").agg(F.max(F.abs(F.col("p") - F.col("old"))).alias("m"))
                 if all(r.m <= tolerance * (1 - alphas[r.k]) for r in both.collect()):
