@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -282,6 +283,20 @@ def test_toxicity_learns_terms_it_meets_in_many_places(spark):
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
 
 
+def test_held_out_toxicity_on_the_given_documents(spark, sf):
+    """Needs thousands of labels; of the larger given tables."""
+    larger = Path(sf).parent / "sf0.1"
+    if not larger.exists():
+        pytest.skip("no larger tables")
+    docs, labels = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.toxicity_scores(docs, labels).where("held_out").join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id").select("score", "toxic").collect()
+    score, toxic = np.array([r.score for r in got]), np.array([r.toxic for r in got])
+    auc = np.mean([(score[toxic == 0] < s).mean() + (score[toxic == 0] == s).mean() / 2 for s in score[toxic == 1]])
+    print(f"AUC {auc:.3f} accuracy {((score >= 0.5) == toxic).mean():.3f} found {(score[toxic == 1] >= 0.5).mean():.3f} of {len(got)}")
+    assert auc > 0.7 and ((score >= 0.5) == toxic).mean() > (toxic == 0).mean()
+    assert (score[toxic == 0] >= 0.5).mean() < 0.02
+
+
 def test_toxicity_scores_keep_the_share_of_toxic_labels_when_sampled(spark, monkeypatch):
     rng = random.Random(12)
     docs = [(i, prose_of(rng, ["grumblesnark"] * 3 if i % 10 == 0 and i % 3 else []), "en", "s", 10) for i in range(1200)]
