@@ -21,18 +21,11 @@ class Logistic:
         w = np.ones(len(x)) if weight is None else weight
         penalty = np.full(a.shape[1], ridge)
         penalty[-1] = 1e-6
-
-        def loss(theta: np.ndarray) -> float:
-            z = a @ theta
-            return float((w * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (penalty * theta**2).sum())
-
         for _ in range(steps):
             p = 1 / (1 + np.exp(-np.clip(a @ self.theta, -35, 35)))
             gradient = a.T @ (w * (p - y)) + penalty * self.theta
             hessian = (a * (w * p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag(penalty)
             step = np.linalg.solve(hessian, gradient)
-            while loss(self.theta - step) > loss(self.theta) + 1e-9 and np.abs(step).max() >= 1e-8:
-                step /= 2
             self.theta -= step
             if np.abs(step).max() < 1e-8:
                 break
