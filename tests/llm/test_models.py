@@ -293,7 +293,7 @@ def test_held_out_toxicity_on_the_given_documents(spark, sf):
     score, toxic = np.array([r.score for r in got]), np.array([r.toxic for r in got])
     auc = np.mean([(score[toxic == 0] < s).mean() + (score[toxic == 0] == s).mean() / 2 for s in score[toxic == 1]])
     print(f"AUC {auc:.3f} accuracy {((score >= 0.5) == toxic).mean():.3f} found {(score[toxic == 1] >= 0.5).mean():.3f} of {len(got)}")
-    assert auc > 0.7 and ((score >= 0.5) == toxic).mean() > (toxic == 0).mean()
+    assert auc > 0.75 and ((score >= 0.5) == toxic).mean() > 0.9
     assert (score[toxic == 0] >= 0.5).mean() < 0.02
 
 
