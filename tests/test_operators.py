@@ -269,6 +269,32 @@ def test_neighbours_over_parts_equal_brute_force(nodes, monkeypatch):
         assert {(r.id, r["rank"]): r.other for r in graph.nearest_train(nodes, k).collect()} == want
 
 
+def test_equal_vectors_are_compared_once(spark, monkeypatch):
+    """300 copies of 8 vectors: a group gets at most k training nodes of a vector and each vector once."""
+    from quern.operators import graph
+
+    seen = spark.sparkContext.accumulator(0)
+    within = graph._within
+
+    def counted(k):
+        run = within(k)
+
+        def nearest(key, left, right):
+            seen.add(left.num_rows * right.num_rows)
+            return run(key, left, right)
+
+        return nearest
+
+    monkeypatch.setattr(graph, "_within", counted)
+    x = [[float(i % 8), float(i % 8 // 2)] for i in range(2400)]
+    n = spark.createDataFrame([(i, x[i], "train" if i % 3 else "val") for i in range(2400)], "id long, x array<double>, split string")
+    got = {(r.id, r["rank"]): r.other for r in graph.nearest_train(n, 3).collect()}
+    for i in (0, 9, 2399):
+        want = sorted((round(sum((a - b) ** 2 for a, b in zip(x[i], x[t], strict=True)), 12), t) for t in range(2400) if t % 3)[:3]
+        assert [got[i, r] for r in (1, 2, 3)] == [t for _, t in want]
+    assert len(got) == 7200 and 0 < seen.value <= 8 * 24
+
+
 def test_principal_split_equals_power_iteration(spark):
     rng = np.random.default_rng(9)
     x = np.concatenate([rng.normal(size=(20, 3)) + c for c in ([0, 0, 0], [9, 1, 0], [0, 30, 2])])
