@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.minimise import minimise
 from quern.functions.stages import cut
-from quern.operators import features, graph, heads, moments, partition, scatter, seeding, students
+from quern.operators import assign, features, graph, heads, moments, partition, scatter, seeding, students
 from quern.plans import drivers
 from quern.sources import views
 
@@ -301,3 +301,27 @@ def test_pruned_neighbours_equal_brute_force(spark, monkeypatch, k):
     assert {(r.id, r["rank"]): r.other for r in found.collect()} == want
     # eight groups far apart: most cells are never met
     assert share < (0.5 if k < 30 else 1.01)
+
+
+def test_labels_of_all_candidates_are_one_row_a_node_and_method(spark):
+    """Means of cells from whole vectors equal those of single rows; a step moves a vector an edge."""
+    n = small(spark, 60)
+    edges = views.ring_edges(n)
+    grid, labels = drivers.propagated_labels(n, edges, 4, (0.5, 0.8), (1.0,), (0.5, 10.0), 5, 3, 0.8)
+    assert labels.count() == 120 and len(grid) == 4
+    placed = n.select("id", (F.col("id") % 3).cast("int").alias("cell"))
+    got = drivers.label_means(labels, placed, len(grid), 3, 4)
+    w, near = cut(graph.push_weights(edges)), cut(graph.nearest_train(n, 5))
+    source = cut(drivers.source_labels(n, 4))
+    singles = []
+    for a in (0.5, 0.8):
+        q = source
+        for _ in range(3):
+            q = graph.push_step(w, source, q, a)
+        singles.append(q)
+    singles += [assign.kernel_labels(near, n.where("split = 'train'"), 4, 0.8, b) for b in (0.5, 10.0)]
+    for mean, rows in zip(got, singles, strict=True):
+        for r in rows.join(placed, "id").groupBy("cell", "c").agg(F.avg("p").alias("p")).collect():
+            assert math.isclose(mean[r.cell, r.c], r.p, abs_tol=1e-12)
+    alone = graph.push_vectors(w.where("src = 0"), n.where("id > 0").select("id", F.array(F.lit(1.0), F.lit(0.0)).alias("s")), [0.5], 1)
+    assert {tuple(r.p) for r in alone.collect()} == {(0.5, 0.0)}  # nodes that receive nothing
