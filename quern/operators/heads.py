@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
+from ..functions.stages import cut
 
 
 def fit_head(cells: DataFrame, penalty: float) -> tuple[list[list[float]], DataFrame]:
@@ -37,7 +38,8 @@ def fit_head(cells: DataFrame, penalty: float) -> tuple[list[list[float]], DataF
 
 def kernel_teacher(kernels: DataFrame, n: DataFrame, gamma: float) -> DataFrame:
     """nodes with logits of a multinomial model without bias on kernel features: mean loss + gamma/n |W|^2 over training rows."""
-    rows = n.join(kernels, "id").withColumn("features", array_to_vector("k")).withColumn("label", F.col("y").cast("double"))
+    # computed once: the fit, its count and the outputs all read it
+    rows = cut(n.join(kernels, "id")).withColumn("features", array_to_vector("k")).withColumn("label", F.col("y").cast("double"))
     train = rows.where("split = 'train'")
     fitted = LogisticRegression(regParam=2 * gamma / train.count(), fitIntercept=False, standardization=False, family="multinomial", maxIter=200, tol=1e-10).fit(train)
     out = fitted.transform(rows)

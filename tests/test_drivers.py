@@ -325,3 +325,18 @@ def test_labels_of_all_candidates_are_one_row_a_node_and_method(spark):
             assert math.isclose(mean[r.cell, r.c], r.p, abs_tol=1e-12)
     alone = graph.push_vectors(w.where("src = 0"), n.where("id > 0").select("id", F.array(F.lit(1.0), F.lit(0.0)).alias("s")), [0.5], 1)
     assert {tuple(r.p) for r in alone.collect()} == {(0.5, 0.0)}  # nodes that receive nothing
+
+
+def test_kernel_values_are_computed_once_for_the_teacher(spark, sf):
+    """Fit, count and outputs read stored rows: the kernels' tasks run once."""
+    from quern.operators import factors
+
+    seen = spark.sparkContext.accumulator(0)
+    n = views.nodes(spark, sf).where("id < 120")
+
+    def counted(x):
+        seen.add(len(x))
+        return np.tanh(x[:, :6])
+
+    heads.kernel_teacher(factors.mapped(n, counted, name="k"), n, 0.1).collect()
+    assert seen.value == 120
