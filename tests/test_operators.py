@@ -353,3 +353,26 @@ def test_checks_raise_and_report(spark):
         checks.members(spark.createDataFrame([(9,)], "k int"), a, ["k"])
     with pytest.raises(Exception, match="not finite"):
         checks.require_finite(spark.createDataFrame([(1, float("nan"))], a.schema), ["v"]).collect()
+
+
+def test_lloyd_stores_the_nodes_once_and_fills_empty_cells(spark, monkeypatch):
+    from quern.operators import assign, partition
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(60, 3)) + c for c in ([0, 0, 0], [6, 0, 0], [0, 6, 0], [0, 0, 6])])
+    n = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, x array<double>")
+    written = []
+    for name in ("cut", "stored"):
+        run = getattr(partition, name)
+        monkeypatch.setattr(partition, name, lambda df, *a, run=run: (written.append(1), run(df, *a))[1])
+    # the last two centres are nobody's nearest
+    start = spark.createDataFrame(list(enumerate([*x[[0, 1, 2, 61]].tolist(), [99.0] * 3, [98.0] * 3])), "cell int, c array<double>")
+    placed, sweeps = partition.lloyd(n, start, 40)
+    assert len(written) == 1 and 1 < sweeps < 40
+    rows = placed.orderBy("id").collect()
+    cell = np.array([r.cell for r in rows])
+    assert set(cell.tolist()) == set(range(6))
+    means = np.stack([x[cell == j].mean(0) for j in range(6)])
+    assert (((x[:, None] - means) ** 2).sum(2).argmin(1) == cell).all()
+    same = assign.nearest_cell(n, spark.createDataFrame(list(enumerate(means.tolist())), "cell int, c array<double>"))
+    assert [r.cell for r in same.orderBy("id").collect()] == cell.tolist()
