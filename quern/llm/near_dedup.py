@@ -13,6 +13,8 @@ below 0.001, larger similarities far less.
 * Then all members of different components under a key are compared by the Hamming distance of their signatures.  The nodes of
   a common template or passage share a key without being similar: those of a key with more than ``TILE`` nodes are dealt
   to parts by a hash, and each pair of parts is compared as a tile of its own, so no task holds more than two parts of a key.
+  A pair comes out of one of its keys only, and only if counts of the two sets by ``BUCKETS`` ranges of the hashes leave room
+  for the similarity: what one set has more of in a range is surely not in the other, so this loses no link.
 * All candidates are confirmed on whole sets: 100 * intersection >= 75 * union.
 
 Nulls and edge cases: null text counts as empty; texts without words have n_shingles 0 and link with nothing.
@@ -41,6 +43,8 @@ CHUNKS = POSITIONS // CHUNK
 THRESHOLD = 27
 #: Nodes of a key that are compared with each other in one place; more of them are cut into tiles.
 TILE = 2048
+#: Ranges of hashes whose shingles are counted for each set, up to 15, two of them in a byte.
+BUCKETS = 256
 
 _A = tx.seeded(POSITIONS, 11) | np.uint64(1)
 _B = tx.seeded(POSITIONS, 12)
@@ -68,6 +72,25 @@ def shingle_sets(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[
         yield at, np.array([len(s) for s in sets], np.int64), np.concatenate(sets) if sets else np.zeros(0, np.uint64)
 
 
+def bucket_counts(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One row a set: how many of its hashes fall in each range."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    count = np.bincount(row * BUCKETS + (tx.mix(hashes ^ _SALT[1]) % np.uint64(BUCKETS)).astype(np.int64), minlength=len(sizes) * BUCKETS)
+    count = np.minimum(count, 15).astype(np.uint8).reshape(-1, BUCKETS)
+    return count[:, ::2] | count[:, 1::2] << 4
+
+
+def _room(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Whether sets with these packed counts and sizes can be similar enough: at most what the counts have in common is shared."""
+    more_x, more_y = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    for p, q in ((x & 15, y & 15), (x >> 4, y >> 4)):
+        most = np.maximum(p, q)
+        more_x += (most - q).sum(1, dtype=np.int64)
+        more_y += (most - p).sum(1, dtype=np.int64)
+    shared = np.minimum(nx - more_x, ny - more_y)
+    return 100 * shared >= PERCENT * (nx + ny - shared)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, sizes, hashes in shingle_sets(batch):
@@ -82,13 +105,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     signature[:, p] = (tx.mix(low) >> np.uint64(48)).astype(np.uint16)
                 keys[:, 0] = np.add.reduceat(tx.mix(hashes), begin)
                 keys[:, 1] = np.bitwise_xor.reduceat(tx.mix(hashes ^ np.uint64(_SALT[0])), begin) ^ sizes[full].astype(np.uint64)
+            counts = bucket_counts(hashes, sizes[full])
             set_id: list = [None] * len(sizes)
             sig: list = [None] * len(sizes)
+            count: list = [None] * len(sizes)
             for j, row in enumerate(np.flatnonzero(full).tolist()):
-                set_id[row], sig[row] = keys[j].tobytes(), signature[j].tobytes()
+                set_id[row], sig[row], count[row] = keys[j].tobytes(), signature[j].tobytes(), counts[j].tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(at, len(sizes)), pa.array(sizes), pa.array(set_id, pa.binary()), pa.array(sig, pa.binary())],
-                ["doc_id", "n_shingles", "set_id", "sig"],
+                [batch.column("doc_id").slice(at, len(sizes)), pa.array(sizes), *(pa.array(x, pa.binary()) for x in (set_id, sig, count))],
+                ["doc_id", "n_shingles", "set_id", "sig", "counts"],
             )
 
 
@@ -103,6 +128,18 @@ def chunk_keys(signature: np.ndarray, chunks: range = range(CHUNKS)) -> np.ndarr
     return out
 
 
+def first_keys(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the keys that both signatures of each pair have, the first by chunk and position left out."""
+    apart = (x != y).reshape(-1, CHUNKS, CHUNK)
+    pair = np.arange(len(x))
+    chunk = (apart.sum(2) <= 1).argmax(1)
+    drop = apart[pair, chunk].argmax(1)
+    part = x.reshape(-1, CHUNKS, CHUNK)[pair, chunk].astype(np.uint64)
+    kept = np.array([[i for i in range(CHUNK) if i != d] for d in range(CHUNK)])[drop]
+    a, b, c = (part[pair, kept[:, i]] for i in range(CHUNK - 1))
+    return tx.mix((a << np.uint64(32) | b << np.uint64(16) | c) ^ _SALT[chunk * CHUNK + drop])
+
+
 def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, POSITIONS)
 
@@ -155,8 +192,9 @@ def _distance_ok(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, part, cross, node, component, n, sig) sorted by key: pairs of different components within the signature
-    distance whose sizes allow them to be similar; where cross, of different parts only."""
+    """Rows (tile, key, part, cross, node, component, n, sig, counts) sorted by tile: pairs of different components within the
+    signature distance whose sizes and counts allow them to be similar, where their first key is the tile's; where cross, of
+    different parts only."""
     held: pa.Table | None = None
     for batch in chain(batches, [None]):
         parts = ([held] if held is not None else []) + ([pa.Table.from_batches([batch])] if batch is not None else [])
@@ -165,11 +203,12 @@ def _meet_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         rows = pa.concat_tables(parts)
         if not rows.num_rows:
             continue
-        key = rows.column("key").to_numpy()
-        last = len(key) if batch is None else int(np.argmax(key == key[-1]))
-        part, cross, node, comp, n = (rows.column(c).to_numpy(zero_copy_only=False)[:last] for c in ("part", "cross", "node", "component", "n"))
+        tile = rows.column("tile").to_numpy()
+        last = len(tile) if batch is None else int(np.argmax(tile == tile[-1]))
+        key, part, cross, node, comp, n = (rows.column(c).to_numpy(zero_copy_only=False)[:last] for c in ("key", "part", "cross", "node", "component", "n"))
         sig = _signatures(rows.column("sig").slice(0, last))
-        edge = np.append(np.flatnonzero(np.concatenate(([True], key[1:last] != key[: last - 1]))), last) if last else np.zeros(1, np.int64)
+        counts = np.frombuffer(b"".join(rows.column("counts").slice(0, last).to_pylist()), np.uint8).reshape(last, -1)
+        edge = np.append(np.flatnonzero(np.concatenate(([True], tile[1:last] != tile[: last - 1]))), last) if last else np.zeros(1, np.int64)
         found = [np.zeros((0, 2), np.int64)]
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             for x in range(a, b, 128):
@@ -178,10 +217,14 @@ def _meet_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 if cross[a]:
                     ok &= part[i, None] != part[None, a:b]
                 p, q = np.nonzero(ok)
-                for at in range(0, len(p), 1 << 16):
-                    u, w = x + p[at : at + (1 << 16)], a + q[at : at + (1 << 16)]
+                for at in range(0, len(p), 1 << 14):
+                    u, w = x + p[at : at + (1 << 14)], a + q[at : at + (1 << 14)]
                     near = (sig[u] != sig[w]).sum(1) <= THRESHOLD
-                    found.append(np.sort(np.stack([node[u[near]], node[w[near]]], 1), axis=1))
+                    u, w = u[near], w[near]
+                    own = first_keys(sig[u], sig[w]) == np.uint64(key[a].view(np.uint64))
+                    u, w = u[own], w[own]
+                    room = _room(counts[u], counts[w], n[u], n[w])
+                    found.append(np.sort(np.stack([node[u[room]], node[w[room]]], 1), axis=1))
         held = rows.slice(last).combine_chunks()
         every = np.unique(np.concatenate(found), axis=0)
         if len(every):
@@ -189,13 +232,13 @@ def _meet_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _tiled(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """rows (key, node, ...) with the tile as key, part and cross: of a key of several parts (sizes: key, parts) a row goes to the
+    """rows (key, node, ...) with tile, part and cross: of a key of several parts (sizes: key, parts) a row goes to the
     tile of its part with each other part and with itself."""
     rows = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("part", "other"), F.greatest("part", "other")
     tile = F.when(F.col("parts") > 1, F.xxhash64("key", low, high)).otherwise(F.col("key"))
-    return rows.withColumn("cross", F.col("part") != F.col("other")).withColumn("key", tile).drop("other", "parts")
+    return rows.withColumn("cross", F.col("part") != F.col("other")).withColumn("tile", tile).drop("other", "parts")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,10 +276,10 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    features = stored(docs.mapInArrow(_features, "doc_id long, n_shingles long, set_id binary, sig binary"), "signatures")
+    features = stored(docs.mapInArrow(_features, "doc_id long, n_shingles long, set_id binary, sig binary, counts binary"), "signatures")
     classes = features.where("doc_id is not null and set_id is not null").groupBy("set_id")
-    classes = stored(classes.agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig")), "sets")
-    nodes = classes.select("node", "n", "sig")
+    classes = stored(classes.agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), *(F.max(c).alias(c) for c in ("sig", "counts"))), "sets")
+    nodes = classes.select("node", "n", "sig", "counts")
 
     keys = stored(nodes.select("node", "sig").mapInArrow(_emit_keys, "key long, node long, lead long, here long"), "keys")
     leads = keys.where("node = lead").select("key", "node", "here").repartition("key").sortWithinPartitions("key", "node")
@@ -254,9 +297,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = stored(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi")
     mixed = stored(mixed.select("key", F.ceil(F.col("members") / TILE).cast("int").alias("parts")), "mixed")
-    about = nodes.groupBy("node").agg(F.max("n").alias("n"), F.max("sig").alias("sig"))
-    rows = _tiled(placed, mixed).join(about, "node").select("key", "part", "cross", "node", "component", "n", "sig")
-    pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_meet_signatures, "a long, b long")
+    about = nodes.groupBy("node").agg(*(F.max(c).alias(c) for c in ("n", "sig", "counts")))
+    rows = _tiled(placed, mixed).join(about, "node").select("tile", "key", "part", "cross", "node", "component", "n", "sig", "counts")
+    pairs = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_meet_signatures, "a long, b long")
     late = stored(_confirmed(pairs.distinct(), nodes, docs, "search"), "search-links")
 
     joined = late.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))

@@ -10,6 +10,7 @@ import pytest
 
 from quern.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
 from quern.llm import queries as q
+from quern.llm.scratch import stored
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, keep_id long, text_sha256 string, key string"
@@ -116,6 +117,43 @@ def test_near_with_null_ids_and_repeated_rows(spark):
     assert sorted((tuple(r) for r in got), key=repr) == sorted([(None, 2, None, True), (2, 2, 2, True), (2, 2, 2, True), (5, 2, 2, False), (6, 0, 6, True), (7, 0, 7, True)], key=repr)
 
 
+def test_near_pairs_of_a_template_stay_few(spark, monkeypatch):
+    """Documents that share a template but are not similar enough make few candidates; the similar ones are still linked."""
+    rng = random.Random(9)
+    template = [f"t{i}" for i in range(160)]
+    rows = {}
+    for i in range(150):
+        copy = list(template)
+        for at in rng.sample(range(0, 160, 5), 2):
+            copy[at : at + 5] = [f"d{i}x{at + k}" for k in range(5)]
+        rows[2 * i] = " ".join(copy)
+        if i % 10 == 0:
+            rows[2 * i + 1] = " ".join([*copy[:-3], "end"])
+    made = {}
+    monkeypatch.setattr(near_dedup, "stored", lambda df, name: made.setdefault(name, stored(df, name)))
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in near_dedup.near_duplicates(df).collect()) == brute_near(rows)
+    assert made["search-pairs"].count() < 1000
+
+
+def test_counts_and_first_keys_lose_no_link():
+    """Sets that are similar enough always have room, and a pair's first key is one that both have."""
+    rng = np.random.default_rng(7)
+    for n in (1, 3, 40, 900, 9000):
+        x = [rng.integers(0, 1 << 63, n).astype(np.uint64) for _ in range(40)]
+        y = [np.concatenate((s[: n - n // 7], rng.integers(0, 1 << 63, rng.integers(0, n // 7 + 1)).astype(np.uint64))) for s in x]
+        nx, ny = (np.array([len(s) for s in z]) for z in (x, y))
+        near = [100 * k >= 75 * (a + b - k) for a, b, k in zip(nx, ny, [len(np.intersect1d(a, b)) for a, b in zip(x, y, strict=True)], strict=True)]
+        room = near_dedup._room(*(near_dedup.bucket_counts(np.concatenate(z), k) for z, k in ((x, nx), (y, ny))), nx, ny)
+        assert room[near].all() and sum(near) > 10
+    a = rng.integers(0, 1 << 16, (300, near_dedup.POSITIONS)).astype(np.uint16)
+    b = a.copy()
+    for r in range(len(b)):
+        b[r, rng.choice(near_dedup.POSITIONS, rng.integers(0, near_dedup.THRESHOLD + 1), replace=False)] ^= 1
+    first, ka, kb = near_dedup.first_keys(a, b)[:, None], near_dedup.chunk_keys(a), near_dedup.chunk_keys(b)
+    assert ((ka == first) & (kb == first)).any(1).all()
+
+
 def test_chunk_keys_meet_within_the_threshold():
     """Pigeonhole: whatever positions differ, signatures within the threshold share a key."""
     rng = np.random.default_rng(2)
