@@ -334,6 +334,27 @@ def test_crowded_keys_lose_no_pair():
         assert {tuple(sorted((comp[a], comp[b]))) for a, b in near} == {tuple(sorted((comp[a], comp[b]))) for a, b in want}
 
 
+def test_letter_counts_reject_only_pairs_that_are_too_far_apart():
+    """A tile gives out no pair whose letters differ too much, and every pair that is similar enough."""
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    letters = "abcdefgh éü日本"
+    lines = ["".join(rng.choice(letters) for _ in range(rng.choice([14, 60, 400, 4000]))).strip() + "a" * 12 for _ in range(12)]
+    lines += [x for t in lines for x in ("".join(rng.choice(letters) if rng.random() < 0.1 else c for c in t), t + "日" * (len(t) // 9), t[len(t) // 12 :])]
+    lines += ["z" * len(lines[0])]
+    forms = [x.encode() for x in lines]
+    chars, counts = line_dedup.letter_counts(np.frombuffer(b"".join(forms), np.uint8), np.cumsum([0, *map(len, forms)]))
+    assert chars.tolist() == [len(x) for x in lines]
+    n = len(lines)
+    columns = {"tile": [1] * n, "line": range(n), "component": range(n), "sim": [0] * n, "size": map(len, forms), "part": [0] * n, "low": [True] * n, "chars": chars.tolist(), "counts": [c.tobytes() for c in counts]}
+    batch = pa.RecordBatch.from_pydict({k: list(v) for k, v in columns.items()})
+    got = {tuple(r.values()) for b in line_dedup._meet_open(False)(iter([batch])) for r in b.to_pylist()}
+    small = [i for i in range(n) if len(lines[i]) < 500]
+    near = {(a, b) for a in small for b in small if a < b and edit(lines[a], lines[b]) <= (1 - line_dedup.SIMILAR) * max(len(lines[a]), len(lines[b])) + 1e-9}
+    assert near and near <= got and not any(n - 1 in pair for pair in got)
+
+
 def test_lines_of_rows_without_id_stay(spark):
     df = spark.createDataFrame([(None, "a line of enough length"), (1, "a line of enough length"), (2, "A line of  enough length"), (1, "a line of enough length")], "doc_id long, text string")
     got = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in line_dedup.clean_documents(df).collect())
