@@ -45,6 +45,8 @@ THRESHOLD = 27
 TILE = 2048
 #: Ranges of hashes whose shingles are counted for each set, up to 15, two of them in a byte.
 BUCKETS = 256
+#: Bytes of text whose shingles are made at once.
+SLICE = 1 << 19
 
 _A = tx.seeded(POSITIONS, 11) | np.uint64(1)
 _B = tx.seeded(POSITIONS, 12)
@@ -53,7 +55,7 @@ _SALT = tx.seeded(POSITIONS * 4, 13)
 
 def shingle_sets(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, sizes, sorted distinct shingle hashes one document after the other) for slices of a batch."""
-    for at, _, data, offsets in tx.slices(batch, column):
+    for at, _, data, offsets in tx.slices(batch, column, SLICE):
         data = tx.LOWER[data]
         start, end, first = tx.words(data, offsets)
         word = tx.span_hashes(data, start, end)

@@ -394,6 +394,23 @@ def test_keys_meet_across_batches():
         assert got == want
 
 
+def test_kernels_need_little_memory_whatever_the_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(14)
+    vocabulary = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    texts = ["\n".join(" ".join(rng.choices(vocabulary, k=40)) for _ in range(8)) for _ in range(2500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500)), pa.array(texts), pa.array(range(2500))], ["doc_id", "text", "rank"])
+    for kernel, most in ((line_dedup._hashed, 35), (near_dedup._features, 18)):
+        tracemalloc.start()
+        assert sum(b.num_rows for b in kernel(iter([batch]))) in (2500, 20_000)
+        peak = tracemalloc.get_traced_memory()[1] >> 20
+        tracemalloc.stop()
+        assert peak < most
+
+
 def test_normal_forms_of_slices_equal_those_of_lines():
     import pyarrow as pa
 
