@@ -423,3 +423,50 @@ def test_normal_forms_of_slices_equal_those_of_lines():
         got |= {(at + r, k): raw[a:b] for r, k, a, b in zip(row.tolist(), number.tolist(), upto[:-1].tolist(), upto[1:].tolist(), strict=True)}
     forms = {(r, k): line_dedup.normal(x.encode()) for r, t in enumerate(texts) for k, x in enumerate(t.split("\n"))}
     assert got == {at: f for at, f in forms.items() if len(f) >= line_dedup.LEAST}
+
+
+def test_distances_within_a_limit_equal_brute_force():
+    """Pairs of every kind of text in one batch are decided as the plain edit distance decides them."""
+    import pyarrow as pa
+
+    rng = random.Random(15)
+    xs, ys, most = ["", "", "abc", "abc", "𝔘é日" * 9], ["", "ab", "", "abd", "𝔘é日" * 8 + "𝔘é𝔙"], [0, 1, 3, 0, 1]
+    for n in range(300):
+        x = "".join(rng.choice(rng.choice(["ab", "abcdefgh ", "é日 𝔘x"])) for _ in range(rng.choice([5, 20, 60, 150])))
+        y = [rng.choice(["", c + rng.choice("abq"), rng.choice("abx𝔘")]) if rng.random() < rng.choice([0.02, 0.1, 0.3]) else c for c in x]
+        y = "".join(y) if n % 3 else "".join(y[len(y) // 9 :]) + x[: rng.randrange(4)]
+        xs, ys, most = [*xs, x], [*ys, y], [*most, rng.choice([0, 1, len(x) // 10, len(x) // 3])]
+    far = [edit(x, y) for x, y in zip(xs, ys, strict=True)]
+    assert line_dedup.within(xs, ys, np.array(most)).tolist() == [d <= m for d, m in zip(far, most, strict=True)]
+    n = len(xs)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(xs), pa.array(ys), pa.array(most)], ["a", "b", "x", "y", "most"])
+    got = [r["a"] for b in line_dedup._similar(iter([batch])) for r in b.to_pylist()]
+    assert got == [i for i in range(n) if far[i] <= most[i]]
+
+
+def test_packed_keys_meet_as_rows_do():
+    """Keys packed by ranges give the lines that all rows, sorted, give, and the lines left in their batches make up the rest."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(16)
+    batches = []
+    for n in (40, 1, 25):
+        texts = [b" ".join(rng.choice([b"alpha", b"beta", b"gamma", b"delta"], 4)) for _ in range(n)]
+        data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        blocks, whole = line_dedup.block_hashes(data, offsets)
+        line = np.ascontiguousarray(line_dedup.line_ids(data, offsets)[:, 0])
+        batches.append(pa.RecordBatch.from_arrays([pa.array(line), pa.array(np.diff(offsets)), line_dedup.packed_blocks(blocks, n)], ["line", "size", "blocks"]))
+    groups = {}
+    for batch in batches:
+        row, keys = line_dedup.unpacked_keys(batch.column("blocks"), batch.column("size").to_numpy())
+        for k, r in zip(keys.view(np.int64).tolist(), row.tolist(), strict=True):
+            groups.setdefault(k, set()).add(batch.column("line")[r].as_py())
+    want = {(k, n) for k, nodes in groups.items() if len(nodes) > 1 for n in nodes}
+    packed = sorted((r["bucket"], r["packed"]) for b in line_dedup._leads(5)(iter(batches)) for r in b.to_pylist())
+    assert len({b for b, _ in packed}) == 5
+    packed = [pa.RecordBatch.from_arrays([pa.array([x[k] for x in packed[i : i + 2]]) for k in (0, 1)], ["bucket", "packed"]) for i in range(0, len(packed), 2)]
+    met = [tuple(r.values()) for b in line_dedup._meet_packed(iter(packed)) for r in b.to_pylist()]
+    pivots = {(k, lead) for k, lead, _ in met}
+    rest = [tuple(r.values()) for b in line_dedup._rest(iter(batches)) for r in b.to_pylist()]
+    got = {(k, n) for k, n, _ in met} | {(k, n) for k, n, lead in rest if (k, lead) in pivots}
+    assert want and got == want and all(pivot == min(groups[k]) for k, _, pivot in met)
