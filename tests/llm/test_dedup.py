@@ -470,3 +470,20 @@ def test_packed_keys_meet_as_rows_do():
     rest = [tuple(r.values()) for b in line_dedup._rest(iter(batches)) for r in b.to_pylist()]
     got = {(k, n) for k, n, _ in met} | {(k, n) for k, n, lead in rest if (k, lead) in pivots}
     assert want and got == want and all(pivot == min(groups[k]) for k, _, pivot in met)
+
+
+def test_crowded_tiles_need_little_memory():
+    """The pairs of a crowded tile are looked at in steps of a fixed number, so a worker needs the same however many there are."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(17), 3000
+    columns = {"tile": np.ones(n, np.int64), "line": np.arange(n), "component": np.arange(n) // 2, "sim": rng.integers(0, 1 << 62, n), "size": np.full(n, 400), "part": np.arange(n) % 2, "low": np.zeros(n, bool), "chars": np.full(n, 400)}
+    batch = pa.RecordBatch.from_pydict(columns | {"counts": [x.tobytes() for x in rng.integers(0, 12, (n, line_dedup.BINS)).astype(np.uint8)]})
+    for nearest in (True, False):
+        tracemalloc.start()
+        assert sum(b.num_rows for b in line_dedup._meet_open(nearest)(iter([batch]))) < n
+        peak = tracemalloc.get_traced_memory()[1] >> 20
+        tracemalloc.stop()
+        assert peak < 16
