@@ -130,11 +130,13 @@ def scatter_cut(points: DataFrame, ranges: int = 256) -> DataFrame:
     number below, largest value below and the gain.
 
     Equal values are summed first; sums are carried over ``ranges`` of values and then run inside each range, so no task
-    orders all values.
+    orders all values.  The edges of the ranges are approximate and differ from one evaluation to the next, so ranges are
+    stored and not found again.  Points without p come after all others, as in SQL: they count in the whole, and no cut is there.
     """
-    per = points.groupBy("p").agg(F.count("*").alias("k"))
+    per = points.where("p is not null").groupBy("p").agg(F.count("*").alias("k"))
     edges = F.percentile_approx("p", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10_000).alias("edges")
     per = per.crossJoin(F.broadcast(per.agg(edges))).select("p", "k", F.size(F.filter("edges", lambda e: e < F.col("p"))).alias("range"))
+    per = stored(per, "ranged-values")
     whole = per.groupBy("range").agg(F.sum("k").alias("rn"), F.sum(F.col("k") * F.col("p")).alias("rs"))
     ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges only
     before = whole.select("range", F.coalesce(F.sum("rn").over(ahead), F.lit(0)).alias("bn"), F.coalesce(F.sum("rs").over(ahead), F.lit(0.0)).alias("bs"))

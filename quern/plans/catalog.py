@@ -293,7 +293,7 @@ def var_part_m4(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def min_scatter_cut(spark: SparkSession, d: str) -> DataFrame:
-    points = views.nodes(spark, d).select("id", F.element_at("x", 1).alias("p"))
+    points = views.nodes(spark, d).select("id", F.get("x", F.lit(0)).alias("p"))
     return partition.scatter_cut(points).select("below", v.rounded("value").alias("value"), v.rounded("gain").alias("gain"))
 
 

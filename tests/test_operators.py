@@ -3,6 +3,7 @@
 import itertools
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from quern.functions import vectors as v
 from quern.functions.stages import cut
 from quern.operators import assign, features, graph, heads, moments, partition, selection
+from quern.plans import catalog, oracles
 from quern.sources import views
 
 
@@ -80,6 +82,19 @@ def test_scatter_cut_equals_brute_force(spark):
     assert got.gain == pytest.approx(np.var(p) * len(p) - np.var(p[:best]) * best - np.var(p[best:]) * (len(p) - best))
 
 
+def test_scatter_cut_fixes_its_ranges_and_counts_points_without_a_value(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    x = [None if i % 50 == 7 else [] if i % 50 == 8 else [float(p)] for i, p in enumerate(rng.normal(size=500))]
+    rows = [(i, p, 0) for i, p in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert [tuple(r) for r in catalog.min_scatter_cut(spark, str(tmp_path)).collect()] == con.execute(oracles.SQL["min_scatter_cut"]).fetchall()
+    # the edges of many values differ from one evaluation to the next, so no plan may find them again
+    found = partition.scatter_cut(spark.createDataFrame([(0, 0.0), (1, 1.0), (2, 4.0)], "id long, p double"))
+    assert "percentile_approx" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_divergence_is_infinite_without_support(spark):
     rows = [(0, [0.0], [1.0, 0.0], 0), (1, [0.1], [1.0, 0.0], 0), (2, [0.2], [0.0, 1.0], 1), (3, [0.3], [0.0, 1.0], 1)]
     n = spark.createDataFrame(rows, "id long, x array<double>, q array<double>, cell int")
