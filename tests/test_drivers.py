@@ -340,3 +340,19 @@ def test_kernel_values_are_computed_once_for_the_teacher(spark, sf):
 
     heads.kernel_teacher(factors.mapped(n, counted, name="k"), n, 0.1).collect()
     assert seen.value == 120
+
+
+def test_push_moves_one_vector_of_classes_for_all_alphas(spark, monkeypatch):
+    n = small(spark, 40)
+    w = cut(graph.push_weights(views.ring_edges(n)))
+    moved, propagate = [], graph.propagate_vectors
+
+    def seen(weights, rows, hops=1):
+        moved.append(len(rows.first().x))
+        # what a step reads is stored, so no step is computed again
+        assert "MapInArrow" not in rows._jdf.queryExecution().optimizedPlan().toString()
+        return propagate(weights, rows, hops)
+
+    monkeypatch.setattr(graph, "propagate_vectors", seen)
+    graph.push_vectors(w, drivers.source_vectors(n, 4), [0.2, 0.5, 0.8], 3).collect()
+    assert moved == [4, 4, 4]
