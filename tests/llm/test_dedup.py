@@ -487,3 +487,19 @@ def test_crowded_tiles_need_little_memory():
         peak = tracemalloc.get_traced_memory()[1] >> 20
         tracemalloc.stop()
         assert peak < 16
+
+
+def test_far_lines_of_a_crowded_tile_are_told_apart_by_their_simhashes_alone(monkeypatch):
+    import pyarrow as pa
+
+    n, rng, asked = 600, np.random.default_rng(5), []
+    sim = rng.integers(0, 1 << 63, n)
+    sim[300:310] = sim[:10] ^ 1
+    rows = {"tile": np.arange(n) // 590, "line": np.arange(n), "component": np.arange(n), "sim": sim, "size": np.full(n, 100), "part": np.zeros(n, np.int64), "low": np.ones(n, bool)}
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in rows.values()], list(rows))
+    allowed = line_dedup.allowed
+    monkeypatch.setattr(line_dedup, "allowed", lambda size: asked.append(len(size)) or allowed(size))
+    got = {tuple(r.values()) for b in line_dedup._meet_open(False)(iter([batch])) for r in b.to_pylist()}
+    far = np.bitwise_count(sim.view(np.uint64)[:, None] ^ sim.view(np.uint64)[None])
+    assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if rows["tile"][i] == rows["tile"][j] and far[i, j] <= 18} and len(got) >= 10
+    assert sum(asked) < n * line_dedup.DENSE
